@@ -6,10 +6,55 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm import copies, splits
+from quillspark.llm import copies, linkage, markup, names, sentences, splits
 from quillspark.session import table
 
 
+_TEXTS = (("elements", "element_no", "content", False), ("flat_docs", "doc_no", "content", True), ("refs_bib", "bib_no", "text", False))
+
+
+def _cleaned(spark: SparkSession, d: str) -> DataFrame:
+    out = None
+    for name, row, text, whole in _TEXTS:
+        c = markup.clean_texts(table(spark, d, name), row, text, whole).select(F.lit(name).alias("tab"), F.col(row).alias("row_no"), "clean", "families")
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _cleaned(spark, d).select("tab", "row_no", F.explode("families").alias("family"))
+
+
+def p1_clean(spark: SparkSession, d: str) -> DataFrame:
+    return _cleaned(spark, d).select("tab", "row_no", F.col("clean").alias("clean_text"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.link_works(table(spark, d, "pairs")).select("bib_no", "cand_id")
+
+
+def p2_links(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.link_works(table(spark, d, "pairs"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, d, "elements"), "element_no", "raw_content", "lang")
+
+
+def _author_names(spark: SparkSession, d: str) -> DataFrame:
+    pairs, labels = table(spark, d, "pairs"), table(spark, d, "labels")
+    name = lambda df, c: df.select(F.explode(c).alias("name"))
+    return name(pairs, "bib_authors").union(name(pairs, "cand_authors")).union(name(labels, "ground_truth.authors"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.name_pairs(names.link_names(_author_names(spark, d)))
+
+
+def p4_entities(spark: SparkSession, d: str) -> DataFrame:
+    return names.link_names(_author_names(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.copy_pairs(table(spark, d, "refs"), "ref_id", "raw_text").select(F.col("first_id").alias("ref_id_a"), F.col("copy_id").alias("ref_id_b"))
 
@@ -29,6 +74,13 @@ def p7_splits(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_clean": p1_clean,
+    "p2_found": p2_found,
+    "p2_links": p2_links,
+    "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_entities": p4_entities,
     "p5_found": p5_found,
     "p5_copy_counts": p5_copy_counts,
     "p7_found": p7_found,
