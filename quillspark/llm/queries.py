@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm import copies, linkage, markup, names, sentences, splits
+from quillspark.llm import copies, leakage, linkage, markup, names, packing, quality, sentences, splits
 from quillspark.session import table
 
 
@@ -73,6 +73,24 @@ def p7_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.deal_splits(groups).select(F.col("id").alias("label_id"), "split")
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    kinds = quality.classify(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "common_words"))
+    return kinds.filter("kind <> 'prose'").select("doc_id", "kind")
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    s = quality.statistics(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "common_words"))
+    return s.select(F.col("id").alias("doc_id"), *quality.FEATURES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_clean": p1_clean,
@@ -85,6 +103,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_copy_counts": p5_copy_counts,
     "p7_found": p7_found,
     "p7_splits": p7_splits,
+    "p8_containers": p8_containers,
+    "p9_found": p9_found,
+    "p10_found": p10_found,
+    "p10_statistics": p10_statistics,
 }
 
 _CANON = r"""
