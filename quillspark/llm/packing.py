@@ -149,7 +149,7 @@ def pack(docs: DataFrame, doc_id: str, text: str, capacity: int = CAPACITY, toke
     over = F.col("tokens") > capacity
     items = sizes.select("id", F.when(over, whole).otherwise(0).cast("int").alias("piece"), F.when(over, whole * capacity).otherwise(0).cast("bigint").alias("start"), F.when(over, F.col("tokens") % capacity).otherwise(F.col("tokens")).alias("n")).filter("n > 0")
     groups = max(1, -(-sizes.count() // group_items))
-    items = items.withColumn("g", F.pmod(F.xxhash64("id", "piece", "n", F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
+    items = items.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
     kind = dict(sizes.dtypes)["id"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
