@@ -23,8 +23,10 @@ def char_terms(c: Column) -> Column:
     words = F.transform(F.filter(F.split(F.lower(F.trim(c)), r"\s+"), lambda x: x != ""), lambda x: F.concat(F.lit(" "), x, F.lit(" ")))
 
     def pieces(w: Column) -> Column:
-        grams = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - (n - 1), F.lit(1))), lambda i, n=n: F.substring(w, i, F.lit(n))) for n in (2, 3, 4)]
-        return F.concat(*grams)
+        def cut(n: int) -> Column:
+            return F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - (n - 1), F.lit(1))), lambda i: F.substring(w, i, F.lit(n)))
+
+        return F.concat(cut(2), cut(3), cut(4))
 
     return F.flatten(F.transform(words, pieces))
 

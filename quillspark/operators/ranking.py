@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 def top_k(scored: DataFrame, query: list[str], score: str, tie: str, k: int = 5) -> DataFrame:
@@ -23,16 +23,22 @@ def reciprocal_rank(ranked: DataFrame, truth: DataFrame, query: list[str], denom
     return base.join(hit, query, "left").select(*query, F.coalesce("rr", F.lit(0.0)).alias("rr"))
 
 
+def _corr(a: str, b: str) -> Column:
+    """Pearson's correlation; null where a side does not vary."""
+    x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def correlations(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """(feature, corr) of each feature with the label, in one pass."""
-    row = df.agg(*[F.corr(f, label).alias(f) for f in features])
+    row = df.agg(*[_corr(f, label).alias(f) for f in features])
     return row.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.round(F.col(f), 6).alias("corr")) for f in features])).alias("x")).select("x.*")
 
 
 def collinear(df: DataFrame, features: list[str], above: float = 0.85) -> DataFrame:
     """(feature_a, feature_b, corr) of all pairs of features whose correlation exceeds `above`."""
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    row = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    row = df.agg(*[_corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     x = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.round(F.col(f"c{i}"), 6).alias("corr")) for i, (a, b) in enumerate(pairs)])
     return row.select(F.explode(x).alias("x")).select("x.*").filter(F.abs("corr") > above)
 

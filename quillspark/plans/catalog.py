@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.operators import forest
+from quillspark.plans import reference_queries
 from quillspark.session import table
 
 
@@ -48,10 +49,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p6_paths": p6_paths,
     "p6_descendants": p6_descendants,
-}
+} | reference_queries.QUERIES
 
 SQL: dict[str, str] = {
     "p6_found": _CHAIN + "SELECT n.paper_id, n.version_num, n.child_id, coalesce(top.at, '') AS root_id, CAST(coalesce(top.depth, -1) AS INTEGER) AS depth FROM n LEFT JOIN top USING (paper_id, version_num, child_id)",
     "p6_paths": _CHAIN + "SELECT paper_id, version_num, child_id, array_to_string(path, '/') AS path FROM top",
     "p6_descendants": _CHAIN + "SELECT paper_id, version_num, path[CAST(i AS INTEGER)] AS ancestor_id, child_id AS descendant_id, CAST(depth + 1 - i AS INTEGER) AS distance FROM (SELECT *, unnest(range(1, depth + 1)) AS i FROM top)",
-}
+} | reference_queries.SQL
