@@ -86,7 +86,7 @@ def parse_method(c: Column) -> Column:
 def cited_keys(c: Column) -> Column:
     """Distinct keys cited by any command of the cite family, in their order."""
     found = F.regexp_extract_all(c, F.lit(r"\\(?:no)?cite[a-zA-Z]*\s*(?:\[[^\]]*\]\s*)*\{([^}]+)\}"), 1)
-    return F.array_distinct(F.filter(F.transform(F.flatten(F.transform(found, lambda s: F.split(s, ","))), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.flatten(F.transform(found, lambda s: F.split(s, ","))), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def noise(c: Column) -> Column:
@@ -96,7 +96,7 @@ def noise(c: Column) -> Column:
 
 def clean_list(c: Column) -> Column:
     """Trimmed, blanks dropped, each kept at its first place."""
-    return F.array_distinct(F.filter(F.transform(c, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def seed_key(c: Column, seed: int = 42) -> Column:

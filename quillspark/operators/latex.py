@@ -241,6 +241,6 @@ def preamble(docs: DataFrame, keys: list[str], content: str = "content") -> Data
     return docs.select(
         *keys,
         F.trim(F.regexp_extract(c, r"\\title\s*(?:\[[^\]]*\])?\{" + nested + r"\}", 1)).alias("title"),
-        F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"\\author\s*(?:\[[^\]]*\])?\{" + nested + r"\}"), 1), F.trim), ", ").alias("authors"),
+        F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"\\author\s*(?:\[[^\]]*\])?\{" + nested + r"\}"), 1), lambda x: F.trim(x)), ", ").alias("authors"),
         F.trim(F.when(env != "", env).otherwise(F.regexp_extract(c, r"\\abstract\s*\{" + nested + r"\}", 1))).alias("abstract"),
     )

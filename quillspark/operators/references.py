@@ -168,8 +168,8 @@ def smart_parse(c: Column) -> Column:
     by_entry = F.when(F.trim(t).startswith("@") & (title_e != ""), tidy(title_e))
     by_block = F.when(F.size(blocks) > 1, F.regexp_replace(tidy(blocks[1]), r"\.$", ""))
     title = F.coalesce(by_entry, by_block, F.lit(""))
-    people_e = F.when(authors_e != "", F.filter(F.transform(F.split(tidy(authors_e), r"\s+and\s+"), F.trim), lambda x: x != ""))
-    people_b = F.when(F.size(blocks) > 1, F.filter(F.transform(F.split(F.regexp_replace(tidy(blocks[0]), r"\.$", ""), r",\s*"), F.trim), lambda x: x != ""))
+    people_e = F.when(authors_e != "", F.filter(F.transform(F.split(tidy(authors_e), r"\s+and\s+"), lambda x: F.trim(x)), lambda x: x != ""))
+    people_b = F.when(F.size(blocks) > 1, F.filter(F.transform(F.split(F.regexp_replace(tidy(blocks[0]), r"\.$", ""), r",\s*"), lambda x: F.trim(x)), lambda x: x != ""))
     ident = F.coalesce(F.nullif(F.regexp_extract(t, r"(?i)\beprint\s*=\s*[{\"]([^}\"]+)", 1), F.lit("")), F.nullif(F.regexp_extract(t, r"(?i)\bdoi\s*=\s*[{\"]([^}\"]+)", 1), F.lit("")), F.lit(""))
     field_year = F.nullif(F.regexp_extract(t, r"(?i)\byear\s*=\s*[{\"]?\s*(\d{4})", 1), F.lit(""))
     last_year = F.nullif(F.regexp_extract(F.element_at(blocks, -1), r"\b((?:19|20)\d{2})\b", 1), F.lit(""))
