@@ -29,58 +29,60 @@ def _kept(drop: str) -> Column:
     return F.length(F.regexp_replace("t", drop, "")).cast("double")
 
 
+def _times(what: str) -> Column:
+    """How often a fixed string occurs: by plain replacement, which is far cheaper than a pattern."""
+    return ((F.col("chars") - F.length(F.replace(F.col("t"), F.lit(what), F.lit("")))) / len(what)).cast("double")
+
+
 def statistics(df: DataFrame, row_id: str, text: str, common: DataFrame | None = None) -> DataFrame:
     """One row per document with a text that is not blank: counts and shares, each a double.
 
-    words, mean_word, lines, line_len, symbols, digits, upper, ends (lines ending in punctuation), marks (sentence
-    ends a word), starts (lines that begin like list items), cells (cell separators a line), bars (lines with two
-    or more separators), short (lines without an end, up to 60 characters), long (share of characters in lines that
-    hold a sentence), commas, rich (distinct words by the root of all), distinct_lines, odd (code points of broken encodings and glyph
-    codes), hex (machine words), tex (command lines), leaders (lines that end in a number), common (share of
-    common words). Null and blank texts have no row. `common` holds the frequent words (lang, word); it is small and fixed.
+    words (by white space; half a word for each character of scripts without spaces, told by their bytes),
+    mean_word, lines, line_len, symbols, digits, upper, ends (lines ending in punctuation), marks (sentence ends a
+    word), starts (lines that begin like list items), cells (separators a line, of the kind that is most frequent:
+    tabs, bars, ampersands, gaps, commas without a space), short (lines up to 60 characters), long (share of
+    characters in longer lines that hold no separator), commas, rich (distinct words by the root of all),
+    distinct_lines, odd (broken encodings and glyph codes), hex (machine words), tex (command lines), leaders (lines
+    that end in a number), common (share of common words). Null and blank texts have no row. `common` holds the
+    frequent words (lang, word); it is small and fixed. The columns are separate expressions: those not asked for
+    cost nothing.
     """
     words = sorted({r["word"].lower() for r in common.select("word").limit(5000).collect() if r["word"]}) if common is not None else []
-    d = df.select(F.col(row_id).alias("id"), F.regexp_replace(F.col(text), r"[\r\u000b\u000c\u0085  ]+", "\n").alias("t")).filter(F.col("t").rlike(r"\S"))
-    d = d.withColumns({
-        "chars": F.length("t").cast("double"),
-        "w": F.filter(F.split(F.lower("t"), r"\s+"), lambda x: x != ""),
-        "l": F.filter(F.split("t", r"\n"), lambda x: F.length(F.trim(x)) > 0),
-        "letters": _kept(r"[^\p{L}\p{M}]+"),
-        "wide": _kept(r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]+"),
-    })
-    n_words = F.size("w").cast("double") + F.col("wide") / 2
-    lines = F.greatest(F.size("l").cast("double"), F.lit(1.0))
+    clean = F.trim(F.replace(F.replace(F.replace(F.col(text), F.lit("\r"), F.lit("\n")), F.lit("\n\n"), F.lit("\n")), F.lit("\n\n"), F.lit("\n")), F.lit(" \n\t"))
+    d = df.filter(F.col(text).rlike(r"\S")).select(F.col(row_id).alias("id"), clean.alias("t"))
+    d = d.withColumns({"chars": F.length("t").cast("double"), "bytes": F.octet_length("t").cast("double"), "w": F.split("t", r"\s+"), "l": F.split("t", "\n")})
+    n_words = F.size("w").cast("double") + (F.col("bytes") - F.col("chars")) / 4
+    lines = F.size("l").cast("double")
+    spaced = F.size("w").cast("double")
     listed = F.array(*[F.lit(x) for x in words]) if words else None
-    known = F.size(F.filter("w", lambda x: F.array_contains(listed, F.regexp_replace(x, r"[^\p{L}\p{M}']+", "")))) if words else F.lit(0)
+    known = F.size(F.filter("w", lambda x: F.array_contains(listed, F.regexp_replace(F.lower(x), r"[^\p{L}\p{M}']+", "")))) if words else F.lit(0)
     return d.select(
         "id",
         n_words.alias("words"),
-        (F.col("letters") / F.greatest(n_words, F.lit(1.0))).alias("mean_word"),
+        (F.col("chars") / n_words).alias("mean_word"),
         lines.alias("lines"),
         (F.col("chars") / lines).alias("line_len"),
         (_kept(r"[\p{L}\p{M}\p{N}\s]+") / F.col("chars")).alias("symbols"),
-        (_kept(r"[^\p{Nd}]+") / F.col("chars")).alias("digits"),
-        (_kept(r"[^\p{Lu}]+") / F.greatest("letters", F.lit(1.0))).alias("upper"),
-        (_count(rf"(?m){END}[\"'”’»」』)\]]*[ \t]*$") / lines).alias("ends"),
-        (_count(rf"{END}[\"'”’»」』)\]]*(?:\s|$)|[。！？]") / F.greatest(n_words, F.lit(1.0))).alias("marks"),
+        (_kept("[^0-9]+") / F.col("chars")).alias("digits"),
+        (_kept(r"[^\p{Lu}]+") / F.col("chars")).alias("upper"),
+        (_count(rf"{END}[\"'”’»」』)\]]*[ \t]*(?:\n|$)") / lines).alias("ends"),
+        (_count(rf"{END}[\"'”’»」』)\]]*(?:\s|$)|[。！？]") / n_words).alias("marks"),
         (_count(r"(?m)^[ \t]*(?:[-*•‣◦▪–]|\\item|\(?\d{1,3}[.)\]]|\[\d{1,4}\]|\d{1,2}(?:\.\d{1,3})+)[ \t]") / lines).alias("starts"),
-        (_count(r"\t|\||(?<!\\)&|(?<=\S) {2,}(?=\S)|,(?=[^\s,]*(?:,|\n|$))") / lines).alias("cells"),
-        (_count(r"(?m)^(?:[^\t\n]*\t[^\n]*|[^|\n]*\|[^|\n]*\|[^\n]*|[^&\n]*&[^&\n]*&[^\n]*|[^\n]*\S {2,}\S+ {2,}\S[^\n]*|[^,\s]*,[^,\s]*,[^\s]*)$") / lines).alias("bars"),
-        (_count(rf"(?m)^[^\n]{{0,60}}[^\s.!?。！？।؟…\"'”’»」』)]\s*?$") / lines).alias("short"),
-        (_kept(rf"(?m)^(?![^\n]*[^\s\d.][^\n.]{{12,}}{END})[^\n]*$") / F.col("chars")).alias("long"),
-        (_count(r"[,،、，]") / F.greatest(n_words, F.lit(1.0))).alias("commas"),
-        F.when(F.col("wide") > F.col("letters") / 2, F.size(F.array_distinct(F.split("t", ""))) / F.sqrt(F.col("chars") / 2))
-        .otherwise(F.size(F.array_distinct("w")) / F.sqrt(F.greatest(F.size("w"), F.lit(1)).cast("double"))).alias("rich"),
+        (F.greatest(_times("\t"), _times("|"), _times("&"), _times("  ") / 2, _times(",") - _times(", ")) / lines).alias("cells"),
+        (_count(r"(?m)^[^\n]{0,60}$") / lines).alias("short"),
+        (_kept(r"(?m)^(?:[^\n]{0,60}|[^\n\t|]{0,60}[\t|][^\n]*)$") / F.col("chars")).alias("long"),
+        ((_times(", ") + _times("，") + _times("、")) / n_words).alias("commas"),
+        F.when(F.col("chars") > 25 * spaced, F.size(F.array_distinct(F.split("t", ""))) / F.sqrt(F.col("chars") / 2)).otherwise(F.size(F.array_distinct("w")) / F.sqrt(spaced)).alias("rich"),
         (F.size(F.array_distinct("l")) / lines).alias("distinct_lines"),
-        (_count(r"\(cid:\d+\)|[ÃÂÄÅ][\u0080-¿]|á[º»]|�|(?<=\s)[?](?=\s)|[\u0080-\u009f]") / F.greatest(n_words, F.lit(1.0))).alias("odd"),
-        (_count(r"\b(?=[a-z]*\d)(?=\d*[a-z])[0-9a-z]{9,}\b") / F.greatest(n_words, F.lit(1.0))).alias("hex"),
+        ((_times("(cid:") + _times(" ? ") + _count(r"[ÃÂÄÅá�][\u0080-¿º»]")) / n_words).alias("odd"),
+        (_count(r"\b(?=[a-z]*\d)(?=\d*[a-z])[0-9a-z]{9,}\b") / n_words).alias("hex"),
         (_count(r"(?m)^\s*(?:\\[A-Za-z@]+(?:\s+\S+){0,3}(?:\\[A-Za-z]+)?|\W{2,8})\s*$") / lines).alias("tex"),
-        (_count(r"(?m)\d\s*$") / lines).alias("leaders"),
-        (known / F.greatest(F.size("w"), F.lit(1)).cast("double")).alias("common"),
+        (_count(r"(?m)\d$") / lines).alias("leaders"),
+        (known / spaced).alias("common"),
     )
 
 
-FEATURES = ["words", "mean_word", "lines", "line_len", "symbols", "digits", "upper", "ends", "marks", "starts", "cells", "bars", "short", "long", "commas", "rich", "distinct_lines", "odd", "hex", "tex", "leaders", "common"]
+FEATURES = ["words", "mean_word", "lines", "line_len", "symbols", "digits", "upper", "ends", "marks", "starts", "cells", "short", "long", "commas", "rich", "distinct_lines", "odd", "hex", "tex", "leaders", "common"]
 #: What rules may be learned from: statistics that hang on length or language alone would only fit the labelled documents.
 LEARNED = [f for f in FEATURES if f not in ("words", "upper", "common")]
 KINDS = ("junk", "table", "list")
@@ -118,6 +120,8 @@ def labelled_documents(n: int = LABELLED, seed: int = 7) -> tuple[tuple[str, str
     def sentence() -> str:
         if doc["wide"]:
             s = "".join(r.choice(han[:40] if r.random() < 0.7 else han) for _ in range(r.randint(6, 26)))
+            if r.random() < 0.2:
+                s = r.choice([f"「{s}。」{s[:4]}{r.randint(1, 99)}{s[4:9]}", f"“{s}？”{s[:6]}"])
             return s + (f"（{r.randint(1, 99)}.{r.randint(0, 9)}）" if r.random() < 0.45 else "") + r.choice("。。。。！？")
         out = []
         for _ in range(r.randint(2, doc["max"])):
@@ -134,6 +138,8 @@ def labelled_documents(n: int = LABELLED, seed: int = 7) -> tuple[tuple[str, str
         if r.random() < 0.12:
             s = f"{s[: len(s) // 2]} {r.choice(['(see Fig. 3)', 'e.g. Table 1', 'at 9.30 a.m.', 'z. B. Nr. 7', 'cf. Sec. 2.4', '$x_2 < 3$', '(12.8)'])} {s[len(s) // 2 :]}"
         s = s[0].upper() + s[1:] + r.choices([".", "?", "!", "…", "。" if doc["script"] == "" else "."], [88, 4, 3, 4, 1])[0]
+        if r.random() < 0.05:
+            s = s[:-1] + r.choice([" ?", " !", " ?"])
         return f'"{s}"' if r.random() < 0.04 else s
 
     def thai_text(k: int) -> str:
@@ -340,8 +346,14 @@ def learn(spark: SparkSession, common: DataFrame | None = None, n: int = LABELLE
     return induce_rules({f: got[f].to_numpy(float) for f in LEARNED}, y)
 
 
-def classify(df: DataFrame, row_id: str, text: str, common: DataFrame | None = None, rules: list[Rule] | None = None) -> DataFrame:
-    """(row_id, kind, the statistics) of every document whose text is not null or blank; kind is prose, list, table or junk."""
-    rules = learn(df.sparkSession, common) if rules is None else rules
-    s = statistics(df, row_id, text, common)
-    return s.select(F.col("id").alias(row_id), F.expr(rules_sql(rules)).alias("kind"), *FEATURES)
+def classify(df: DataFrame, row_id: str, text: str, common: DataFrame | None = None, rules: list[Rule] | None = None, with_statistics: bool = False) -> DataFrame:
+    """(row_id, kind) of every document whose text is not null or blank, and the statistics on request; kind is prose, list, table or junk.
+
+    The statistics pass through a generator of one row: without it the optimiser would write each statistic's
+    expression wherever the CASE names it, and compute it as often.
+    """
+    rules = learn(df.sparkSession) if rules is None else rules
+    names = FEATURES if with_statistics else sorted({f for _, c in rules for f, _, _ in c}) or ["lines"]
+    s = statistics(df, row_id, text, common if "common" in names else None)
+    one = s.select("id", F.explode(F.array(F.struct(*names))).alias("s")).select("id", "s.*")
+    return one.select(F.col("id").alias(row_id), F.expr(rules_sql(rules)).alias("kind"), *(names if with_statistics else []))

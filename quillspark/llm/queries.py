@@ -82,7 +82,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    kinds = quality.classify(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "common_words"))
+    kinds = quality.classify(table(spark, d, "documents"), "doc_id", "text")
     return kinds.filter("kind <> 'prose'").select("doc_id", "kind")
 
 
