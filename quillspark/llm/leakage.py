@@ -175,6 +175,9 @@ def _agrees(item: np.ndarray, rare: np.ndarray, doc: np.ndarray, at: int, near:
     around = doc[max(0, near - size // 2) : near + size + size // 2].tolist()
     need = size - int(size * LOST + 0.999)
     spread = size + max(2, int(size * LOST))
+    # a stretch that starts within `reach` shares all but so many words with the one that starts at `at`
+    if common_subsequence(item[at : at + size].tolist(), around) < need - reach:
+        return False
     held = set(around)
     for o in sorted(range(max(0, at - reach), min(len(item) - size, at + reach) + 1), key=lambda x: abs(x - at)):
         words = item[o : o + size].tolist()
@@ -237,6 +240,8 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     shared = spark.sparkContext.broadcast((kept, known, np.array(owner), np.array(start), words_all, {w: np.ascontiguousarray(queries[x].T) for w, x in split.items()}, split, weight, place))
     id_type = held["i"].dtype
 
+    lengths = np.array([len(ids) for _, ids, _ in kept])[np.array(owner)]
+
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept, known, owner, start, words_all, matrix, split, weight, place = shared.value
         tok = Tokens()
@@ -276,11 +281,13 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
                         mark[one[max(0, p - size // 2) : p + size + size // 2]] = stamp
                         mark[-1] = 0
                         there = (mark[words_all[c]] == stamp).sum(1)
-                        length = np.minimum(size, [len(kept[k][1]) for k in owner[c]])
+                        length = np.minimum(size, lengths[c])
                         ok = there >= length - (length * LOST + 0.999).astype(int) - ITEM_STEP * step // 2
+                        if not ok.any():
+                            continue
                         for j in np.flatnonzero(ok)[np.argsort(-score[r][cols[ok]])].tolist():
                             k = int(owner[c[j]])
-                            if k not in done and _agrees(kept[k][1], rare[k], ids, int(start[c[j]]), p, int(length[j]), ITEM_STEP * step):
+                            if k not in done and _agrees(kept[k][1], rare[k], ids, int(start[c[j]]), p, int(length[j]), (ITEM_STEP * step + 1) // 2):
                                 done.add(k)
                                 out_d.append(d)
                                 out_i.append(kept[k][0])
