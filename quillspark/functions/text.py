@@ -41,7 +41,8 @@ def year4(c: Column) -> Column:
 
 def year_diff(a: Column, b: Column) -> Column:
     """Distance of two years, 10 at most; -1 if one is missing."""
-    return F.coalesce(F.least(F.abs(year4(a) - year4(b)), F.lit(10)), F.lit(-1))
+    d = F.abs(year4(a) - year4(b))
+    return F.when(d.isNull(), -1).otherwise(F.least(d, F.lit(10)))  # least() alone would pass over a null
 
 
 def normalize_id(c: Column) -> Column:

@@ -137,7 +137,7 @@ features AS (SELECT *,
   CASE WHEN len(qa) + len(ca) = 0 THEN 0.0 ELSE len(list_intersect(qa, ca))::DOUBLE / (len(qa) + len(ca) - len(list_intersect(qa, ca))) END AS feat_auth_jaccard,
   len(list_intersect(qa, ca))::DOUBLE AS feat_auth_overlap,
   CASE WHEN fa <> '' AND fa = fc THEN 1.0 ELSE 0.0 END::DOUBLE AS feat_first_auth_match,
-  coalesce(least(abs(qy - cy), 10), -1)::DOUBLE AS feat_year_diff,
+  (CASE WHEN qy IS NULL OR cy IS NULL THEN -1 ELSE least(abs(qy - cy), 10) END)::DOUBLE AS feat_year_diff,
   CASE WHEN qy = cy THEN 1.0 ELSE 0.0 END::DOUBLE AS feat_year_match FROM m)"""
 _NAMES = ["feat_id_match", "feat_title_contain", "feat_title_len_diff", "feat_title_jaccard", "feat_title_edit", "feat_auth_jaccard", "feat_auth_overlap", "feat_first_auth_match", "feat_year_diff", "feat_year_match"]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # Folders that hold no sources.
@@ -15,8 +16,6 @@ CANDIDATE = "struct<title:string,authors:array<string>,submission_date:string,su
 
 def _decode(c: Column) -> Column:
     """UTF-8 with broken bytes left out."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(b: pd.Series) -> pd.Series:
         return b.map(lambda x: x.decode("utf-8", "ignore") if x is not None else None)
