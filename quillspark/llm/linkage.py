@@ -18,7 +18,7 @@ from quillspark.session import keep
 # Words too common in titles to tell works apart, notes about the form of a work, and kinds of follow-up.
 _STOP = frozenset("a an and the of in on for with via to from by at as is its without under beyond into over does help meets".split())
 _NOTE = regex.compile(r"(?i)[\s,;:.\-–(\[]*\b(?:preprint|in press|to appear|submitted|forthcoming|accepted|extended(?: version| abstract)?|ext\.? version|full version|short version|early access|online first|working paper|technical report|revised(?: version)?|draft|poster|arxiv(?::?\s*\d{4}\.\d{4,5})?)\b[\s)\].,;]*$")
-_FOLLOW = regex.compile(r"(?i)^\W*(erratum|errata|corrigend(?:um|a)|corrections?|addend(?:um|a)|retraction|comments?|remarks?|notes?|replies|reply|response|rebuttal|discussion)\b\s*(?:(?:on|to|for|of|:|-|–)\s*)+")
+_FOLLOW = regex.compile(r"(?i)^\W*(erratum|errata|corrigend(?:um|a)|corrections?|addend(?:um|a)|retraction|comments?|remarks?|notes?|replies|reply|response|rebuttal|discussion)\b\s*(?:(?:on|to|for|of)\b\s*:?|[:\-–])\s*")
 _PART = regex.compile(r"(?i)(?:[\s,;:(\[\-–]+(?:part|pt\.?|vol(?:ume|\.)?|chapter|episode|no\.?)\s*([ivx]+|\d{1,2}|one|two|three|four|second|third)|[\s,;:(\-–]+([ivx]{2,4}|\d))\W*$")
 _NUMBER = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10, "one": 1, "two": 2, "three": 3, "four": 4, "second": 2, "third": 3}
 _KIND = {"errata": "erratum", "corrigendum": "erratum", "corrigenda": "erratum", "correction": "erratum", "corrections": "erratum", "comments": "comment", "remark": "comment", "remarks": "comment", "note": "comment", "notes": "comment", "replies": "reply", "response": "reply", "rebuttal": "reply", "addenda": "addendum"}

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import base64
 import bisect
-import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -59,6 +58,23 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+def lower_bound(sizes: list[int], capacity: int) -> int:
+    """Containers that no solution can do without: for each threshold, items too large to share are counted, and what is left of the others beside them."""
+    s = sorted(sizes)
+    total = [0]
+    for x in s:
+        total.append(total[-1] + x)
+    best = -(-total[-1] // capacity)
+    for k in sorted({x for x in s if 2 * x <= capacity} | {0}):
+        big = bisect.bisect_right(s, capacity - k)
+        half = bisect.bisect_right(s, capacity // 2)
+        low = bisect.bisect_left(s, k)
+        n1, n2 = len(s) - max(big, half), max(0, big - half)
+        rest = total[half] - total[low] - (n2 * capacity - (total[half + n2] - total[half]))
+        best = max(best, n1 + n2 + max(0, -(-rest // capacity)))
+    return best
+
+
 def _filling(have: list[int], count: dict[int, int], room: int, budget: int) -> list[int]:
     """Sizes that fill `room` best, of the sizes in `have` (ascending, with their counts); fewer and larger ones first.
 
@@ -98,7 +114,7 @@ def _filling(have: list[int], count: dict[int, int], room: int, budget: int) ->
 def complete(sizes: list[int], capacity: int, budget: int = FILLINGS) -> list[list[int]]:
     """Containers (positions of items), none over the capacity, every item once; as few as the search finds."""
     incumbent = best_fit(sizes, capacity)
-    bound = math.ceil(sum(sizes) / capacity)
+    bound = lower_bound(sizes, capacity)
     for effort in (budget, 8 * budget):
         if len(incumbent) <= bound:
             break
