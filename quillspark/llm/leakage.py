@@ -25,8 +25,10 @@ RANK, NEAR = 256, 0.45
 WORDS, CHARACTERS = 25, 50
 #: Steps between passages: of documents, and of items; doubled for characters.
 STEP, ITEM_STEP = 8, 5
-#: Share of words that may be changed, and share of a passage's weight that must be held.
-LOST, HELD = 1 / 6, 0.7
+#: Share of words that may be changed in a stretch, and share of its weight that must then be held. A stretch that is
+#: changed as much as may be shares no more words with its item than stock phrases do; it must hold nearly all the weight.
+LOST, HELD_NEARLY = 0.16, 0.9
+CHANGED, HELD = 0.12, 0.7
 
 _CHARACTERS = r"฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿"
 _PLAIN = re.compile(r"[^\W_]+")
@@ -185,10 +187,12 @@ def _agrees(item: np.ndarray, rare: np.ndarray, doc: np.ndarray, at: int, near:
             continue
         for p in range(0, max(1, len(around) - spread + 2), 2):
             part = around[p : p + spread]
-            if common_subsequence(words, part) >= need:
+            same = common_subsequence(words, part)
+            if same >= need:
                 there = set(part)
                 w = rare[o : o + size]
-                if sum(float(x) for x, y in zip(w, words) if y in there) >= HELD * float(w.sum()):
+                enough = HELD if same >= size - int(size * CHANGED + 0.999) else HELD_NEARLY
+                if sum(float(x) for x, y in zip(w, words) if y in there) >= enough * float(w.sum()):
                     return True
     return False
 
