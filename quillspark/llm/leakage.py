@@ -25,10 +25,14 @@ RANK, NEAR = 256, 0.45
 WORDS, CHARACTERS = 25, 50
 #: Steps between passages: of documents, and of items; doubled for characters.
 STEP, ITEM_STEP = 8, 5
-#: Share of words that may be changed in a stretch, and share of its weight that must then be held. A stretch that is
-#: changed as much as may be shares no more words with its item than stock phrases do; it must hold nearly all the weight.
-LOST, HELD_NEARLY = 0.16, 0.9
-CHANGED, HELD = 0.12, 0.7
+#: Share of words that may be changed in a stretch.
+LOST = 0.16
+#: Words, and characters, of a run; a stretch that is changed as much as may be keeps at least one run. A run is stock if
+#: so large a share of the documents, and at least so many, hold it without the rest of its stretch.
+RUN, RUN_CHARACTERS = 4, 5
+STOCK, STOCK_LEAST = 1 / 2000, 2
+#: Share of its weight that a stretch must hold of which only stock runs are left: little changed, and as much as may be.
+CHANGED, HELD, HELD_NEARLY = 0.12, 0.7, 0.9
 
 _CHARACTERS = r"฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿"
 _PLAIN = re.compile(r"[^\W_]+")
@@ -79,6 +83,18 @@ def _terms(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a * _MIX, np.r_[(a[:-1] * _TURN + a[1:]) * _MIX, np.zeros(min(1, len(a)), np.uint64)]
 
 
+def _runs(ids: np.ndarray, size: int) -> np.ndarray:
+    """Each run of `size` words as a 64-bit number."""
+    n = len(ids) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    a, h = ids.astype(np.uint64), np.full(n, size, np.uint64)
+    for k in range(size):
+        h = (h ^ a[k : k + n]) * _MIX
+        h ^= h >> np.uint64(29)
+    return h
+
+
 def _local(terms: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Places of terms in the sorted vocabulary of the items; its length for a term that no item has."""
     at = np.searchsorted(known, terms)
@@ -99,27 +115,33 @@ def _sums(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return c[hi] - c[lo]
 
 
-def document_frequency(texts: DataFrame, text: str, known: np.ndarray) -> tuple[np.ndarray, int]:
-    """How many of all documents hold each term of the sorted vocabulary `known`, and how many documents have words.
+def document_frequency(texts: DataFrame, text: str, known: np.ndarray, runs: dict[int, np.ndarray]) -> tuple[np.ndarray, dict[int, np.ndarray], int]:
+    """How many of all documents hold each term of the sorted vocabulary `known`, each of the sorted runs by their size, and how many documents have words.
 
     Each task counts for itself; the counts, of the size of the vocabulary, are added up in Spark.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok, df, n = Tokens(), np.zeros(len(known) + 1, np.int64), 0
+        more = {size: np.zeros(len(x) + 1, np.int64) for size, x in runs.items()}
         for b in batches:
             for t in b["t"]:
                 ids, _ = tok(t)
                 if len(ids):
                     n += 1
                     df[np.unique(np.r_[tuple(_local(x, known) for x in _terms(ids))])] += 1
-        at = np.flatnonzero(df[:-1])
-        yield pd.DataFrame({"k": np.r_[at, -1].astype("int64"), "n": np.r_[df[at], n].astype("int64")})
+                    for size, x in runs.items():
+                        if size == RUN or not t.isascii():
+                            more[size][np.unique(_local(_runs(ids, size), x))] += 1
+        every = np.concatenate([df[:-1], *(x[:-1] for x in more.values())])
+        at = np.flatnonzero(every)
+        yield pd.DataFrame({"k": np.r_[at, -1].astype("int64"), "n": np.r_[every[at], n].astype("int64")})
 
     got = texts.select(F.col(text).alias("t")).filter("t is not null").mapInPandas(count, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
-    df = np.zeros(len(known), np.int64)
+    df = np.zeros(len(known) + sum(map(len, runs.values())), np.int64)
     df[got.k[got.k >= 0].to_numpy()] = got.n[got.k >= 0].to_numpy()
-    return df, int(got.n[got.k == -1].sum())
+    parts = np.split(df, np.cumsum([len(known), *map(len, runs.values())])[:-1])
+    return parts[0], dict(zip(runs, parts[1:])), int(got.n[got.k == -1].sum())
 
 
 def latent_space(texts: DataFrame, text: str, known: np.ndarray, idf: np.ndarray, rank: int = RANK, seed: int = 5, passes: int = 2) -> np.ndarray:
@@ -172,8 +194,15 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
-def _agrees(item: np.ndarray, rare: np.ndarray, doc: np.ndarray, at: int, near: int, size: int, reach: int) -> bool:
-    """Whether a stretch of `size` words of the item that starts within `reach` of `at` stands in the document around `near`: in order, close together, with few words changed and its rare words kept."""
+def _is_stock(words: list[int], part: list[int], counts: list[int], run: int, often: float) -> bool:
+    """Whether all runs of the stretch that the document keeps are held by many more documents than the stretch can be, whose rarest run tells how many that is."""
+    there = {tuple(part[k : k + run]) for k in range(len(part) - run + 1)}
+    kept = [n for k, n in enumerate(counts) if tuple(words[k : k + run]) in there]
+    return not kept or min(kept) - min(counts) >= often
+
+
+def _agrees(item: np.ndarray, rare: np.ndarray, counts: np.ndarray, run: int, often: float, doc: np.ndarray, at: int, near: int, size: int, reach: int) -> bool:
+    """Whether a stretch of `size` words of the item that starts within `reach` of `at` stands in the document around `near`: in order, close together, with few words changed, and if nothing but stock runs is left, its rare words kept."""
     around = doc[max(0, near - size // 2) : near + size + size // 2].tolist()
     need = size - int(size * LOST + 0.999)
     spread = size + max(2, int(size * LOST))
@@ -189,6 +218,8 @@ def _agrees(item: np.ndarray, rare: np.ndarray, doc: np.ndarray, at: int, near:
             part = around[p : p + spread]
             same = common_subsequence(words, part)
             if same >= need:
+                if not _is_stock(words, part, counts[o : o + size - run + 1].tolist(), run, often):
+                    return True
                 there = set(part)
                 w = rare[o : o + size]
                 enough = HELD if same >= size - int(size * CHANGED + 0.999) else HELD_NEARLY
@@ -201,8 +232,8 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     """(doc_id, item_id) of every document that holds an item's passage, or a stretch of it of at least 25 words (50 characters in a script without spaces).
 
     Items are a bounded set (a suite, checked here to be at most 20,000 rows); documents may be any number and none
-    is left out. Null and blank texts hold nothing. An item shorter than a stretch is looked for whole. Repeated
-    rows give their pairs once.
+    is left out. Null and blank texts hold nothing. An item shorter than a stretch is looked for whole, and one of less
+    than 5 words only as it is. Repeated rows give their pairs once.
     """
     held = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).filter("t is not null").limit(20_001).toPandas()
     if len(held) > 20_000:
@@ -210,15 +241,23 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     spark = docs.sparkSession
     tok = Tokens()
     kept: list[tuple[object, np.ndarray, bool]] = []
+    short: dict[int, dict[bytes, list[object]]] = {}
     for i, t in zip(held["i"], held["t"]):
         ids, wide = tok(t)
-        if len(ids) >= 5:
+        if len(ids):
             kept.append((i, ids, wide))
+        if 0 < len(ids) < (CHARACTERS if wide else WORDS):
+            short.setdefault(len(ids), {}).setdefault(ids.tobytes(), []).append(i)
     kinds = f"{doc_id} {dict(docs.dtypes)[doc_id]}, {item_id} {dict(items.dtypes)[item_id]}"
     if not kept:
         return spark.createDataFrame([], kinds)
     known = np.unique(np.concatenate([x for _, ids, _ in kept for x in _terms(ids)]))
-    df, n = document_frequency(docs, text, known)
+    run_of = {wide: RUN_CHARACTERS if wide else RUN for wide in (False, True)}
+    numbers = [_runs(ids, run_of[wide]) for _, ids, wide in kept]
+    runs = {run_of[w]: np.unique(np.concatenate(x)) for w in (False, True) if (x := [y for (_, _, wide), y in zip(kept, numbers) if wide == w and len(y)])}
+    df, held_by, n = document_frequency(docs, text, known, runs)
+    counts = [held_by[run_of[wide]][_local(x, runs[run_of[wide]])] if len(x) else np.zeros(0, np.int64) for (_, _, wide), x in zip(kept, numbers)]
+    often = max(STOCK_LEAST, n * STOCK)
     idf = np.maximum(np.log((1 + n) / (1 + df)), 0.02).astype(np.float32)
     basis = latent_space(items, item_text, known, idf, rank)
     # a term that no item has weighs as much as the items' terms do in the middle, and lies outside the space
@@ -241,23 +280,30 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     queries = np.concatenate(vectors).astype(np.float32)
     words_all, wide_all = np.array(words_of, np.int32), np.array(is_wide)
     split = {w: np.flatnonzero(wide_all == w) for w in (False, True)}
-    shared = spark.sparkContext.broadcast((kept, known, np.array(owner), np.array(start), words_all, {w: np.ascontiguousarray(queries[x].T) for w, x in split.items()}, split, weight, place))
+    shared = spark.sparkContext.broadcast((kept, known, np.array(owner), np.array(start), words_all, counts, short, {w: np.ascontiguousarray(queries[x].T) for w, x in split.items()}, split, weight, place))
     id_type = held["i"].dtype
 
     lengths = np.array([len(ids) for _, ids, _ in kept])[np.array(owner)]
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept, known, owner, start, words_all, matrix, split, weight, place = shared.value
+        kept, known, owner, start, words_all, counts, short, matrix, split, weight, place = shared.value
         tok = Tokens()
         rare = [weight[_local(_terms(ids)[0], known)] for _, ids, _ in kept]
         square = weight**2
         inner = square.copy()
         inner[-1] = 0
+        first = {size: np.array([np.frombuffer(x, np.uint32)[0] for x in of], np.uint32) for size, of in short.items()}
         mark, stamp = np.zeros(len(known) + 1, np.int64), 0
         for b in batches:
             out_d, out_i = [], []
             for d, t in zip(b["d"], b["t"]):
                 ids, mainly = tok(t)
+                for size, of in short.items():
+                    if len(ids) >= size:
+                        for p in np.flatnonzero(np.isin(ids[: len(ids) - size + 1], first[size])).tolist():
+                            for i in of.get(ids[p : p + size].tobytes(), ()):
+                                out_d.append(d)
+                                out_i.append(i)
                 if len(ids) < 5:
                     continue
                 one, two = (_local(x, known) for x in _terms(ids))
@@ -291,7 +337,7 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
                             continue
                         for j in np.flatnonzero(ok)[np.argsort(-score[r][cols[ok]])].tolist():
                             k = int(owner[c[j]])
-                            if k not in done and _agrees(kept[k][1], rare[k], ids, int(start[c[j]]), p, int(length[j]), (ITEM_STEP * step + 1) // 2):
+                            if k not in done and length[j] >= 5 and _agrees(kept[k][1], rare[k], counts[k], RUN_CHARACTERS if wide else RUN, often, ids, int(start[c[j]]), p, int(length[j]), (ITEM_STEP * step + 1) // 2):
                                 done.add(k)
                                 out_d.append(d)
                                 out_i.append(kept[k][0])

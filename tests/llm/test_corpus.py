@@ -29,6 +29,24 @@ def test_leaks(spark):
     assert leakage.find_leaks(df, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
 
 
+def test_leaks_changed_as_much_as_may_be(spark):
+    w = [text(200 + i).split() for i in range(6)]
+    frame = "on the {} of march we took {} pages of the {} in the old hall at the {} sea for the first"
+    fill = lambda k: frame.format(*[f"name{k}x{j}" for j in range(4)])
+    items = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(w)] + [(6, "Zeta qux nine"), (7, f"{text(300, 20)} {fill(0)} three of them {text(301, 20)}")], "item_id bigint, text string")
+    docs = [(0, text(400) + " zeta, QUX nine. " + text(401)), (1, "zeta qux nine"), (2, "zeta qux eight nine and others")]
+    for i, x in enumerate(w):
+        y = x[20:45]
+        for k in (3, 9, 15, 21):
+            y[k] = f"other{k}"
+        docs.append((10 + i, f"{text(500 + i)} {' '.join(y)} {text(600 + i)}"))
+        docs.append((20 + i, " ".join(f"new{k}" if k % 6 == 0 else v for k, v in enumerate(x))))
+    docs += [(100 + k, f"{text(700 + k)} {fill(k)} {text(800 + k)}") for k in range(1, 12)]
+    docs.append((99, f"{text(900)} {fill(99)} three of them {text(901)}"))
+    got = {tuple(r) for r in leakage.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", "text", items, "item_id", "text").collect()}
+    assert got == {(0, 6), (1, 6)} | {(10 + i, i) for i in range(6)} | {(20 + i, i) for i in range(6)}
+
+
 def test_subsequence():
     assert leakage.common_subsequence([1, 2, 3, 4], [2, 9, 4, 1]) == 2 and leakage.common_subsequence([], [1]) == 0
 
