@@ -18,6 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 LABELLED = 3600
 
 END = r"[.!?。！？।؟…]"
+_WIDE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\u30fc"
+#: A word: a run of letters, marks and digits, or one character of a script without spaces.
+WORD = rf"[{_WIDE}&&[\p{{L}}\p{{M}}\p{{N}}]]|[\p{{L}}\p{{M}}\p{{N}}&&[^{_WIDE}]]+"
 
 
 def _count(pattern: str) -> Column:
@@ -37,21 +40,28 @@ def _times(what: str) -> Column:
 def statistics(df: DataFrame, row_id: str, text: str, common: DataFrame | None = None) -> DataFrame:
     """One row per document with a text that is not blank: counts and shares, each a double.
 
-    words (by white space; a part of a word for each character that takes several bytes, which tells scripts without spaces),
-    mean_word, lines, line_len, symbols, digits, upper, ends (lines ending in punctuation), marks (sentence ends a
+    words (runs of letters, marks and digits; each character of a script without spaces is one), mean_word (letters,
+    marks and digits a word), lines, line_len, symbols, digits, upper (capitals among the letters), ends (lines ending in punctuation), marks (sentence ends a
     word), starts (lines that begin like list items), cells (separators a line, of the kind that is most frequent:
-    tabs, bars, ampersands, gaps, commas without a space), short (lines up to 60 characters), long (share of
+    tabs, bars, ampersands, gaps, commas without a space), bars (share of lines with two or more separators), short (lines up to 60 characters), long (share of
     characters in longer lines that hold no separator), commas, rich (distinct words by the root of all),
     distinct_lines, odd (broken encodings and glyph codes), hex (machine words), tex (command lines), leaders (lines
     that end in a number), common (share of common words). Null and blank texts have no row. `common` holds the
-    frequent words (lang, word); it is small and fixed. The columns are separate expressions: those not asked for
+    frequent words (lang, word); it is small and fixed. Those that end in _rule are cheaper stand-ins for the rules only:
+    words by white space and bytes, word length over all characters, ASCII digits, rates by such words. The columns are separate expressions: those not asked for
     cost nothing.
     """
-    words = sorted({r["word"].lower() for r in common.select("word").limit(5000).collect() if r["word"]}) if common is not None else []
+    words = sorted({r["word"].lower() for r in common.select("word").distinct().collect() if r["word"]}) if common is not None else []
     clean = F.trim(F.replace(F.replace(F.replace(F.col(text), F.lit("\r"), F.lit("\n")), F.lit("\n\n"), F.lit("\n")), F.lit("\n\n"), F.lit("\n")), F.lit(" \n\t"))
     d = df.filter(F.col(text).rlike(r"\S")).select(F.col(row_id).alias("id"), clean.alias("t"))
     d = d.withColumns({"chars": F.length("t").cast("double"), "bytes": F.octet_length("t").cast("double"), "w": F.split("t", r"\s+"), "l": F.split("t", "\n")})
-    n_words = F.size("w").cast("double") + (F.col("bytes") - F.col("chars")) / 8
+    n_words = _count(WORD)
+    by_bytes = F.size("w").cast("double") + (F.col("bytes") - F.col("chars")) / 8
+    a_word = lambda x: F.coalesce(F.try_divide(x, n_words), F.lit(0.0))
+    marks = _count(rf"{END}[\"'”’»」』)\]]*(?:\s|$)|[。！？]")
+    commas = _times(", ") + _times("，") + _times("、")
+    odd = _times("(cid:") + _times(" ? ") + _count(r"[ÃÂÄÅá�][\u0080-¿º»]")
+    hexes = _count(r"\b(?=[a-z]*\d)(?=\d*[a-z])[0-9a-z]{9,}\b")
     lines = F.size("l").cast("double")
     spaced = F.size("w").cast("double")
     listed = F.array(*[F.lit(x) for x in words]) if words else None
@@ -59,32 +69,40 @@ def statistics(df: DataFrame, row_id: str, text: str, common: DataFrame | None =
     return d.select(
         "id",
         n_words.alias("words"),
-        (F.col("chars") / n_words).alias("mean_word"),
+        a_word(_kept(r"[^\p{L}\p{M}\p{N}]+")).alias("mean_word"),
+        (F.col("chars") / by_bytes).alias("mean_word_rule"),
         lines.alias("lines"),
         (F.col("chars") / lines).alias("line_len"),
         (_kept(r"[\p{L}\p{M}\p{N}\s]+") / F.col("chars")).alias("symbols"),
-        (_kept("[^0-9]+") / F.col("chars")).alias("digits"),
-        (_kept(r"[^\p{Lu}]+") / F.col("chars")).alias("upper"),
+        (_kept(r"[^\p{Nd}]+") / F.col("chars")).alias("digits"),
+        (_kept("[^0-9]+") / F.col("chars")).alias("digits_rule"),
+        F.coalesce(F.try_divide(_kept(r"[^\p{Lu}]+"), _kept(r"[^\p{L}\p{M}]+")), F.lit(0.0)).alias("upper"),
         (_count(rf"{END}[\"'”’»」』)\]]*[ \t]*(?:\n|$)") / lines).alias("ends"),
-        (_count(rf"{END}[\"'”’»」』)\]]*(?:\s|$)|[。！？]") / n_words).alias("marks"),
+        a_word(marks).alias("marks"),
+        (marks / by_bytes).alias("marks_rule"),
         (_count(r"(?m)^[ \t]*(?:[-*•‣◦▪–]|\\item|\(?\d{1,3}[.)\]]|\[\d{1,4}\]|\d{1,2}(?:\.\d{1,3})+)[ \t]") / lines).alias("starts"),
         (F.greatest(_times("\t"), _times("|"), _times("&"), _times("  ") / 2, _times(",") - _times(", ")) / lines).alias("cells"),
+        (_count(r"(?m)^(?:[^\t\n]*\t[^\n]*|[^|\n]*\|[^|\n]*\|[^\n]*|[^&\n]*&[^&\n]*&[^\n]*|[^\n]*\S {2,}\S+ {2,}\S[^\n]*|[^,\s]*,[^,\s]*,[^\s]*)$") / lines).alias("bars"),
         (_count(r"(?m)^[^\n]{0,60}$") / lines).alias("short"),
         (_kept(r"(?m)^(?:[^\n]{0,60}|[^\n\t|]{0,60}[\t|][^\n]*)$") / F.col("chars")).alias("long"),
-        ((_times(", ") + _times("，") + _times("、")) / n_words).alias("commas"),
+        a_word(commas).alias("commas"),
+        (commas / by_bytes).alias("commas_rule"),
         F.when(F.col("chars") > 25 * spaced, F.size(F.array_distinct(F.split("t", ""))) / F.sqrt(F.col("chars") / 2)).otherwise(F.size(F.array_distinct("w")) / F.sqrt(spaced)).alias("rich"),
         (F.size(F.array_distinct("l")) / lines).alias("distinct_lines"),
-        ((_times("(cid:") + _times(" ? ") + _count(r"[ÃÂÄÅá�][\u0080-¿º»]")) / n_words).alias("odd"),
-        (_count(r"\b(?=[a-z]*\d)(?=\d*[a-z])[0-9a-z]{9,}\b") / n_words).alias("hex"),
+        a_word(odd).alias("odd"),
+        (odd / by_bytes).alias("odd_rule"),
+        a_word(hexes).alias("hex"),
+        (hexes / by_bytes).alias("hex_rule"),
         (_count(r"(?m)^\s*(?:\\[A-Za-z@]+(?:\s+\S+){0,3}(?:\\[A-Za-z]+)?|\W{2,8})\s*$") / lines).alias("tex"),
         (_count(r"(?m)\d$") / lines).alias("leaders"),
         (known / spaced).alias("common"),
     )
 
 
-FEATURES = ["words", "mean_word", "lines", "line_len", "symbols", "digits", "upper", "ends", "marks", "starts", "cells", "short", "long", "commas", "rich", "distinct_lines", "odd", "hex", "tex", "leaders", "common"]
+FEATURES = ["words", "mean_word", "lines", "line_len", "symbols", "digits", "upper", "ends", "marks", "starts", "cells", "bars", "short", "long", "commas", "rich", "distinct_lines", "odd", "hex", "tex", "leaders", "common"]
 #: What rules may be learned from: statistics that hang on length or language alone would only fit the labelled documents.
-LEARNED = [f for f in FEATURES if f not in ("words", "upper", "common")]
+RULE_ONLY = ("mean_word", "digits", "marks", "commas", "odd", "hex")
+LEARNED = [f"{f}_rule" if f in RULE_ONLY else f for f in FEATURES if f not in ("words", "upper", "bars", "common")]
 KINDS = ("junk", "table", "list")
 
 
@@ -368,7 +386,7 @@ def classify(df: DataFrame, row_id: str, text: str, common: DataFrame | None = N
     expression wherever the CASE names it, and compute it as often.
     """
     rules = learn(df.sparkSession) if rules is None else rules
-    names = FEATURES if with_statistics else sorted({f for _, c in rules for f, _, _ in c}) or ["lines"]
+    names = [*FEATURES, *(f"{f}_rule" for f in RULE_ONLY)] if with_statistics else sorted({f for _, c in rules for f, _, _ in c}) or ["lines"]
     s = statistics(df, row_id, text, common if "common" in names else None)
     one = s.select("id", F.explode(F.array(F.struct(*names))).alias("s")).select("id", "s.*")
-    return one.select(F.col("id").alias(row_id), F.expr(rules_sql(rules)).alias("kind"), *(names if with_statistics else []))
+    return one.select(F.col("id").alias(row_id), F.expr(rules_sql(rules)).alias("kind"), *(FEATURES if with_statistics else []))

@@ -91,6 +91,15 @@ def test_statistics(spark):
     assert s[1].words == 5 and s[1].lines == 2 and s[1].ends == 0.5 and s[1].common == 0.4 and s[2].words == 1
 
 
+def test_words_of_other_scripts(spark):
+    common = spark.createDataFrame([("en", f"a{i:05d}") for i in range(6000)] + [("en", "zzz")], "lang string, word string")
+    texts = ["Новый метод — очень быстрый, ДА!", "नई विधि है।", "結果は良い。Ab 3", "zzz ٣٤ a|b|c", "?!"]
+    s = {r.id: r for r in quality.statistics(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "doc_id", "text", common).collect()}
+    assert [s[i].words for i in range(5)] == [5, 3, 7, 5, 0]
+    assert s[0].mean_word == 24 / 5 and s[0].upper == 3 / 24 and s[1].mean_word == 8 / 3 and s[2].mean_word == 8 / 7 and s[4].mean_word == 0
+    assert s[3].digits == 2 / 12 and s[3].bars == 1 and s[3].common > 0 and s[0].commas == 1 / 5
+
+
 def test_rules():
     x = {"a": np.arange(90.0), "b": np.zeros(90)}
     y = np.array(["junk"] * 30 + ["prose"] * 60, object)
