@@ -99,6 +99,13 @@ def pair_features(p: DataFrame) -> DataFrame:
     })
 
 
+def candidate_pool(p: DataFrame) -> DataFrame:
+    """Every bibliography record with every candidate of its paper; of a record's or candidate's rows the first counts."""
+    first = lambda key, side: p.groupBy("paper_id", key).agg(F.min_by(F.struct(*side), "pair_id").alias("m")).select("paper_id", key, "m.*")
+    q = first("bib_no", ["bib_title", "bib_authors", "bib_id", "bib_year"])
+    return q.join(first("cand_id", ["cand_title", "cand_authors", "cand_year"]), "paper_id")
+
+
 def fuzzy_features(p: DataFrame) -> DataFrame:
     """The features that need block matching: title ratio, ratio of sorted words, best partial ratio, and sorted authors."""
     join = lambda c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), " ")

@@ -262,6 +262,32 @@ def mean_reciprocal_rank(spark: SparkSession, d: str) -> DataFrame:
     return K.reciprocal_rank(_ranked(spark, d), truth, ["bib_no"]).agg(F.count("*").alias("n_queries"), F.round(F.avg("rr"), 6).alias("mrr"))
 
 
+def _pool_ranked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The 5 best of all candidates of a record's paper, by the classifier trained on the papers of the train partition; and the partitions."""
+    from quillspark.plans import model
+
+    p = table(spark, d, "pairs")
+    parts = D.split_papers(p, "paper_id")
+    names = [x for x in _NAMES if x != "feat_year_diff"]
+    known = M.pair_features(p.join(parts.filter("partition = 'train'"), "paper_id").filter("label is not null"))
+    scored = model.score(model.train(known, names), M.pair_features(M.candidate_pool(p)))
+    return K.top_k(scored.select("paper_id", "bib_no", "cand_id", "score"), ["paper_id", "bib_no"], "score", "cand_id"), parts
+
+
+@query()
+def rank_pool_top5(spark: SparkSession, d: str) -> DataFrame:
+    return _pool_ranked(spark, d)[0]
+
+
+@query()
+def mrr_pool(spark: SparkSession, d: str) -> DataFrame:
+    """Mean reciprocal rank of the labelled records by partition; the model has seen the labels of `train`."""
+    ranked, parts = _pool_ranked(spark, d)
+    truth = table(spark, d, "pairs").filter("label = 1").select("paper_id", "bib_no", F.col("cand_id").alias("true_id")).distinct()
+    rr = K.reciprocal_rank(ranked, truth, ["paper_id", "bib_no"]).join(parts, "paper_id")
+    return rr.groupBy("partition").agg(F.count("*").alias("n_queries"), F.round(F.avg("rr"), 6).alias("mrr"))
+
+
 @query("""SELECT source_paper_id AS paper, key, arg_max(ground_truth.id, label_id) AS true_id FROM labels WHERE trim(source_paper_id, ' ') <> '' AND trim(key, ' ') <> '' AND trim(ground_truth.id, ' ') <> '' GROUP BY ALL""")
 def ground_truth(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "labels").select("label_id", F.col("source_paper_id").alias("paper"), "key", F.col("ground_truth.id").alias("true_id"))

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from quillspark.operators import dataset as D, matching as M, ranking as K
-from quillspark.plans import model
+from quillspark.plans import model, reference_queries
 from quillspark.streaming import first_seen
 
 
@@ -39,6 +39,25 @@ def test_ranking(spark):
     assert [tuple(r) for r in K.ground_truth(lab).collect()] == [("p", "k", "b")]
 
 
+def test_pool_ranking(spark, tmp_path):
+    rows, n = [], 0
+    for paper in range(12):
+        titles = [f"{a}{paper} of {b} waves" for a, b in zip(("deep", "shallow", "cold", "warm", "late", "early", "thin"), ("red", "blue", "grey", "pink", "black", "white", "green"))]
+        for i, t in enumerate(titles):
+            for j, label in ((i, 1), ((i + 1) % 7, 0)) if i else ((1, 0), (2, 0)):
+                rows.append((n, f"p{paper}", paper * 10 + i, t, ["A B"], "", "2001", f"c{paper}_{j}", titles[j], ["A B"], "2001", label))
+                n += 1
+        rows.append((n, f"p{paper}", paper * 10 + 9, "nothing alike", ["C"], "", "1990", f"c{paper}_0", titles[0], ["A B"], "2001", None))
+        n += 1
+    cols = "pair_id bigint, paper_id string, bib_no bigint, bib_title string, bib_authors array<string>, bib_id string, bib_year string, cand_id string, cand_title string, cand_authors array<string>, cand_year string, label int"
+    spark.createDataFrame(rows, cols).write.parquet(f"{tmp_path}/pairs.parquet")
+    top = reference_queries.rank_pool_top5(spark, str(tmp_path)).collect()
+    assert len(top) == 12 * 8 * 5
+    # the right candidate of the first record stands only in another record's row
+    assert {r.cand_id for r in top if r["rank"] == 1 and r.bib_no % 10 == 0} == {f"c{p}_0" for p in range(12)}
+    assert {r.partition: (r.n_queries, r.mrr) for r in reference_queries.mrr_pool(spark, str(tmp_path)).collect()} == {"train": (54, 1.0), "validation": (6, 1.0), "test": (12, 1.0)}
+
+
 def test_model(spark, tmp_path):
     df = spark.createDataFrame([(float(i % 2), 1.0, i % 2, i % 5) for i in range(60)], "f double, g double, label int, fold int")
     m = model.cross_validate(df, ["f", "g"], ("decision_tree",)).first()
