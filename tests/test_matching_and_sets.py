@@ -69,6 +69,16 @@ def test_model(spark, tmp_path):
     assert K.correlations(df, ["f", "g"], "label").filter("feature = 'g'").first().corr is None
 
 
+def test_classifiers_of_the_survey(spark, monkeypatch):
+    made = model.classifiers(40)
+    assert (made["boosted_trees"][0].getMaxIter(), made["boosted_trees"][0].getMaxDepth(), made["logistic_regression"][-1].getRegParam()) == (100, 6, 1 / 40)
+    df = spark.createDataFrame([(float(i % 2), i % 2, i % 5) for i in range(40)], "f double, label int, fold int")
+    asked = []
+    train = model.train
+    monkeypatch.setattr(model, "train", lambda d, features, name: asked.append(name) or train(d, features, "logistic_regression"))
+    assert {r.model for r in model.cross_validate(df, ["f"], k=1).collect()} == {"boosted_trees", "decision_tree", "logistic_regression"} == set(asked)
+
+
 def test_stream(spark, tmp_path):
     rows = [("p", "Ref one", "2024-01-01 00:00:00"), ("p", "ref ONE!", "2024-01-01 05:00:00"), ("q", "Ref one", "2024-01-01 06:00:00")]
     df = spark.createDataFrame(rows, "paper_id string, raw_text string, extracted_at string").withColumn("extracted_at", F.to_timestamp("extracted_at"))
