@@ -2,9 +2,11 @@
 
 Texts are cut into overlapping passages of words and pairs of words, weighted by TF-IDF; the document frequencies of
 all terms of the items are counted over all documents. A randomised SVD of the items' passages, whose products are
-computed in parallel and added up, gives the latent space. Every passage of every document is placed in it and
-compared with all passages of the items by cosine. Pairs that come near are aligned by the longest common
-subsequence of their words, and the rare words of the passage, which carry its answer, must be among them.
+computed in parallel and added up, gives the latent space; the passages of one item are one cell of it. A passage of a
+document is placed in it and compared by cosine with the passages of those cells with which it shares as many word
+pairs as a stretch changed as much as may be still keeps (a bound that rules out no such stretch). Pairs that come near
+are aligned by the longest common subsequence of their words, and the rare words of the passage, which carry its answer,
+must be among them.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Dimensions of the latent space, and the cosine from which two passages are aligned. Measured against brute force
 #: over 1,500 documents: 0.98 of the leaks have a passage above it.
-RANK, NEAR = 256, 0.45
+RANK, NEAR = 256, 0.35
 #: Words of a passage, and characters of one in a script without spaces.
 WORDS, CHARACTERS = 25, 50
 #: Steps between passages: of documents, and of items; doubled for characters.
@@ -39,6 +41,7 @@ _PLAIN = re.compile(r"[^\W_]+")
 _MIXED = regex.compile(rf"[{_CHARACTERS}]|(?:(?![{_CHARACTERS}_])[\w\p{{M}}])+")
 _NEEDS = re.compile(rf"[{_CHARACTERS}ऀ-ൿ؀-ۿ]")
 _WITHOUT_SPACES = re.compile(rf"[{_CHARACTERS}]")
+_ASCII = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _HYPHEN = re.compile(r"(?<=[^\W\d_])-[ \t]*\n\s*(?=[^\W\d_])")
 
 
@@ -46,34 +49,60 @@ class Tokens:
     """Words as 32-bit numbers, remembered for the life of a task."""
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: tuple[dict[bytes, int], dict[str, int]] = ({}, {})
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, bool]:
         """(numbers, whether the text is mainly in a script without spaces, whose characters are the words)."""
         if not text:
             return np.zeros(0, np.uint32), False
-        s = text.lower()
-        if "-\n" in s:
-            s = _HYPHEN.sub("", s)
         wide = False
-        if s.isascii() or not _NEEDS.search(s):
-            words = _PLAIN.findall(s)
+        if text.isascii() and "-\n" not in text:
+            known, words = self.known[0], text.encode("ascii").translate(_ASCII).split()
         else:
-            words = [w for w in _MIXED.findall(s) if w[0] not in "_"]
-            wide = 2 * sum(1 for w in words if _WITHOUT_SPACES.match(w)) > len(words)
-        known = self.known
+            known, s = self.known[1], text.lower()
+            if "-\n" in s:
+                s = _HYPHEN.sub("", s)
+            if s.isascii() or not _NEEDS.search(s):
+                words = _PLAIN.findall(s)
+            else:
+                words = [w for w in _MIXED.findall(s) if w[0] not in "_"]
+                wide = 2 * len(_WITHOUT_SPACES.findall(s)) > len(words)
         try:
-            out = [known[w] for w in words]
+            out = list(map(known.__getitem__, words))
         except KeyError:
             if len(known) > 1_000_000:
                 known.clear()
             for w in words:
                 if w not in known:
-                    known[w] = zlib.crc32(w.encode("utf-8", "surrogatepass"))
-            out = [known[w] for w in words]
+                    known[w] = zlib.crc32(w if isinstance(w, bytes) else w.encode("utf-8", "surrogatepass"))
+            out = list(map(known.__getitem__, words))
         return np.array(out, np.uint32), wide
 
 
+class Lookup:
+    """Places of 64-bit numbers in a sorted array, by a table over their leading bits; its length for a number that it doesn't hold."""
+
+    def __init__(self, known: np.ndarray) -> None:
+        self.known, bits = known, max(8, min(22, int(len(known)).bit_length() + 5))
+        self.shift = np.uint64(64 - bits)
+        lead = (known >> self.shift).astype(np.int64)
+        self.first = np.full(1 << bits, len(known), np.int32)
+        self.first[lead[::-1]] = np.arange(len(known), dtype=np.int32)[::-1]
+        self.shared = np.zeros(1 << bits, bool)
+        self.shared[lead[1:][lead[1:] == lead[:-1]]] = True
+        self.padded = np.r_[known, np.uint64(0)]
+
+    def __call__(self, numbers: np.ndarray) -> np.ndarray:
+        lead = (numbers >> self.shift).astype(np.int64)
+        at = self.first[lead]
+        wrong = self.padded[at] != numbers
+        at[wrong] = len(self.known)
+        again = np.flatnonzero(wrong & self.shared[lead])
+        if len(again):
+            at[again] = _local(numbers[again], self.known)
+        return at
+
+
 _MIX, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(1000003)
 
 
@@ -123,16 +152,49 @@ def document_frequency(texts: DataFrame, text: str, known: np.ndarray, runs: dic
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok, df, n = Tokens(), np.zeros(len(known) + 1, np.int64), 0
+        places, run_places = Lookup(known), {size: Lookup(x) for size, x in runs.items()}
         more = {size: np.zeros(len(x) + 1, np.int64) for size, x in runs.items()}
+        width = 1 + max(len(known), *map(len, runs.values())) if runs else 1 + len(known)
+        docs_at_once = max(1, min(256, 2_000_000 // width))
+        held = np.zeros((docs_at_once, width), bool)
+
+        def add(some: list[tuple[np.ndarray, bool]]) -> None:
+            lengths = np.array([len(x) for x, _ in some])
+            ids, row = np.concatenate([x for x, _ in some]), np.repeat(np.arange(len(some)), lengths)
+            end = np.cumsum(lengths)
+
+            def tell(counts: np.ndarray, *at: np.ndarray) -> None:
+                held[: len(some)] = False
+                for x in at:
+                    held[row[: len(x)], x] = True
+                counts += held[: len(some), : len(counts)].sum(0)
+
+            one, two = (places(x) for x in _terms(ids))
+            two[end - 1] = len(known)  # a pair ends with its text
+            tell(df, one, two)
+            for size, look in run_places.items():
+                at = look(_runs(ids, size))
+                for k in range(1, size):
+                    past = end - k
+                    at[past[(past >= 0) & (past < len(at))]] = len(look.known)
+                if size != RUN:
+                    at[~np.repeat([w for _, w in some], lengths)[: len(at)]] = len(look.known)
+                tell(more[size], at)
+
+        waiting: list[tuple[np.ndarray, bool]] = []
+        words = 0
         for b in batches:
             for t in b["t"]:
                 ids, _ = tok(t)
                 if len(ids):
                     n += 1
-                    df[np.unique(np.r_[tuple(_local(x, known) for x in _terms(ids))])] += 1
-                    for size, x in runs.items():
-                        if size == RUN or not t.isascii():
-                            more[size][np.unique(_local(_runs(ids, size), x))] += 1
+                    waiting.append((ids, not t.isascii()))
+                    words += len(ids)
+                    if len(waiting) == docs_at_once or words > 100_000:
+                        add(waiting)
+                        waiting, words = [], 0
+        if waiting:
+            add(waiting)
         every = np.concatenate([df[:-1], *(x[:-1] for x in more.values())])
         at = np.flatnonzero(every)
         yield pd.DataFrame({"k": np.r_[at, -1].astype("int64"), "n": np.r_[every[at], n].astype("int64")})
@@ -144,7 +206,7 @@ def document_frequency(texts: DataFrame, text: str, known: np.ndarray, runs: dic
     return parts[0], dict(zip(runs, parts[1:])), int(got.n[got.k == -1].sum())
 
 
-def latent_space(texts: DataFrame, text: str, known: np.ndarray, idf: np.ndarray, rank: int = RANK, seed: int = 5, passes: int = 2) -> np.ndarray:
+def latent_space(texts: DataFrame, text: str, known: np.ndarray, idf: np.ndarray, rank: int = RANK, seed: int = 5, passes: int = 2, parts: int = 4) -> np.ndarray:
     """Right singular vectors (vocabulary x rank) of the TF-IDF passages of `texts`, by randomised subspace iteration.
 
     Each pass computes A'(A q) over the passages A of each task; the products, of fixed size, are added up.
@@ -152,7 +214,7 @@ def latent_space(texts: DataFrame, text: str, known: np.ndarray, idf: np.ndarray
     rng = np.random.default_rng(seed)
     width = min(rank + 8, len(known))
     q = np.linalg.qr(rng.standard_normal((len(known), width)))[0].astype(np.float32)
-    rows = texts.select(F.col(text).alias("t")).filter("t is not null").repartition(4)
+    rows = texts.select(F.col(text).alias("t")).filter("t is not null").repartition(parts)
     for _ in range(passes):
         basis = q
 
@@ -163,7 +225,7 @@ def latent_space(texts: DataFrame, text: str, known: np.ndarray, idf: np.ndarray
                     ids, wide = tok(t)
                     if not len(ids):
                         continue
-                    one, two = (_local(x, known) for x in _terms(ids))
+                    one, two = _placed(ids, known)
                     size = CHARACTERS if wide else WORDS
                     for at in _starts(len(ids), size, ITEM_STEP * (2 if wide else 1)):
                         k = np.r_[one[at : at + size], two[at : at + size - 1]]
@@ -194,6 +256,19 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
+def common_subsequences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same for each row of a (at most 63 words) and of b."""
+    full = np.uint64((1 << a.shape[1]) - 1)
+    where = np.zeros(b.shape, np.uint64)
+    for i in range(a.shape[1]):
+        where |= (a[:, i, None] == b).astype(np.uint64) << np.uint64(i)
+    v = np.full(len(a), full)
+    for j in range(b.shape[1]):
+        m = where[:, j] & v
+        v = ((v + m) | (v - m)) & full
+    return a.shape[1] - np.bitwise_count(v).astype(np.int64)
+
+
 def _is_stock(words: list[int], part: list[int], counts: list[int], run: int, often: float) -> bool:
     """Whether all runs of the stretch that the document keeps are held by many more documents than the stretch can be, whose rarest run tells how many that is."""
     there = {tuple(part[k : k + run]) for k in range(len(part) - run + 1)}
@@ -228,16 +303,103 @@ def _agrees(item: np.ndarray, rare: np.ndarray, counts: np.ndarray, run: int, of
     return False
 
 
-def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, near: float = NEAR, rank: int = RANK) -> DataFrame:
+def least_runs(length: int, size: int) -> int:
+    """Runs of `size` words that a stretch keeps at least: it keeps all words but those that may be changed, and is cut in no more pieces than one word in four, changed, added or lost, can cut it in."""
+    return max(1 if size == 2 else 0, length - int(length * LOST + 0.999) - (size - 1) * (1 + length // 4))
+
+
+class _Cells:
+    """What a search needs of the items of words, or of those of characters: the passages of each item, placed in the latent space, and which items hold a pair of words."""
+
+    def __init__(self, members: list[int], kept: list[tuple[object, np.ndarray, bool]], wide: bool, known: np.ndarray, triples: np.ndarray, place: np.ndarray) -> None:
+        self.size, self.step = (CHARACTERS, 2 * STEP) if wide else (WORDS, STEP)
+        self.reach = ITEM_STEP * (2 if wide else 1)
+        self.members = members
+        starts, vectors, words, runs, held = [], [], [], [], []
+        for k in members:
+            one, two = _placed(kept[k][1], known)
+            at = _starts(len(one), self.size, self.reach)
+            v = _sums(place[one] + place[two], at, np.minimum(at + self.size, len(one)))
+            vectors.append(v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-9))
+            starts.append(at)
+            spot = at[:, None] + np.arange(min(self.size, len(one)))
+            wider = ((0, 0), (0, self.size - spot.shape[1]))
+            words.append(np.pad(one[spot], wider, constant_values=len(known)))
+            runs.append(np.pad(_local(_runs(kept[k][1], 3), triples)[spot[:, :-2]], wider, constant_values=len(triples)) + len(known) + 2)
+            held.append(np.unique(two[two < len(known)]))
+        # passages of all items, in one row; those of item c from cut[c] to cut[c + 1]
+        self.cut = np.cumsum([0, *map(len, starts)])
+        self.cell = np.repeat(np.arange(len(members)), np.diff(self.cut))
+        self.starts = np.concatenate(starts)
+        self.vectors = np.ascontiguousarray(np.concatenate(vectors).T.astype(np.float32))
+        self.words, self.runs = np.concatenate(words), np.concatenate(runs)
+        # a term can't come so often: it stands for no word or run
+        self.words_nth = np.where(self.words < len(known), _times(self.words), 256)
+        self.runs_nth = np.where(self.runs < len(known) + 2 + len(triples), _times(self.runs), 256)
+        # what a passage shares at least with a stretch that starts within half a step of it
+        self.lengths = np.array([min(self.size, len(kept[k][1])) for k in members])
+        self.most = (self.lengths - (self.lengths * LOST + 0.999).astype(int) - self.reach // 2)[self.cell]
+        self.least = np.array([least_runs(x, 2) for x in self.lengths.tolist()], np.int32)
+        self.few = np.array([least_runs(x, 3) for x in self.lengths.tolist()], np.int32)[self.cell] - (self.reach + 1) // 2
+        term, owner = np.concatenate(held), np.repeat(np.arange(len(held)), list(map(len, held)))
+        order = np.argsort(term, kind="stable")
+        self.first, self.owner = np.searchsorted(term[order], np.arange(len(known) + 3)), owner[order].astype(np.int64)
+
+    def near(self, two: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Passages (rows of `at`) and items that share enough pairs of words. `two`: the pairs of many texts, with at least 2 x STEP places between them that hold nothing."""
+        n, bins = len(self.members), -(-len(two) // STEP)
+        count = self.first[two + 1] - self.first[two]
+        pos = np.flatnonzero(count)
+        count = count[pos]
+        ends = np.cumsum(count)
+        entry = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.first[two[pos]] - (ends - count), count)
+        held = np.zeros((bins + 1, n), np.int32)
+        held[1:] = np.bincount(np.repeat((pos // STEP) * n, count) + self.owner[entry], minlength=bins * n).reshape(bins, n)
+        np.cumsum(held, axis=0, out=held)
+        # a stretch that starts within half a step of a passage ends, with the words that may be added, in these bins
+        lo, hi = np.maximum(0, at - STEP) // STEP, np.minimum(bins, -(-(at + self.size + self.size // 6 + self.step // 2) // STEP))
+        return np.nonzero(held[hi] - held[lo] >= self.least)
+
+
+def _times(rows: np.ndarray) -> np.ndarray:
+    """At each place of each row, how many times its term has come so far in the row."""
+    return (np.tril(rows[:, :, None] == rows[:, None, :])).sum(2)
+
+
+def _placed(ids: np.ndarray, known: np.ndarray | Lookup) -> tuple[np.ndarray, np.ndarray]:
+    """Places of words and of pairs in the vocabulary: its length for a term that no item has, one more where no pair is."""
+    one, two = (known(x) if isinstance(known, Lookup) else _local(x, known) for x in _terms(ids))
+    two[-1:] = (len(known.known) if isinstance(known, Lookup) else len(known)) + 1
+    return one, two
+
+
+#: Evaluation items that are searched at once; more are searched in blocks.
+BLOCK_ITEMS = 2000
+#: Words of the texts that a task looks at together, and cells of its table of passages and items.
+_CHUNK_WORDS, _CHUNK_CELLS = 64_000, 4_000_000
+
+
+def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, near: float = NEAR, rank: int = RANK, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """(doc_id, item_id) of every document that holds an item's passage, or a stretch of it of at least 25 words (50 characters in a script without spaces).
 
-    Items are a bounded set (a suite, checked here to be at most 20,000 rows); documents may be any number and none
-    is left out. Null and blank texts hold nothing. An item shorter than a stretch is looked for whole, and one of less
-    than 5 words only as it is. Repeated rows give their pairs once.
+    Items and documents may be any number and none is left out: more than `block_items` items are searched in blocks,
+    each of which reads the documents. Null and blank texts hold nothing. An item shorter than a stretch is looked for
+    whole, and one of less than 5 words only as it is. Repeated rows give their pairs once.
     """
-    held = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).filter("t is not null").limit(20_001).toPandas()
-    if len(held) > 20_000:
-        raise ValueError("more than 20,000 evaluation items: search them in blocks")
+    own = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).filter("t is not null")
+    blocks = -(-own.count() // block_items)
+    if blocks <= 1:
+        return _find_in_block(docs, doc_id, text, own, dict(items.dtypes)[item_id], item_id, near, rank)
+    out = None
+    for k in range(blocks):
+        some = own.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
+        found = _find_in_block(docs, doc_id, text, some, dict(items.dtypes)[item_id], item_id, near, rank)
+        out = found if out is None else out.unionByName(found)
+    return out.distinct()
+
+
+def _find_in_block(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_type: str, item_id: str, near: float, rank: int) -> DataFrame:
+    held = items.toPandas()
     spark = docs.sparkSession
     tok = Tokens()
     kept: list[tuple[object, np.ndarray, bool]] = []
@@ -248,10 +410,11 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
             kept.append((i, ids, wide))
         if 0 < len(ids) < (CHARACTERS if wide else WORDS):
             short.setdefault(len(ids), {}).setdefault(ids.tobytes(), []).append(i)
-    kinds = f"{doc_id} {dict(docs.dtypes)[doc_id]}, {item_id} {dict(items.dtypes)[item_id]}"
+    kinds = f"{doc_id} {dict(docs.dtypes)[doc_id]}, {item_id} {item_type}"
     if not kept:
         return spark.createDataFrame([], kinds)
     known = np.unique(np.concatenate([x for _, ids, _ in kept for x in _terms(ids)]))
+    known = known[known != 0]  # stands where no pair is
     run_of = {wide: RUN_CHARACTERS if wide else RUN for wide in (False, True)}
     numbers = [_runs(ids, run_of[wide]) for _, ids, wide in kept]
     runs = {run_of[w]: np.unique(np.concatenate(x)) for w in (False, True) if (x := [y for (_, _, wide), y in zip(kept, numbers) if wide == w and len(y)])}
@@ -259,88 +422,147 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     counts = [held_by[run_of[wide]][_local(x, runs[run_of[wide]])] if len(x) else np.zeros(0, np.int64) for (_, _, wide), x in zip(kept, numbers)]
     often = max(STOCK_LEAST, n * STOCK)
     idf = np.maximum(np.log((1 + n) / (1 + df)), 0.02).astype(np.float32)
-    basis = latent_space(items, item_text, known, idf, rank)
+    basis = latent_space(items, "t", known, idf, rank)
     # a term that no item has weighs as much as the items' terms do in the middle, and lies outside the space
-    weight = np.r_[idf, np.median(idf)].astype(np.float32)
-    place = np.r_[idf[:, None] * basis, np.zeros((1, basis.shape[1]))].astype(np.float32)
-
-    owner, start, vectors, is_wide, words_of = [], [], [], [], []
-    for k, (_, ids, wide) in enumerate(kept):
-        one, two = (_local(x, known) for x in _terms(ids))
-        size = CHARACTERS if wide else WORDS
-        at = _starts(len(ids), size, ITEM_STEP * (2 if wide else 1))
-        v = _sums(place[one] + place[two], at, np.minimum(at + size, len(ids)))
-        vectors.append(v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-9))
-        owner += [k] * len(at)
-        start += at.tolist()
-        is_wide += [wide] * len(at)
-        for x in at.tolist():
-            w = one[x : x + size]
-            words_of.append(np.r_[w, np.full(CHARACTERS - len(w), len(known))])
-    queries = np.concatenate(vectors).astype(np.float32)
-    words_all, wide_all = np.array(words_of, np.int32), np.array(is_wide)
-    split = {w: np.flatnonzero(wide_all == w) for w in (False, True)}
-    shared = spark.sparkContext.broadcast((kept, known, np.array(owner), np.array(start), words_all, counts, short, {w: np.ascontiguousarray(queries[x].T) for w, x in split.items()}, split, weight, place))
+    weight = np.r_[idf, np.median(idf), 0].astype(np.float32)
+    place = np.r_[idf[:, None] * basis, np.zeros((2, basis.shape[1]))].astype(np.float32)
+    triples = np.unique(np.concatenate([_runs(ids, 3) for _, ids, _ in kept]))
+    cells = {w: _Cells(x, kept, w, known, triples, place) for w in (False, True) if (x := [k for k, (_, ids, wide) in enumerate(kept) if wide == w and len(ids) >= 5])}
+    shared = spark.sparkContext.broadcast((kept, known, triples, counts, short, cells, weight, place))
     id_type = held["i"].dtype
 
-    lengths = np.array([len(ids) for _, ids, _ in kept])[np.array(owner)]
-
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept, known, owner, start, words_all, counts, short, matrix, split, weight, place = shared.value
-        tok = Tokens()
+        kept, known, triples, counts, short, cells, weight, place = shared.value
+        tok, places, places3 = Tokens(), Lookup(known), Lookup(triples)
         rare = [weight[_local(_terms(ids)[0], known)] for _, ids, _ in kept]
-        square = weight**2
-        inner = square.copy()
-        inner[-1] = 0
+        square = (weight**2).astype(np.float64)
         first = {size: np.array([np.frombuffer(x, np.uint32)[0] for x in of], np.uint32) for size, of in short.items()}
-        mark, stamp = np.zeros(len(known) + 1, np.int64), 0
+        kinds_of_terms = len(known) + 3 + len(triples)
+        table = np.zeros(max(kinds_of_terms, _CHUNK_CELLS), np.uint8)
+        found_d: list[object] = []
+        found_i: list[object] = []
+
+        def look(texts: list[tuple[object, np.ndarray, bool]], wide: bool) -> None:
+            of = cells[wide]
+            lengths = np.array([len(ids) for _, ids, _ in texts])
+            gaps = 2 * STEP + -lengths % STEP
+            begin = np.cumsum(lengths + gaps) - lengths - gaps
+            inside = np.repeat(np.tile([True, False], len(texts)), np.stack([lengths, gaps], 1).ravel())
+            words = np.zeros(len(inside), np.uint32)
+            words[inside] = np.concatenate([ids for _, ids, _ in texts])
+            one, two = _placed(words, places)
+            one[~inside] = two[~inside] = len(known) + 1
+            two[:-1][~inside[1:]] = len(known) + 1  # runs end with their text
+            three = np.full(len(words), len(triples), np.int32)
+            whole = inside[:-2] & inside[2:]
+            three[:-2][whole] = places3(_runs(words, 3)[whole])
+            at = [_starts(n, of.size, of.step) for n in lengths.tolist()]
+            whose = np.repeat(np.arange(len(texts)), list(map(len, at)))
+            at = np.concatenate(at) + begin[whose]
+            rows, items = of.near(two, at)
+            if not len(rows):
+                return
+            used, back = np.unique(rows, return_inverse=True)
+            hi = np.minimum(at[used] + of.size, len(one))
+            norm = np.sqrt(np.maximum(_sums(square[one] + square[two], at[used], hi), 1e-9)).astype(np.float32)
+            v = np.empty((len(used), place.shape[1]), np.float32)
+            for k in range(0, len(used), 512):  # in pieces that stay in a processor's cache
+                spot = at[used[k : k + 512], None] + np.arange(of.size)
+                np.minimum(spot, len(one) - 1, out=spot)
+                v[k : k + 512] = _gathered(place, one, two, spot)
+            v /= norm[:, None]
+            order = np.argsort(items, kind="stable")
+            rows, items, back = rows[order], items[order], back[order]
+            cut = np.flatnonzero(np.r_[True, items[1:] != items[:-1], True])
+            close: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for lo, hi_ in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                c = int(items[lo])
+                score = v[back[lo:hi_]] @ of.vectors[:, of.cut[c] : of.cut[c + 1]]
+                r, g = np.nonzero(score >= near)
+                close.append((rows[lo + r], of.cut[c] + g, score[r, g]))
+            row_, passage_, score_ = (np.concatenate(x) for x in zip(*close))
+            order = np.lexsort((passage_, -score_, row_))
+            row_, passage_ = row_[order], passage_[order]
+            done: set[tuple[int, int]] = set()
+            need = of.lengths - (of.lengths * LOST + 0.999).astype(int) - (of.reach + 1) // 2
+            # the words around each passage; runs in a table of passages and runs, as many passages as it has room for
+            step = max(1, len(table) // kinds_of_terms)
+            for lo in range(0, len(used), step):
+                some = slice(*np.searchsorted(row_, [used[lo], used[min(lo + step, len(used)) - 1] + 1]))
+                if some.start == some.stop:
+                    continue
+                few, at_few = np.unique(row_[some], return_inverse=True)
+                g = passage_[some]
+                left = np.maximum(at[few] - of.size // 2, begin[whose[few]])
+                spot = left[:, None] + np.arange(2 * of.size)
+                out = spot >= np.minimum(at[few] + of.size + of.size // 2, (begin + lengths)[whose[few]])[:, None]
+                np.minimum(spot, len(words) - 1, out=spot)
+                one_, three_ = one[spot], three[spot]
+                one_[out] = len(known) + 1
+                three_[:, :-2][out[:, 2:]] = three_[:, -2:] = len(triples)
+                cell = (np.arange(len(few))[:, None] * kinds_of_terms + np.concatenate([one_, len(known) + 2 + three_], 1)).ravel()
+                cell.sort()
+                run = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
+                cell = cell[run[:-1]]
+                table[cell] = np.minimum(np.diff(run), 255)
+                ok = np.arange(len(g))
+                for terms, nth, least in ((of.runs, of.runs_nth, of.few), (of.words, of.words_nth, of.most)):
+                    x = g[ok]
+                    ok = ok[(table[at_few[ok, None] * kinds_of_terms + terms[x]] >= nth[x]).sum(1) >= least[x]]
+                table[cell] = 0
+                if not len(ok):
+                    continue
+                ok = ok[common_subsequences(of.words[g[ok]], one_[at_few[ok]]) >= need[of.cell[g[ok]]]]
+                for row, j in zip(few[at_few[ok]].tolist(), g[ok].tolist()):
+                    x, c = int(whose[row]), int(of.cell[j])
+                    k = of.members[c]
+                    if (x, k) in done:
+                        continue
+                    d, ids, _ = texts[x]
+                    if _agrees(kept[k][1], rare[k], counts[k], RUN_CHARACTERS if wide else RUN, often, ids, int(of.starts[j]), int(at[row] - begin[x]), int(of.lengths[c]), (of.reach + 1) // 2):
+                        done.add((x, k))
+                        found_d.append(d)
+                        found_i.append(kept[k][0])
+
+        def all_of(texts: list[tuple[object, np.ndarray, bool]]) -> None:
+            for wide in cells:
+                some = [x for x in texts if x[2]] if wide else texts
+                if some:
+                    look(some, wide)
+
+        limit = max(2000, min(_CHUNK_WORDS, _CHUNK_CELLS * STEP // max([1, *(len(x.members) for x in cells.values())])))
         for b in batches:
-            out_d, out_i = [], []
+            waiting: list[tuple[object, np.ndarray, bool]] = []
+            words = 0
             for d, t in zip(b["d"], b["t"]):
                 ids, mainly = tok(t)
                 for size, of in short.items():
                     if len(ids) >= size:
                         for p in np.flatnonzero(np.isin(ids[: len(ids) - size + 1], first[size])).tolist():
                             for i in of.get(ids[p : p + size].tobytes(), ()):
-                                out_d.append(d)
-                                out_i.append(i)
+                                found_d.append(d)
+                                found_i.append(i)
                 if len(ids) < 5:
                     continue
-                one, two = (_local(x, known) for x in _terms(ids))
                 some = mainly or not t.isascii() and len(_WITHOUT_SPACES.findall(t)) >= CHARACTERS // 2
-                done: set[int] = set()
-                for wide in (False, True):
-                    if not len(split[wide]) or wide and not some:
-                        continue
-                    size, step = (CHARACTERS, 2) if wide else (WORDS, 1)
-                    at = _starts(len(ids), size, STEP * step)
-                    hi = np.minimum(at + size, len(ids))
-                    whole = _sums((square[one] + square[two]).astype(np.float64), at, hi)
-                    # a cosine can't exceed the share of a passage's weight that lies in the items' vocabulary
-                    may = _sums((inner[one] + inner[two]).astype(np.float64), at, hi) >= near * near * whole
-                    if not may.any():
-                        continue
-                    at, hi, whole = at[may], hi[may], whole[may]
-                    v = _sums(place[one] + place[two], at, hi) / np.sqrt(np.maximum(whole, 1e-9))[:, None].astype(np.float32)
-                    score = v @ matrix[wide]
-                    for r in np.flatnonzero(score.max(1) >= near).tolist():
-                        cols = np.flatnonzero(score[r] >= near)
-                        c = split[wide][cols]
-                        p = int(at[r])
-                        stamp += 1
-                        mark[one[max(0, p - size // 2) : p + size + size // 2]] = stamp
-                        mark[-1] = 0
-                        there = (mark[words_all[c]] == stamp).sum(1)
-                        length = np.minimum(size, lengths[c])
-                        ok = there >= length - (length * LOST + 0.999).astype(int) - ITEM_STEP * step // 2
-                        if not ok.any():
-                            continue
-                        for j in np.flatnonzero(ok)[np.argsort(-score[r][cols[ok]])].tolist():
-                            k = int(owner[c[j]])
-                            if k not in done and length[j] >= 5 and _agrees(kept[k][1], rare[k], counts[k], RUN_CHARACTERS if wide else RUN, often, ids, int(start[c[j]]), p, int(length[j]), (ITEM_STEP * step + 1) // 2):
-                                done.add(k)
-                                out_d.append(d)
-                                out_i.append(kept[k][0])
-            yield pd.DataFrame({doc_id: pd.Series(out_d, dtype=b["d"].dtype), item_id: pd.Series(out_i, dtype=id_type)})
+                waiting.append((d, ids, some))
+                words += len(ids)
+                if words > limit:
+                    all_of(waiting)
+                    waiting, words = [], 0
+            if waiting:
+                all_of(waiting)
+            yield pd.DataFrame({doc_id: pd.Series(found_d, dtype=b["d"].dtype), item_id: pd.Series(found_i, dtype=id_type)})
+            found_d.clear()
+            found_i.clear()
 
     return docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).filter("t is not null").mapInPandas(search, kinds).distinct()
+
+
+def _gathered(place: np.ndarray, one: np.ndarray, two: np.ndarray, spot: np.ndarray) -> np.ndarray:
+    """Sum of the places of the words and pairs at `spot` (passage x word). The pair that leaves a passage counts, as it does for the items' passages."""
+    v = place[one[spot[:, 0]]] + place[two[spot[:, 0]]]
+    for k in range(1, spot.shape[1]):
+        v += place[one[spot[:, k]]]
+        v += place[two[spot[:, k]]]
+    return v

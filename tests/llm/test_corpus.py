@@ -25,6 +25,8 @@ def test_leaks(spark):
     df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("item_id", F.lit(0))
     got = {tuple(r) for r in leakage.find_leaks(df, "doc_id", "text", items, "item_id", "text").collect()}
     assert got == {(1, 0), (2, 1), (3, 2), (8, 4), (10, 0)}
+    in_blocks = {tuple(r) for r in leakage.find_leaks(df, "doc_id", "text", items, "item_id", "text", block_items=1).collect()}
+    assert in_blocks == got
     assert leakage.find_leaks(df.limit(0), "doc_id", "text", items, "item_id", "text").count() == 0
     assert leakage.find_leaks(df, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
 
@@ -48,6 +50,12 @@ def test_leaks_changed_as_much_as_may_be(spark):
 
 
 def test_subsequence():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 6, (200, 25)), rng.integers(0, 6, (200, 50))
+    assert leakage.common_subsequences(a, b).tolist() == [leakage.common_subsequence(x, y) for x, y in zip(a.tolist(), b.tolist())]
+    numbers = np.unique(rng.integers(1, 1 << 62, 3000).astype(np.uint64))
+    asked = np.r_[numbers[::3], rng.integers(1, 1 << 62, 500).astype(np.uint64), np.uint64(0)]
+    assert leakage.Lookup(numbers)(asked).tolist() == leakage._local(asked, numbers).tolist()
     assert leakage.common_subsequence([1, 2, 3, 4], [2, 9, 4, 1]) == 2 and leakage.common_subsequence([], [1]) == 0
 
 
