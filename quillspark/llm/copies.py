@@ -1,22 +1,40 @@
 """Duplicates hidden by formatting: canonical form, 128-bit hash, counts by key, collision check.
 
-Every step is a built-in expression. The canonical form of a record keeps the letters and digits of each of its
-fields; fields are sorted, so their order does not count. Counting is a hash aggregate, which combines on the map
-side: a record with a third of all rows as copies reaches the shuffle as one row per map task.
+Every step is a built-in expression, but for letters in decomposed form, which Python composes. The canonical form of
+a record keeps the letters and digits of each of its fields; fields are sorted, so their order does not count. Counting
+is a hash aggregate, which combines on the map side: a record with a third of all rows as copies reaches the shuffle as
+one row per map task.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from quillspark.session import keep
 
-ENTRY = r"^\s*@\s*\w+\s*[{(]"
+#: White space of any kind; `\\s` alone leaves out the no-break space and others.
+SPACE = r"[\s\p{Z}\x{0085}\x{200B}\x{FEFF}]"
+ENTRY = rf"^{SPACE}*@{SPACE}*\w+{SPACE}*[{{(]"
 MARK = "\u0001"
+#: Characters of texts that may be written in composed and in decomposed form beside each other.
+DECOMPOSED = r"[\p{M}\u1100-\u11FF\u2126\u212A\u212B\uF900-\uFAFF]"
+
+
+@F.pandas_udf(StringType())
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
 
 
 def letters(c: Column) -> Column:
-    return F.regexp_replace(F.lower(c), r"[^\p{L}\p{M}\p{N}]+", "")
+    """Letters and digits in lower case (sharp s as ss, long and final s as s). Where something else than a thousands comma divides two digits one point stays, for `1(23)` is not `12(3)`."""
+    s = F.regexp_replace(F.translate(F.lower(c), "ſς", "sσ"), "ß", "ss")
+    s = F.regexp_replace(s, r"(?<=\p{N}),(?=\p{N}{3}(?!\p{N}))", "")
+    s = F.regexp_replace(s, r"(?<=\p{N})[^\p{L}\p{M}\p{N}]+(?=\p{N})", MARK)
+    return F.regexp_replace(s, rf"[^\p{{L}}\p{{M}}\p{{N}}{MARK}]+", "")
 
 
 def canonical(text: Column) -> Column:
@@ -25,19 +43,26 @@ def canonical(text: Column) -> Column:
     `@type{key, name = value, ...}` splits at the commas before `name =`; the key stays in front. Anything else splits
     at `\\newblock`. A null text gives null, a text without letters and digits ''.
     """
-    head = F.regexp_extract(text, r"^\s*@\s*(\w+)", 1)
+    head = F.regexp_extract(text, rf"^{SPACE}*@{SPACE}*(\w+)", 1)
     body = F.regexp_replace(text, ENTRY, "")
-    cut = F.split(F.regexp_replace(body, r",\s*([A-Za-z][A-Za-z0-9_-]*)\s*=", MARK + "$1="), MARK)
-    fields = F.array_sort(F.transform(F.slice(cut, 2, 1_000_000), letters))
+    cut = F.split(F.regexp_replace(body, rf",{SPACE}*([A-Za-z][A-Za-z0-9_-]*){SPACE}*=", MARK + "$1="), MARK)
+    fields = F.array_sort(F.transform(F.slice(cut, F.lit(2), F.size(cut)), letters))
     entry = F.concat_ws("|", F.concat(F.lit("@"), F.lower(head)), letters(cut[0]), F.array_join(fields, "|"))
     parts = F.array_sort(F.filter(F.transform(F.split(text, r"\\newblock\b"), letters), lambda x: x != ""))
     return F.when(text.rlike(ENTRY), entry).otherwise(F.array_join(parts, "|"))
 
 
+def composed(records: DataFrame, text: str) -> DataFrame:
+    """The records with their texts' letters in composed form. Only texts with decomposed ones (few as a rule) pass through Python."""
+    odd = F.col(text).rlike(DECOMPOSED)
+    return records.filter(~odd).unionByName(records.filter(odd).withColumn(text, _composed(text)))
+
+
 def keyed(records: DataFrame, record_id: str, text: str) -> DataFrame:
     """(id, h 128-bit hash, x second hash) of every record with letters or digits in it."""
     return (
-        records.select(F.col(record_id).alias("id"), canonical(F.col(text)).alias("c"))
+        composed(records.select(F.col(record_id).alias("id"), F.col(text).alias("t")), "t")
+        .select("id", canonical(F.col("t")).alias("c"))
         .filter(F.col("c") != "")
         .select("id", F.unhex(F.md5("c")).alias("h"), F.xxhash64("c").alias("x"))
     )

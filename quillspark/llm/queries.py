@@ -109,15 +109,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_statistics": p10_statistics,
 }
 
-_CANON = r"""
-c0 AS (SELECT ref_id, raw_text AS t,
-         string_split(regexp_replace(regexp_replace(raw_text, '^\s*@\s*\w+\s*[{(]', ''), ',\s*([A-Za-z][A-Za-z0-9_-]*)\s*=', chr(1) || '\1=', 'g'), chr(1)) AS cut
-       FROM refs WHERE raw_text IS NOT NULL),
-c1 AS (SELECT ref_id, CASE WHEN regexp_matches(t, '^\s*@\s*\w+\s*[{(]') THEN
-           '@' || lower(regexp_extract(t, '^\s*@\s*(\w+)', 1)) || '|' || regexp_replace(lower(cut[1]), '[^\p{L}\p{M}\p{N}]+', '', 'g') || '|' ||
-           coalesce(array_to_string(list_sort(list_transform(cut[2:], lambda x: regexp_replace(lower(x), '[^\p{L}\p{M}\p{N}]+', '', 'g'))), '|'), '')
-         ELSE coalesce(array_to_string(list_sort(list_filter(list_transform(string_split_regex(t, '\\newblock\b'), lambda x: regexp_replace(lower(x), '[^\p{L}\p{M}\p{N}]+', '', 'g')), lambda x: x <> '')), '|'), '') END AS c
-       FROM c0)"""
+# Spaces are made plain and letters composed before anything else; a number's own comma goes, then a mark stays between
+# two numbers, then all that is no letter or digit goes.
+_LETTERS = (
+    r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(lower(x), 'ß', 'ss'), 'ſ', 's'), 'ς', 'σ'),"
+    r" '(\pN),(\pN{3})([^\pN]|$)', '\1\2\3', 'g'), '(\pN),(\pN{3})([^\pN]|$)', '\1\2\3', 'g'), '(\pN)[^\pL\pM\pN]+(\pN)', '\1' || chr(1) || '\2', 'g'),"
+    r" '(\pN)[^\pL\pM\pN\x01]+(\pN)', '\1' || chr(1) || '\2', 'g'), '[^\pL\pM\pN\x01]+', '', 'g')"
+)
+_CANON = rf"""
+plain AS (SELECT ref_id, nfc_normalize(trim(regexp_replace(raw_text, '[\s\pZ]+', ' ', 'g'))) AS t FROM refs WHERE raw_text IS NOT NULL),
+entries AS (SELECT ref_id, lower(regexp_extract(t, '^@ ?(\w+)', 1)) AS kind,
+         string_split(regexp_replace(regexp_replace(t, '^@ ?\w+ ?[{{(]', ''), ', ?([A-Za-z][A-Za-z0-9_-]*) ?=', chr(2) || '\1=', 'g'), chr(2)) AS cut
+       FROM plain WHERE regexp_matches(t, '^@ ?\w+ ?[{{(]')),
+parts AS (SELECT ref_id, '@' || kind AS p, 0 AS fixed FROM entries
+  UNION ALL SELECT ref_id, (SELECT {_LETTERS} FROM (SELECT cut[1] AS x)), 1 FROM entries
+  UNION ALL SELECT ref_id, {_LETTERS}, 2 FROM (SELECT ref_id, unnest(cut[2:]) AS x FROM entries)
+  UNION ALL SELECT ref_id, p, 2 FROM (SELECT ref_id, {_LETTERS} AS p FROM (SELECT ref_id, unnest(string_split_regex(t, '\\newblock\b')) AS x FROM plain
+    WHERE NOT regexp_matches(t, '^@ ?\w+ ?[{{(]'))) WHERE p <> ''),
+c1 AS (SELECT ref_id, string_agg(p, '|' ORDER BY fixed, p) AS c FROM parts GROUP BY ref_id)"""
 
 SQL: dict[str, str] = {
     "p5_found": f"WITH {_CANON}, g AS (SELECT c, min(ref_id) AS a FROM c1 WHERE c <> '' GROUP BY c) SELECT a AS ref_id_a, ref_id AS ref_id_b FROM c1 JOIN g USING (c) WHERE ref_id <> a",

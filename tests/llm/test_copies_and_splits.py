@@ -18,6 +18,15 @@ def test_copies(spark):
     assert copies.copy_pairs(df.limit(0), "ref_id", "raw_text").count() == 0
 
 
+def test_copies_by_characters(spark):
+    rows = [
+        (1, "@article{k1,\n\u00a0\u00a0 title\u00a0=\u00a0{Caf\u00e9 Stra\u00dfe},\n\u00a0year = 1999}"), (2, "@ARTICLE{K1, year = {1999}, title = {CAFE\u0301 STRASSE}}"), (3, "@article{k1, title = {Cafe Strasse}, year = 1999}"),
+        (4, "A. Author, Title, 1(23):4--5"), (5, "A. Author, Title, 12(3):4--5"), (6, "a author title 1 23: 4-5"), (7, "Vol 1,000 of 2,345,678"), (8, "vol. 1000, of 2345678"),
+    ]
+    df = spark.createDataFrame(rows, "ref_id bigint, raw_text string")
+    assert {tuple(r) for r in copies.copy_pairs(df, "ref_id", "raw_text").collect()} == {(1, 2), (4, 6), (7, 8)}
+
+
 def test_hot_copies(spark):
     df = spark.range(120_000).select(F.col("id").alias("ref_id"), F.when(F.col("id") % 2 == 0, "Same, text!").otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("raw_text"))
     got = copies.copy_pairs(df, "ref_id", "raw_text")
