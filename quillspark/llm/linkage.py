@@ -8,9 +8,12 @@ authors, and loses against a better edge of the same record, round by round unti
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
+from functools import lru_cache
 
+import pandas as pd
 import regex
+from pyspark.sql import DataFrame, functions as F
 
 from quillspark.llm.names import fold, one_slip, parse, same_given
 from quillspark.session import keep
@@ -80,27 +83,36 @@ def _one_person(a: tuple[str, list[str]], b: tuple[str, list[str]]) -> bool:
     return False
 
 
-def attributes(title: str | None, authors, year: str | None, near: int) -> list[str]:
-    """Keys under which records can meet: word pairs of the title, and authors with a word, another author or a year (and `near` years around)."""
-    words, _, _ = title_parts(title)
-    content = [w for w in words if w not in _STOP]
+def parse_work(title: str | None, authors, year: str | None, near: int = 0) -> dict:
+    """What a record says, parsed once: words of the title, kinds and parts of a follow-up, authors as `family|given given`, year, its attributes (the year with `near` years around it) and the keys under which it can meet others."""
+    words, kinds, parts = title_parts(title)
     people = _people(authors)[0]
-    fams = sorted({p[0] for p in people})
-    either = sorted({*fams, *(t[0] for p in people if (t := _turned(p)) and len(p[1]) == 1)})
-    keys = {f"t:{a} {b}" for a, b in zip(content, content[1:])}
-    keys |= {f"s:{a} {c}" for a, c in zip(content, content[2:])}
-    keys |= {f"w:{f} {w}" for f in either for w in content}
-    keys |= {f"a:{f} {g}" for i, f in enumerate(fams) for g in fams[i + 1 :]}
     y = regex.search(r"\d{4}", year or "")
-    if y:
-        keys |= {f"y:{f} {int(y[0]) + d}" for f in fams for d in range(-near, near + 1)}
-    elif near:
-        keys |= {f"f:{f}" for f in fams}
-    if not near:
-        keys |= {f"f:{f}" for f in fams}
+    content = [w for w in words if w not in _STOP]
+    years = [f"y{int(y[0]) + d}" for d in range(-near, near + 1)] if y else []
+    families = {p[0] for p in people} | {t[0] for p in people if (t := _turned(p)) and len(p[1]) == 1}
+    return {
+        "words": words, "follows": "/".join(kinds) + "/" + "/".join(map(str, parts)), "people": ["|".join((f, " ".join(g))) for f, g in people], "y": int(y[0]) if y else None,
+        "attributes": sorted({f"t{w}" for w in content} | {f"f{f}" for f in families} | set(years)), "keys": _keys(content, sorted({p[0] for p in people}), sorted(families), years),
+    }
+
+
+def _keys(content: list[str], families: list[str], either: list[str], years: list[str]) -> list[str]:
+    """Pairs of attributes: words that follow each other in the title or stand one word apart, an author and a word, two authors, an author and a year. A title of one word is a key of its own."""
+    pairs = {*zip(content, content[1:]), *zip(content, content[2:])}
+    keys = {_joined(f"t{a}", f"t{b}") for a, b in pairs if a != b}
+    keys |= {_joined(f"f{f}", f"t{w}") for f in either for w in content}
+    keys |= {_joined(f"f{f}", f"f{g}") for i, f in enumerate(families) for g in families[i + 1 :]}
+    keys |= {_joined(f"f{f}", y) for f in families for y in years}
+    if len(set(content)) == 1:
+        keys.add(f"t{content[0]}")
     return sorted(keys)
 
 
+def _joined(*attributes: str) -> str:
+    return "\x1f".join(sorted(attributes))
+
+
 def _soft_overlap(a: list[str], b: list[str]) -> tuple[float, float]:
     """Shares of a's and of b's words that have a partner, a slip allowed; long words that were cut or joined count too."""
     left = list(b)
@@ -120,14 +132,25 @@ def _soft_overlap(a: list[str], b: list[str]) -> tuple[float, float]:
     return hit / max(1, len(a)), hit / max(1, len(b))
 
 
+def _person(p: str) -> tuple[str, list[str]]:
+    family, _, given = p.partition("|")
+    return family, given.split()
+
+
 def compare_works(bt, ba, by, ct, ca, cy) -> float:
-    """Score from 0 to 1 that a record and a candidate are one work; 0 where a field rules it out."""
-    bw, bk, bp = title_parts(bt)
-    cw, ck, cp = title_parts(ct)
-    bpeople, _ = _people(ba)
-    cpeople, _ = _people(ca)
-    if bw and cw and (bk != ck or bp != cp):
+    """Score from 0 to 1 that a record and a candidate, given by title, authors and year, are one work."""
+    b, c = parse_work(bt, ba, by), parse_work(ct, ca, cy)
+    return compare_parsed(b["words"], b["follows"], [_person(p) for p in b["people"]], b["y"], c["words"], c["follows"], [_person(p) for p in c["people"]], c["y"])
+
+
+def compare_parsed(bw, bk, bpeople, b_year, cw, ck, cpeople, c_year) -> float:
+    """Score from 0 to 1 that a record and a candidate are one work, of their words, follow-ups, people and years; 0 where a field rules it out."""
+    if bw and cw and bk != ck:
         return 0.0
+    if bw and cw and len(bw) + len(cw) > 6:
+        # fewer than a third of the longer title's words in the shorter one, even with every slip allowed for
+        if min(len(bw), len(cw)) < 0.28 * max(len(bw), len(cw)) and "".join(bw) != "".join(cw):
+            return 0.0
     people = None
     if bpeople and cpeople:
         left, hit = list(cpeople), 0
@@ -137,8 +160,9 @@ def compare_works(bt, ba, by, ct, ca, cy) -> float:
                 left.remove(m)
                 hit += 1
         people = hit / min(len(bpeople), len(cpeople))
-    b_year, c_year = (regex.search(r"\d{4}", y or "") for y in (by, cy))
-    gap = abs(int(b_year[0]) - int(c_year[0])) if b_year and c_year else None
+        if people < 0.5:
+            return 0.0
+    gap = abs(b_year - c_year) if b_year is not None and c_year is not None else None
     when = 0.6 if gap is None else (1.0, 0.85, 0.7, 0.3)[min(gap, 3)]
     if not bw or not cw:
         if people is None or people < 0.99 or gap is None or gap > 1:
@@ -165,67 +189,110 @@ def compare_works(bt, ba, by, ct, ca, cy) -> float:
     return 0.5 * title + 0.35 * people + 0.15 * when
 
 
-def author_pairs(ba, ca) -> list[str]:
-    """The pairs of author spellings that a record and a candidate equate."""
-    out = []
-    for x in ba if ba is not None else ():
-        for y in ca if ca is not None else ():
-            if x and y:
-                p, q = _people([x])[0], _people([y])[0]
-                if p and q and _one_person(p[0], q[0]):
-                    out.append(f"{fold(x)}\u001f{fold(y)}")
-    return sorted(set(out))
+def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(bib_no, cand_id, base, gap, people) of pairs that may be one work; `people`: the pairs of author spellings that it equates."""
+    person = lru_cache(100_000)(_person)
+    for d in batches:
+        rows = []
+        for i, j, bw, bk, ba, by, cw, ck, ca, cy in zip(d["bib_no"], d["cand_id"], d["bw"], d["bk"], d["ba"], d["by"], d["cw"], d["ck"], d["ca"], d["cy"]):
+            by, cy = (None if y is None or y != y else int(y) for y in (by, cy))
+            bp, cp = [person(p) for p in ba], [person(p) for p in ca]
+            base = compare_parsed(list(bw), bk, bp, by, list(cw), ck, cp, cy)
+            if base > 0:
+                equal = sorted({f"{x}\u001f{y}" for x, p in zip(ba, bp) for y, q in zip(ca, cp) if _one_person(p, q)})
+                rows.append((i, j, base, 5 if by is None or cy is None else abs(by - cy), equal))
+        out = pd.DataFrame(rows, columns=["bib_no", "cand_id", "base", "gap", "people"])
+        yield out.astype({"bib_no": d["bib_no"].dtype, "cand_id": d["cand_id"].dtype, "base": "float64", "gap": "int32"})
+
+
+def _parsed(records: DataFrame, record_id: str, near: int) -> DataFrame:
+    schema = f"{record_id} {dict(records.dtypes)[record_id]}, words array<string>, follows string, people array<string>, y int, attributes array<string>, keys array<string>"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            out = pd.DataFrame([parse_work(t, a, y, near) for t, a, y in zip(d["title"], d["authors"], d["year"])], columns=["words", "follows", "people", "y", "attributes", "keys"])
+            out["y"] = out["y"].astype("Int32")
+            out.insert(0, record_id, d[record_id].to_numpy())
+            yield out
+
+    return records.mapInPandas(run, schema)
 
 
-def link_works(
-    pairs: DataFrame, prefix: int = 8, lasting: float = 0.3, accept: float = 0.6, rounds: int = 8
-) -> DataFrame:
+def _met(bibs: DataFrame, cands: DataFrame, common: int) -> DataFrame:
+    """(bib_no, cand_id) that share a key which at most `common` candidates have, or that common keys lead to.
+
+    A key that more candidates have is joined by each further attribute of its record, and so on, until it is rare or
+    the record has no attribute left; no pair that agrees in more than one common key alone is lost on the way.
+    """
+    kb = bibs.select("bib_no", "attributes", F.explode("keys").alias("k"))
+    kc = cands.select("cand_id", "attributes", F.explode("keys").alias("k"))
+    out = None
+    while True:
+        kb, kc = keep(kb, "bibkeys"), keep(kc, "candkeys")
+        n = keep(kc.groupBy("k").agg(F.count("*").alias("n")).join(kb.select("k").distinct(), "k"), "keys")
+        parts = F.split("k", "\x1f")
+        ended = lambda d: F.size(F.array_except("attributes", parts)) == 0
+        rare = n.filter(F.col("n") <= common).select("k")
+        pairs = kb.join(rare, "k").select("k", "bib_no").join(kc.select("k", "cand_id"), "k").select("bib_no", "cand_id").distinct()
+        often = keep(n.filter(F.col("n") > common).select("k"), "often")
+        if often.isEmpty():
+            pairs = keep(pairs, "pairs")
+            return pairs if out is None else out.unionByName(pairs).distinct()
+        b, c = kb.join(often, "k"), kc.join(often, "k")
+        # nothing is left to tell such a record by: it meets those of the same key that are as bare
+        bare = b.filter(ended(b)).select("k", "bib_no").join(c.filter(ended(c)).select("k", "cand_id"), "k").select("bib_no", "cand_id")
+        pairs = keep(pairs.unionByName(bare), "pairs")
+        out = pairs if out is None else out.unionByName(pairs)
+        longer = F.array_join(F.array_sort(F.concat(parts, F.array("more"))), "\x1f")
+        grow = lambda d, i: d.select(i, "attributes", "k", F.explode(F.array_except("attributes", parts)).alias("more")).select(i, "attributes", longer.alias("k")).distinct()
+        kb, kc = grow(b, "bib_no"), grow(c, "cand_id")
+
+
+def link_works(pairs: DataFrame, common: int = 32, lasting: float = 0.3, accept: float = 0.6) -> DataFrame:
     """(bib_no, cand_id, confidence): the candidate each bibliography record is, where there is one.
 
     Every record and every candidate that occurs in `pairs` takes part, in whatever rows; several rows of one are
-    one, with its smallest title, authors and year. A record is met by the candidates that share one of its
-    `prefix` rarest keys of any kind (word pairs, authors with words, with authors, with years); edges under `lasting` of the best weight at both their ends are pruned. Null ids are
-    nobody; null and blank fields match nothing. Ties go to the nearer year, then to the smaller cand_id.
+    one, with its smallest title, authors and year. Records meet over all their keys (word pairs, authors with words
+    and with years, pairs of authors); keys that more than `common` candidates have meet with a further attribute. Edges weigh what
+    the attributes they share do by their rarity; those under `lasting` of the best weight at both their ends are
+    pruned. Scores are refined until no edge moves any more. Null ids are nobody; null and blank fields match
+    nothing. Ties go to the nearer year, then to the smaller cand_id.
     """
     one = lambda c: F.min(c)
     bibs = pairs.filter("bib_no is not null").groupBy("bib_no").agg(one("bib_title").alias("title"), one("bib_authors").alias("authors"), one("bib_year").alias("year"))
     cands = pairs.filter("cand_id is not null").groupBy("cand_id").agg(one("cand_title").alias("title"), one("cand_authors").alias("authors"), one("cand_year").alias("year"))
-    bibs, cands = keep(bibs, "bibs"), keep(cands, "cands")
-    keys = F.udf(attributes, "array<string>", useArrow=True)
-    kb = keep(bibs.select("bib_no", F.explode(keys("title", "authors", "year", F.lit(2))).alias("k")), "bibkeys")
-    kc = keep(cands.select("cand_id", F.explode(keys("title", "authors", "year", F.lit(0))).alias("k")), "candkeys")
+    parts = max(pairs.sparkSession.sparkContext.defaultParallelism, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bibs, cands = keep(_parsed(bibs.repartition(parts, "bib_no"), "bib_no", 2), "bibs"), keep(_parsed(cands.repartition(parts, "cand_id"), "cand_id", 0), "cands")
     n = cands.count()
-    df = kc.groupBy("k").agg(F.count("*").alias("n"))
-    rated = kb.join(df, "k")
-    # the rarest keys of each record, by an aggregate of bounded size instead of a sort of each record's keys
-    rare = rated.groupBy("bib_no", F.substring("k", 1, 1).alias("kind")).agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "k"))), 1, prefix).alias("r"))
-    rare = rare.select("bib_no", F.explode("r").alias("r")).select("bib_no", "r.k", "r.n")
-    edges = rare.join(kc, "k").groupBy("bib_no", "cand_id").agg(F.sum(F.log(F.lit(1.0 + n) / F.col("n"))).alias("w"))
-    edges = keep(edges, "edges")
-    top_b = edges.groupBy("bib_no").agg(F.max("w").alias("wb"))
-    top_c = edges.groupBy("cand_id").agg(F.max("w").alias("wc"))
-    pruned = edges.join(top_b, "bib_no").join(top_c, "cand_id").filter((F.col("w") >= lasting * F.col("wb")) | (F.col("w") >= lasting * F.col("wc"))).select("bib_no", "cand_id")
-    b = bibs.withColumnsRenamed({"title": "bt", "authors": "ba", "year": "by"})
-    c = cands.withColumnsRenamed({"title": "ct", "authors": "ca", "year": "cy"})
-    judged = F.udf(compare_works, "double", useArrow=True)
-    met = pruned.join(b, "bib_no").join(c, "cand_id").withColumn("base", judged("bt", "ba", "by", "ct", "ca", "cy")).filter("base > 0")
-    equate = F.udf(author_pairs, "array<string>", useArrow=True)
-    gap = F.abs(F.try_to_number(F.regexp_extract("by", r"(\d{4})", 1), F.lit("9999")) - F.try_to_number(F.regexp_extract("cy", r"(\d{4})", 1), F.lit("9999"))).cast("int")
-    met = keep(met.select("bib_no", "cand_id", "base", F.coalesce(gap, F.lit(5)).alias("gap"), equate("ba", "ca").alias("people")), "met")
-    ties = keep(met.select("bib_no", "cand_id", F.explode("people").alias("p")), "ties")
-    score = met.select("bib_no", "cand_id", "base", "gap", F.col("base").alias("s"))
-    for _ in range(rounds):
+    met = _met(bibs, cands, common)
+    weight = cands.select(F.explode("attributes").alias("a")).groupBy("a").agg(F.log(F.lit(1.0 + n) / F.count("*")).alias("w"))
+    weighed = bibs.select("bib_no", F.explode("attributes").alias("a")).join(weight, "a").groupBy("bib_no").agg(F.map_from_entries(F.collect_list(F.struct("a", "w"))).alias("weights"))
+    b = bibs.select("bib_no", F.col("words").alias("bw"), F.col("follows").alias("bk"), F.col("people").alias("ba"), F.col("y").alias("by")).join(weighed, "bib_no")
+    c = cands.select("cand_id", F.col("words").alias("cw"), F.col("follows").alias("ck"), F.col("people").alias("ca"), F.col("y").alias("cy"), "attributes")
+    full = met.join(b, "bib_no").join(c, "cand_id")
+    shared = F.aggregate(F.array_intersect("attributes", F.map_keys("weights")), F.lit(0.0), lambda acc, a: acc + F.element_at("weights", a))
+    full = keep(full.withColumn("w", shared).drop("weights", "attributes"), "edges")
+    top_b = full.groupBy("bib_no").agg(F.max("w").alias("wb"))
+    top_c = full.groupBy("cand_id").agg(F.max("w").alias("wc"))
+    pruned = full.join(top_b, "bib_no").join(top_c, "cand_id").filter((F.col("w") >= lasting * F.col("wb")) | (F.col("w") >= lasting * F.col("wc")))
+    types = f"bib_no {dict(pairs.dtypes)['bib_no']}, cand_id {dict(pairs.dtypes)['cand_id']}"
+    found = keep(pruned.drop("w", "wb", "wc").repartition(parts).mapInPandas(_judged, f"{types}, base double, gap int, people array<string>"), "found")
+    ties = keep(found.select("bib_no", "cand_id", F.explode("people").alias("p")), "ties")
+    score = found.select("bib_no", "cand_id", "base", "gap", F.col("base").alias("s"), F.lit(False).alias("beaten"))
+    while True:
         best = score.groupBy("bib_no").agg(F.max("s").alias("best"))
         # what other edges say of the same pairs of authors, this edge's own word left out
         said = ties.join(score.select("bib_no", "cand_id", "s"), ["bib_no", "cand_id"])
         total = said.groupBy("p").agg(F.sum("s").alias("total"))
         near = said.join(total, "p").groupBy("bib_no", "cand_id").agg(F.avg((F.col("total") - F.col("s")) / (1 + F.col("total") - F.col("s"))).alias("near"))
         new = score.join(best, "bib_no").join(near, ["bib_no", "cand_id"], "left")
-        value = F.col("base") * F.when(F.col("s") < 0.98 * F.col("best"), 0.8).otherwise(1.0) + 0.08 * F.coalesce("near", F.lit(0.0)) * F.col("base")
-        new = keep(new.select("bib_no", "cand_id", "base", "gap", F.least(F.lit(1.0), value).alias("s"), F.abs(value - F.col("s")).alias("moved")), "scores")
-        moved = new.agg(F.max("moved")).first()[0]
+        # an edge once beaten stays so: with each round fewer can change, so the rounds end
+        beaten = F.col("beaten") | (F.col("s") < 0.98 * F.col("best"))
+        value = F.least(F.lit(1.0), F.col("base") * F.when(beaten, 0.8).otherwise(1.0) + 0.08 * F.coalesce("near", F.lit(0.0)) * F.col("base"))
+        new = keep(new.select("bib_no", "cand_id", "base", "gap", value.alias("s"), beaten.alias("beaten"), ((beaten != F.col("beaten")) | (F.abs(value - F.col("s")) >= 0.005)).alias("moved")), "scores")
+        moved = not new.filter("moved").isEmpty()
         score = new.drop("moved")
-        if moved is None or moved < 0.01:
+        if not moved:
             break
-    first = score.groupBy("bib_no").agg(F.max(F.struct("s", (-F.col("gap")).alias("g"), "cand_id")).alias("m"), F.min(F.struct((-F.col("s")).alias("s"), "gap", "cand_id")).alias("f"))
+    first = score.groupBy("bib_no").agg(F.min(F.struct((-F.col("s")).alias("s"), "gap", "cand_id")).alias("f"))
     return first.select("bib_no", F.col("f.cand_id").alias("cand_id"), F.round(-F.col("f.s"), 4).alias("confidence")).filter(F.col("confidence") >= accept)
