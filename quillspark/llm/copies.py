@@ -20,8 +20,8 @@ from quillspark.session import keep
 SPACE = r"[\s\p{Z}\x{0085}\x{200B}\x{FEFF}]"
 ENTRY = rf"^{SPACE}*@{SPACE}*\w+{SPACE}*[{{(]"
 MARK = "\u0001"
-#: Characters of texts that may be written in composed and in decomposed form beside each other.
-DECOMPOSED = r"[\p{M}\u1100-\u11FF\u2126\u212A\u212B\uF900-\uFAFF]"
+#: Characters of texts that may be written in composed and in decomposed form beside each other; first what is quick to tell.
+BEYOND_LATIN, DECOMPOSED = r"[^\x00-\u02FF\u2000-\u206F]", r"[\p{M}\u1100-\u11FF\u2126\u212A\u212B\uF900-\uFAFF]"
 
 
 @F.pandas_udf(StringType())
@@ -29,12 +29,15 @@ def _composed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
 
 
+def lowered(c: Column) -> Column:
+    """Lower case, sharp s as ss, long and final s as s; numbers without their thousands commas."""
+    s = F.replace(F.replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit("ſ"), F.lit("s")), F.lit("ς"), F.lit("σ"))
+    return F.regexp_replace(s, r",(?<=\p{N},)(?=\p{N}{3}(?!\p{N}))", "")
+
+
 def letters(c: Column) -> Column:
-    """Letters and digits in lower case (sharp s as ss, long and final s as s). Where something else than a thousands comma divides two digits one point stays, for `1(23)` is not `12(3)`."""
-    s = F.regexp_replace(F.translate(F.lower(c), "ſς", "sσ"), "ß", "ss")
-    s = F.regexp_replace(s, r"(?<=\p{N}),(?=\p{N}{3}(?!\p{N}))", "")
-    s = F.regexp_replace(s, r"(?<=\p{N})[^\p{L}\p{M}\p{N}]+(?=\p{N})", MARK)
-    return F.regexp_replace(s, rf"[^\p{{L}}\p{{M}}\p{{N}}{MARK}]+", "")
+    """Letters and digits only, but that a mark stays between two numbers, for `1(23)` is not `12(3)`."""
+    return F.regexp_replace(F.regexp_replace(c, r"[^\p{L}\p{M}\p{N}]+", MARK), rf"{MARK}(?:(?<!\p{{N}}{MARK})|(?!\p{{N}}))", "")
 
 
 def canonical(text: Column) -> Column:
@@ -43,18 +46,19 @@ def canonical(text: Column) -> Column:
     `@type{key, name = value, ...}` splits at the commas before `name =`; the key stays in front. Anything else splits
     at `\\newblock`. A null text gives null, a text without letters and digits ''.
     """
+    text = lowered(text)
     head = F.regexp_extract(text, rf"^{SPACE}*@{SPACE}*(\w+)", 1)
     body = F.regexp_replace(text, ENTRY, "")
-    cut = F.split(F.regexp_replace(body, rf",{SPACE}*([A-Za-z][A-Za-z0-9_-]*){SPACE}*=", MARK + "$1="), MARK)
+    cut = F.split(F.regexp_replace(body, rf",{SPACE}*([a-z][a-z0-9_-]*){SPACE}*=", MARK + "$1="), MARK)
     fields = F.array_sort(F.transform(F.slice(cut, F.lit(2), F.size(cut)), letters))
-    entry = F.concat_ws("|", F.concat(F.lit("@"), F.lower(head)), letters(cut[0]), F.array_join(fields, "|"))
+    entry = F.concat_ws("|", F.concat(F.lit("@"), head), letters(cut[0]), F.array_join(fields, "|"))
     parts = F.array_sort(F.filter(F.transform(F.split(text, r"\\newblock\b"), letters), lambda x: x != ""))
     return F.when(text.rlike(ENTRY), entry).otherwise(F.array_join(parts, "|"))
 
 
 def composed(records: DataFrame, text: str) -> DataFrame:
     """The records with their texts' letters in composed form. Only texts with decomposed ones (few as a rule) pass through Python."""
-    odd = F.col(text).rlike(DECOMPOSED)
+    odd = F.col(text).rlike(BEYOND_LATIN) & F.col(text).rlike(DECOMPOSED)
     return records.filter(~odd).unionByName(records.filter(odd).withColumn(text, _composed(text)))
 
 
