@@ -9,14 +9,14 @@ authors, and loses against a better edge of the same record, round by round unti
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
 from quillspark.llm.names import fold, one_slip, parse, same_given
-from quillspark.session import keep
+from quillspark.session import drop_kept, keep
 
 # Words too common in titles to tell works apart, notes about the form of a work, and kinds of follow-up.
 _STOP = frozenset("a an and the of in on for with via to from by at as is its without under beyond into over does help meets".split())
@@ -218,43 +218,48 @@ def _parsed(records: DataFrame, record_id: str, near: int) -> DataFrame:
     return records.mapInPandas(run, schema)
 
 
-def _met(bibs: DataFrame, cands: DataFrame, common: int) -> DataFrame:
-    """(bib_no, cand_id) that share a key which at most `common` candidates have, or that common keys lead to.
+def _met(bibs: DataFrame, cands: DataFrame, n_cands: int, common: int) -> DataFrame:
+    """(bib_no, cand_id, w) that share a key which at most `common` candidates have, or that common keys lead to; w: the sum of what these keys weigh by their rarity.
 
     A key that more candidates have is joined by each further attribute of its record, and so on, until it is rare or
     the record has no attribute left; no pair that agrees in more than one common key alone is lost on the way.
     """
-    kb = bibs.select("bib_no", "attributes", F.explode("keys").alias("k"))
-    kc = cands.select("cand_id", "attributes", F.explode("keys").alias("k"))
-    out = None
+    kb, kc = keep(bibs.select("bib_no", F.explode("keys").alias("k")), "bibkeys"), keep(cands.select("cand_id", F.explode("keys").alias("k")), "candkeys")
+    parts = F.split("k", "\x1f")
+    rest = F.array_except("attributes", parts)
+    weight = F.log(F.lit(1.0 + n_cands) / F.col("n"))
+    out = []
     while True:
-        kb, kc = keep(kb, "bibkeys"), keep(kc, "candkeys")
         n = keep(kc.groupBy("k").agg(F.count("*").alias("n")).join(kb.select("k").distinct(), "k"), "keys")
-        parts = F.split("k", "\x1f")
-        ended = lambda d: F.size(F.array_except("attributes", parts)) == 0
-        rare = n.filter(F.col("n") <= common).select("k")
-        pairs = kb.join(rare, "k").select("k", "bib_no").join(kc.select("k", "cand_id"), "k").select("bib_no", "cand_id").distinct()
-        often = keep(n.filter(F.col("n") > common).select("k"), "often")
+        pairs = kb.join(n.filter(F.col("n") <= common), "k").join(kc, "k").groupBy("bib_no", "cand_id").agg(F.sum(weight).alias("w"))
+        often = n.filter(F.col("n") > common)
         if often.isEmpty():
-            pairs = keep(pairs, "pairs")
-            return pairs if out is None else out.unionByName(pairs).distinct()
-        b, c = kb.join(often, "k"), kc.join(often, "k")
+            out.append(keep(pairs, "pairs"))
+            break
+        b = kb.join(often, "k").join(bibs.select("bib_no", "attributes"), "bib_no").withColumn("rest", rest)
+        c = kc.join(often, "k").join(cands.select("cand_id", "attributes"), "cand_id").withColumn("rest", rest)
         # nothing is left to tell such a record by: it meets those of the same key that are as bare
-        bare = b.filter(ended(b)).select("k", "bib_no").join(c.filter(ended(c)).select("k", "cand_id"), "k").select("bib_no", "cand_id")
-        pairs = keep(pairs.unionByName(bare), "pairs")
-        out = pairs if out is None else out.unionByName(pairs)
+        bare = b.filter(F.size("rest") == 0).select("k", "n", "bib_no").join(c.filter(F.size("rest") == 0).select("k", "cand_id"), "k").select("bib_no", "cand_id", weight.alias("w"))
+        out.append(keep(pairs.unionByName(bare), "pairs"))
         longer = F.array_join(F.array_sort(F.concat(parts, F.array("more"))), "\x1f")
-        grow = lambda d, i: d.select(i, "attributes", "k", F.explode(F.array_except("attributes", parts)).alias("more")).select(i, "attributes", longer.alias("k")).distinct()
-        kb, kc = grow(b, "bib_no"), grow(c, "cand_id")
-
-
-def link_works(pairs: DataFrame, common: int = 32, lasting: float = 0.3, accept: float = 0.6) -> DataFrame:
+        grow = lambda d, i: d.select(i, "k", F.explode("rest").alias("more")).select(i, longer.alias("k")).distinct()
+        next_b, next_c = keep(grow(b, "bib_no"), "bibkeys"), keep(grow(c, "cand_id"), "candkeys")
+        for d in (kb, kc, n):
+            drop_kept(d)
+        kb, kc = next_b, next_c
+    met = keep(reduce(DataFrame.unionByName, out).groupBy("bib_no", "cand_id").agg(F.sum("w").alias("w")), "met")
+    for d in (kb, kc, n, *out):
+        drop_kept(d)
+    return met
+
+
+def link_works(pairs: DataFrame, common: int = 16, lasting: float = 0.3, accept: float = 0.6) -> DataFrame:
     """(bib_no, cand_id, confidence): the candidate each bibliography record is, where there is one.
 
     Every record and every candidate that occurs in `pairs` takes part, in whatever rows; several rows of one are
     one, with its smallest title, authors and year. Records meet over all their keys (word pairs, authors with words
     and with years, pairs of authors); keys that more than `common` candidates have meet with a further attribute. Edges weigh what
-    the attributes they share do by their rarity; those under `lasting` of the best weight at both their ends are
+    the keys they share do by their rarity; those under `lasting` of the best weight at both their ends are
     pruned. Scores are refined until no edge moves any more. Null ids are nobody; null and blank fields match
     nothing. Ties go to the nearer year, then to the smaller cand_id.
     """
@@ -263,20 +268,15 @@ def link_works(pairs: DataFrame, common: int = 32, lasting: float = 0.3, accept:
     cands = pairs.filter("cand_id is not null").groupBy("cand_id").agg(one("cand_title").alias("title"), one("cand_authors").alias("authors"), one("cand_year").alias("year"))
     parts = max(pairs.sparkSession.sparkContext.defaultParallelism, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     bibs, cands = keep(_parsed(bibs.repartition(parts, "bib_no"), "bib_no", 2), "bibs"), keep(_parsed(cands.repartition(parts, "cand_id"), "cand_id", 0), "cands")
-    n = cands.count()
-    met = _met(bibs, cands, common)
-    weight = cands.select(F.explode("attributes").alias("a")).groupBy("a").agg(F.log(F.lit(1.0 + n) / F.count("*")).alias("w"))
-    weighed = bibs.select("bib_no", F.explode("attributes").alias("a")).join(weight, "a").groupBy("bib_no").agg(F.map_from_entries(F.collect_list(F.struct("a", "w"))).alias("weights"))
-    b = bibs.select("bib_no", F.col("words").alias("bw"), F.col("follows").alias("bk"), F.col("people").alias("ba"), F.col("y").alias("by")).join(weighed, "bib_no")
-    c = cands.select("cand_id", F.col("words").alias("cw"), F.col("follows").alias("ck"), F.col("people").alias("ca"), F.col("y").alias("cy"), "attributes")
-    full = met.join(b, "bib_no").join(c, "cand_id")
-    shared = F.aggregate(F.array_intersect("attributes", F.map_keys("weights")), F.lit(0.0), lambda acc, a: acc + F.element_at("weights", a))
-    full = keep(full.withColumn("w", shared).drop("weights", "attributes"), "edges")
-    top_b = full.groupBy("bib_no").agg(F.max("w").alias("wb"))
-    top_c = full.groupBy("cand_id").agg(F.max("w").alias("wc"))
-    pruned = full.join(top_b, "bib_no").join(top_c, "cand_id").filter((F.col("w") >= lasting * F.col("wb")) | (F.col("w") >= lasting * F.col("wc")))
+    met = _met(bibs, cands, cands.count(), common)
+    top_b = met.groupBy("bib_no").agg(F.max("w").alias("wb"))
+    top_c = met.groupBy("cand_id").agg(F.max("w").alias("wc"))
+    pruned = met.join(top_b, "bib_no").join(top_c, "cand_id").filter((F.col("w") >= lasting * F.col("wb")) | (F.col("w") >= lasting * F.col("wc"))).select("bib_no", "cand_id")
+    b = bibs.select("bib_no", F.col("words").alias("bw"), F.col("follows").alias("bk"), F.col("people").alias("ba"), F.col("y").alias("by"))
+    c = cands.select("cand_id", F.col("words").alias("cw"), F.col("follows").alias("ck"), F.col("people").alias("ca"), F.col("y").alias("cy"))
+    full = keep(pruned, "pruned").join(b, "bib_no").join(c, "cand_id")
     types = f"bib_no {dict(pairs.dtypes)['bib_no']}, cand_id {dict(pairs.dtypes)['cand_id']}"
-    found = keep(pruned.drop("w", "wb", "wc").repartition(parts).mapInPandas(_judged, f"{types}, base double, gap int, people array<string>"), "found")
+    found = keep(full.repartition(parts).mapInPandas(_judged, f"{types}, base double, gap int, people array<string>"), "found")
     ties = keep(found.select("bib_no", "cand_id", F.explode("people").alias("p")), "ties")
     score = found.select("bib_no", "cand_id", "base", "gap", F.col("base").alias("s"), F.lit(False).alias("beaten"))
     while True:
@@ -291,7 +291,9 @@ def link_works(pairs: DataFrame, common: int = 32, lasting: float = 0.3, accept:
         value = F.least(F.lit(1.0), F.col("base") * F.when(beaten, 0.8).otherwise(1.0) + 0.08 * F.coalesce("near", F.lit(0.0)) * F.col("base"))
         new = keep(new.select("bib_no", "cand_id", "base", "gap", value.alias("s"), beaten.alias("beaten"), ((beaten != F.col("beaten")) | (F.abs(value - F.col("s")) >= 0.005)).alias("moved")), "scores")
         moved = not new.filter("moved").isEmpty()
-        score = new.drop("moved")
+        if "moved" in score.columns:
+            drop_kept(score)
+        score = new
         if not moved:
             break
     first = score.groupBy("bib_no").agg(F.min(F.struct((-F.col("s")).alias("s"), "gap", "cand_id")).alias("f"))
