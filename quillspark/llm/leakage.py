@@ -167,7 +167,7 @@ def document_frequency(texts: DataFrame, text: str, known: np.ndarray, runs: dic
                 held[: len(some)] = False
                 for x in at:
                     held[row[: len(x)], x] = True
-                counts += held[: len(some), : len(counts)].sum(0)
+                counts += held[: len(some), : len(counts)].sum(0, dtype=np.uint16)
 
             one, two = (places(x) for x in _terms(ids))
             two[end - 1] = len(known)  # a pair ends with its text
@@ -339,7 +339,7 @@ class _Cells:
         # what a passage shares at least with a stretch that starts within half a step of it
         self.lengths = np.array([min(self.size, len(kept[k][1])) for k in members])
         self.most = (self.lengths - (self.lengths * LOST + 0.999).astype(int) - self.reach // 2)[self.cell]
-        self.least = np.array([least_runs(x, 2) for x in self.lengths.tolist()], np.int32)
+        self.least = np.array([least_runs(x, 2) for x in self.lengths.tolist()], np.int16)
         self.few = np.array([least_runs(x, 3) for x in self.lengths.tolist()], np.int32)[self.cell] - (self.reach + 1) // 2
         term, owner = np.concatenate(held), np.repeat(np.arange(len(held)), list(map(len, held)))
         order = np.argsort(term, kind="stable")
@@ -353,9 +353,10 @@ class _Cells:
         count = count[pos]
         ends = np.cumsum(count)
         entry = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.first[two[pos]] - (ends - count), count)
-        held = np.zeros((bins + 1, n), np.int32)
+        # 16 bits will do: sums may run over, their differences over a passage can't
+        held = np.zeros((bins + 1, n), np.int16)
         held[1:] = np.bincount(np.repeat((pos // STEP) * n, count) + self.owner[entry], minlength=bins * n).reshape(bins, n)
-        np.cumsum(held, axis=0, out=held)
+        np.cumsum(held, axis=0, dtype=np.int16, out=held)
         # a stretch that starts within half a step of a passage ends, with the words that may be added, in these bins
         lo, hi = np.maximum(0, at - STEP) // STEP, np.minimum(bins, -(-(at + self.size + self.size // 6 + self.step // 2) // STEP))
         return np.nonzero(held[hi] - held[lo] >= self.least)
