@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Fields and entry types a raw entry is stripped of before matching.
-FIELDS = "author title journal booktitle year volume number pages publisher doi url eprint editor series address month note institution school organization edition howpublished".split()
-TYPES = "article inproceedings misc book phdthesis techreport".split()
+# Field names and entry types a raw entry is stripped of before matching.
+FIELDS = "text title author year journal volume pages doi eprint archiveprefix primaryclass month number publisher abstract address url urldate issn keywords copyright language".split()
+TYPES = "article misc book inproceedings unpublished techreport".split()
 
 
 def fingerprint(c: Column) -> Column:
@@ -58,7 +58,7 @@ def id_match(a: Column, b: Column) -> Column:
 def clean_for_match(c: Column) -> Column:
     """A raw entry without field names, entry types and delimiters, for matching."""
     t = F.lower(F.coalesce(c, F.lit("")))
-    t = F.regexp_replace(t, r"\b(?:" + "|".join(FIELDS) + r")\s*=", " ")
+    t = F.regexp_replace(t, "(?:" + "|".join(FIELDS) + r")\s*=", " ")
     t = F.regexp_replace(t, "@(?:" + "|".join(TYPES) + ")", " ")
     t = F.regexp_replace(t, r"[{}\"'\\=,:;()\[\]]", " ")
     return F.trim(F.regexp_replace(t, r"\s+", " "))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from quillspark.functions.text import seed_key
+from quillspark.operators.ordering import row_numbers
+from quillspark.session import keep
 
 
 def prefix_slice(df: DataFrame, col: str, prefix: str, start: int = 0, stop: int | None = None) -> DataFrame:
@@ -42,27 +44,48 @@ def split_papers(papers: DataFrame, paper: str, manual: DataFrame | None = None,
     return r.select(paper, part.alias("partition"))
 
 
+def manual_pick(papers: DataFrame, paper: str, counts: tuple[tuple[str, int], ...] = (("train", 3), ("validation", 1), ("test", 1)), seed: int = 42) -> DataFrame:
+    """(paper, partition): the first papers of a random order, as many as `counts` says for each partition in turn. Only those few rows are numbered."""
+    total = sum(n for _, n in counts)
+    picked = papers.select(paper).distinct().orderBy(seed_key(F.col(paper), seed), paper).limit(total)
+    r = picked.withColumn("r", F.row_number().over(W.orderBy(seed_key(F.col(paper), seed), paper)))
+    part, upto = F.when(F.lit(False), ""), 0
+    for name, n in counts:
+        upto += n
+        part = part.when(F.col("r") <= upto, name)
+    return r.select(paper, part.alias("partition"))
+
+
+def one_paper_each(parts: DataFrame, sizes: DataFrame, paper: str, least: int = 20, held_out: tuple[str, ...] = ("validation", "test")) -> DataFrame:
+    """(partition, paper): for each held-out partition its last paper with at least `least` references (`sizes`: paper, n_refs), else its first."""
+    j = parts.filter(F.col("partition").isin(*held_out)).join(sizes, paper, "left")
+    return j.groupBy("partition").agg(F.coalesce(F.max(F.when(F.col("n_refs") >= least, F.col(paper))), F.min(paper)).alias(paper))
+
+
+def by_partition(rows: DataFrame, parts: DataFrame, paper: str, names: tuple[str, ...]) -> DataFrame:
+    """The rows of papers in the partitions named, with `partition`."""
+    return rows.join(parts.filter(F.col("partition").isin(*names)), paper)
+
+
 def positives(labels: DataFrame) -> DataFrame:
     """A pair of each label record with its own true candidate: query, paper, cand_id, label 1."""
     return labels.select("query", "paper", F.col("true_id").alias("cand_id"), F.lit(1).alias("label"))
 
 
 def hard_negatives(labels: DataFrame, n: int = 2, seed: int = 42) -> DataFrame:
-    """Up to n other records' candidates of the same paper for each query, at random; never the true one.
+    """Up to n other candidates of the same paper for each query, at random; never the true one.
 
-    Each record is met by the 2n + 2 that follow it in the paper's random order: a join by position, of a bounded
-    number of rows for each record, in place of all pairs of a paper.
+    The distinct candidates of a paper stand in a random order; a query takes those that follow its own, from a place
+    that its hash gives: a join by position of n + 1 rows for each record, which finds n others wherever there are any.
     """
-    w = W.partitionBy("paper").orderBy("k", "query")
-    p = labels.filter("true_id is not null").withColumn("k", seed_key(F.col("query"), seed)).withColumn("r", F.row_number().over(w))
-    p = p.withColumn("n", F.max("r").over(W.partitionBy("paper")))
-    steps = F.explode(F.sequence(F.lit(1), F.lit(2 * n + 2)))
-    a = p.select("query", "paper", "true_id", "r", "n", steps.alias("s")).filter(F.col("s") < F.col("n"))
-    a = a.withColumn("at", F.pmod(F.col("r") - 1 + F.col("s"), F.col("n")) + 1)
-    b = p.select("paper", F.col("r").alias("at"), F.col("true_id").alias("cand_id"))
-    c = a.join(b, ["paper", "at"]).filter(F.col("cand_id") != F.col("true_id"))
-    c = c.groupBy("query", "paper", "cand_id").agg(F.min("s").alias("s"))
-    rank = F.row_number().over(W.partitionBy("query").orderBy("s", "cand_id"))
+    own = labels.filter("true_id is not null").select("query", "paper", "true_id")
+    pool = own.select("paper", "true_id").distinct().withColumn("k", seed_key(F.col("true_id"), seed))
+    pool = keep(row_numbers(pool, ["paper"], ["k", "true_id"], "r"), "pool")
+    size = pool.groupBy("paper").agg(F.count("*").alias("n"))
+    a = own.join(size, "paper").withColumn("first", F.pmod(seed_key(F.col("query"), seed), F.col("n")))
+    a = a.select("query", "paper", "true_id", "n", "first", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("s")).filter("s < n").withColumn("r", F.pmod(F.col("first") + F.col("s"), F.col("n")))
+    c = a.join(pool.select("paper", "r", F.col("true_id").alias("cand_id")), ["paper", "r"]).filter(F.col("cand_id") != F.col("true_id"))
+    rank = F.row_number().over(W.partitionBy("query").orderBy("s"))
     return c.withColumn("rank", rank).filter(F.col("rank") <= n).select("query", "paper", "cand_id", F.lit(0).alias("label"))
 
 
@@ -74,11 +97,22 @@ def easy_negatives(labels: DataFrame, hard: DataFrame, total: int = 4, attempts:
     pool = p.join(before, "b").select((F.col("before") + F.row_number().over(W.partitionBy("b").orderBy("k", "query")) - 1).alias("at"), F.col("true_id").alias("cand_id"), F.col("paper").alias("other"), "n")
     need = labels.join(hard.groupBy("query").agg(F.count("*").alias("h")), "query", "left").withColumn("need", total - F.coalesce("h", F.lit(0)))
     n = pool.agg(F.max("n").alias("n"))
-    draws = need.crossJoin(F.broadcast(n)).select("query", "paper", "true_id", "need", "n", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("a"))
-    draws = draws.withColumn("at", F.pmod(seed_key(F.concat_ws("-", F.col("query").cast("string"), F.col("a").cast("string")), seed), F.col("n")))
-    c = draws.join(pool.drop("n"), "at").filter((F.col("other") != F.col("paper")) & (F.col("cand_id") != F.col("true_id")))
+    found = None
+    need = need.crossJoin(F.broadcast(n))
+    lo = 0
+    while lo < attempts:  # a few draws at first; only queries that still miss some draw again
+        hi = min(attempts, lo + (total + 2 if not lo else 4 * lo))
+        draws = need.select("query", "paper", "true_id", "need", "n", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1))).alias("a"))
+        draws = draws.withColumn("at", F.pmod(seed_key(F.concat_ws("-", F.col("query").cast("string"), F.col("a").cast("string")), seed), F.col("n")))
+        got = draws.join(pool.drop("n"), "at").filter((F.col("other") != F.col("paper")) & (F.col("cand_id") != F.col("true_id"))).select("query", "paper", "need", "a", "cand_id")
+        found = keep(got if found is None else found.unionByName(got), "negatives")
+        have = found.groupBy("query").agg(F.count("*").alias("have"))
+        need = keep(need.join(have, "query", "left").filter(F.coalesce("have", F.lit(0)) < F.col("need")).drop("have"), "need")
+        lo = hi
+        if need.isEmpty():
+            break
     rank = F.row_number().over(W.partitionBy("query").orderBy("a"))
-    return c.withColumn("rank", rank).filter(F.col("rank") <= F.col("need")).select("query", "paper", "cand_id", F.lit(0).alias("label"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= F.col("need")).select("query", "paper", "cand_id", F.lit(0).alias("label"))
 
 
 def folds(df: DataFrame, row: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:

@@ -8,10 +8,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-# Header levels, and what cleaning deletes or unwraps.
+# Header levels, what cleaning deletes or unwraps, names of root files, and below the weights of their scores.
 LEVELS = {"part": 1, "chapter": 2, "section": 3, "subsection": 4, "subsubsection": 5, "paragraph": 6, "subparagraph": 7}
 DROP_WITH_ARGUMENT = "footnote todo comment note thanks label cite ref eqref bibliographystyle input include bibliography acknowledgments".split()
-LAYOUT = "centering noindent small tiny large Large hfill vfill newpage clearpage maketitle tableofcontents bigskip medskip smallskip".split()
+LAYOUT = "centering newpage clearpage tableofcontents noindent hfill vfill break pagebreak FloatBarrier newline maketitle nocite hbadness preprint".split()
+LIGHT = "centering hfill vfill noindent small tiny large".split()
+FIGURE = "centering hfill vfill noindent".split()
 UNWRAP = "textbf textit emph textsc text mathrm mathbf section subsection subsubsection paragraph subparagraph".split()
 CANONICAL_ROOTS = ("main.tex", "ms.tex", "paper.tex", "article.tex")
 INCLUDE = r"\\(?:input|include|subfile)(?:\[[^\]]*\])?\s*(?:\{([^}]+)\}|\s+([^\s{}\\%]+))"
@@ -41,7 +43,7 @@ def root_scores(files: DataFrame, keys: list[str], path: str = "rel_path", conte
     score = (
         20 + add(c.contains("\\begin{document}"), 20) - 50 * F.coalesce("incoming", F.lit(0)) + add(has(".bbl"), 60) + add(has(".bib"), 20) + add(has(".log"), 30)
         + add(c.contains("\\bibliography") | c.contains("\\begin{thebibliography}"), 15) + add(c.contains("\\maketitle"), 10) + add(c.contains("\\begin{abstract}"), 10)
-        + F.least(3 * includes, F.lit(30)) + add(base.isin(*CANONICAL_ROOTS), 10) - add(F.lower(base).rlike("response|reply|letter"), 50)
+        + F.least(3 * includes, F.lit(30)) + add(F.lower(base).isin(*CANONICAL_ROOTS), 10) - add(F.lower(base).rlike("response|reply|letter"), 50)
         - add(c.contains("\\documentclass{beamer}"), 50) - add(c.contains("\\documentclass{standalone}"), 20) - add(c.contains("\\documentclass{letter}"), 50)
     )
     score = score - F.when(F.lower(base).rlike("template|sample|example") & (score < 60), 10).otherwise(0)
@@ -54,7 +56,7 @@ def choose_root(scores: DataFrame, keys: list[str]) -> DataFrame:
     top = scores.filter("score > -100").withColumn("r", rank).filter("r <= 2").groupBy(*keys).agg(
         *[F.max(F.when(F.col("r") == i, F.struct("path", "score", "length"))).alias(f"t{i}") for i in (1, 2)]
     )
-    plain = lambda t: F.element_at(F.split(F.col(f"{t}.path"), "/"), -1).isin(*CANONICAL_ROOTS)
+    plain = lambda t: F.lower(F.element_at(F.split(F.col(f"{t}.path"), "/"), -1)).isin(*CANONICAL_ROOTS)
     close = F.col("t2").isNotNull() & (F.col("t1.score") - F.col("t2.score") < 5)
     second = close & ((~plain("t1") & plain("t2")) | (~plain("t1") & ~plain("t2") & (F.col("t2.length") > 1.5 * F.col("t1.length"))))
     return top.select(*keys, F.when(second, F.col("t2.path")).otherwise(F.col("t1.path")).alias("root"))
@@ -110,29 +112,41 @@ def flatten(files: DataFrame, roots: DataFrame, keys: list[str], path: str = "re
 
 
 def clean_latex(c: Column) -> Column:
-    """Text of a fragment: comments, layout and commands with their arguments deleted, formatting unwrapped, inline math kept."""
+    """Text of a fragment: comments, layout and commands with their arguments deleted, formatting unwrapped, inline math kept as it is."""
+    nested = r"\{((?:[^{}]|\{[^{}]*\})*)\}"
     t = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?s)^.*?\\begin\{document\}", "")
-    t = F.regexp_replace(t, r"\\end\{document\}", "")
-    t = strip_comments(t)
-    outside = lambda p, r: rf"(\$[^$]+\$|\\\([^)]*\\\))|{p}"
-    t = F.regexp_replace(t, outside(r"\\texorpdfstring\{[^{}]*\}\{[^{}]*\}", ""), "$1")
-    t = F.regexp_replace(t, outside(r"\\(?:" + "|".join(DROP_WITH_ARGUMENT) + r")\s*(?:\[[^\]]*\])?\{[^{}]*\}", ""), "$1")
-    t = F.regexp_replace(t, outside(r"\\(?:" + "|".join(LAYOUT) + r")(?![a-zA-Z])", ""), "$1")
+    t = strip_comments(F.regexp_replace(t, r"\\end\{document\}", ""))
+    outside = lambda p: rf"(\$[^$]+\$|\\\([^)]+\\\))|{p}"
+    for _ in range(3):  # the first argument stays
+        t = F.regexp_replace(t, outside(r"\\texorpdfstring\s*" + nested + r"\s*" + nested), "$1$2")
+    t = F.regexp_replace(t, outside(r"\\(?:" + "|".join(DROP_WITH_ARGUMENT) + r")(?:\[[^\]]*\])?\{[^}]*\}"), "$1")
+    t = F.regexp_replace(t, outside(r"\\(?:" + "|".join(LAYOUT) + r")\b"), "$1")
     t = F.regexp_replace(t, r"\\(?:begin|end)\{abstract\}", "")
     for _ in range(5):
-        t = F.regexp_replace(t, r"\\(?:" + "|".join(UNWRAP) + r")\*?\{((?:[^{}$]|\$[^$]*\$)*)\}", "$1")
+        t = F.regexp_replace(t, outside(r"\\(?:" + "|".join(UNWRAP) + r")(?:\[[^\]]*\])?" + nested), "$1$2")
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
+def light_clean(c: Column) -> Column:
+    """Layout commands and the options of figures and tables deleted."""
+    t = F.regexp_replace(c, r"\\(?:" + "|".join(LIGHT) + ")", "")
+    return F.trim(F.regexp_replace(t, r"\\begin\{(figure|table)\}\[[^\]]*\]", r"\\begin{$1}"))
+
+
 def clean_equation(c: Column) -> Column:
     body = F.regexp_replace(F.regexp_replace(c, r"\$\$|\\\[|\\\]|\\(?:begin|end)\{equation\*?\}", ""), r"\\label\{[^}]*\}|\\nonumber|\\notag", "")
     return F.concat(F.lit("\\begin{equation}\n"), F.trim(F.regexp_replace(body, r"\s+", " ")), F.lit("\n\\end{equation}"))
 
 
 def clean_figure(c: Column) -> Column:
-    t = F.regexp_replace(c, r"(\\begin\{(?:figure|table)\*?\})\[[^\]]*\]", "$1")
-    t = F.regexp_replace(t, r"\\(?:" + "|".join(LAYOUT) + r")(?![a-zA-Z])|\\label\{[^}]*\}", "")
-    return F.trim(F.regexp_replace(t, r"[ \t]+", " "))
+    """A figure or table without options, layout and labels; captions cleaned like text. Line ends stay."""
+    t = F.regexp_replace(c, r"(?i)(\\begin\{(?:figure|table)\*?\})\[[^\]]*\]", "$1")
+    t = F.regexp_replace(t, r"\\(?:" + "|".join(FIGURE) + r")", "")
+    t = F.regexp_replace(t, r"\\label\{(?:[^{}]|\{[^{}]*\})*\}", "")
+    caption = r"(?s)(\\caption(?:\[[^\]]*\])?\{)((?:[^{}]|\{[^{}]*\})*)\}"
+    found = F.array_distinct(F.regexp_extract_all(t, F.lit(caption), 0))
+    t = F.aggregate(found, t, lambda acc, m: F.replace(acc, m, F.concat(F.regexp_extract(m, caption, 1), clean_latex(F.regexp_extract(m, caption, 2)), F.lit("}"))))
+    return F.regexp_replace(t, r"^\s+|\s+$", "")
 
 
 def inline_math(c: Column) -> Column:

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quillspark.functions import similarity as S, text as T
+from quillspark.session import keep
 
 #: English function words left out of the terms (a fixed list of our own).
 STOP = "a about after all also an and any are as at be been between both but by can could do does each for from had has have how if in into is it its may more most no nor not of on or other our over such than that the their these this those to under via was we were what when where which while who will with would".split()
 THRESHOLD, YEARS, TOP = 0.55, 2, 3
 
 
-def word_terms(c: Column) -> Column:
+def word_terms(c: Column, stop: list[str] = STOP) -> Column:
     """Words of two letters or more that are no stop words, and pairs of neighbours."""
-    w = F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda x: (F.length(x) >= 2) & ~x.isin(*STOP))
+    w = F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda x: (F.length(x) >= 2) & ~x.isin(*stop))
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.try_element_at(w, i), F.try_element_at(w, i + 1)))
     return F.concat(w, F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<string>")))
 
@@ -52,19 +53,22 @@ def exact_titles(queries: DataFrame, cands: DataFrame, on: list[str]) -> DataFra
     return queries.withColumn("t", T.clean_for_match("title")).join(c, [*on, "t"]).select(*on, "query", "cand_id")
 
 
-def match(queries: DataFrame, cands: DataFrame, on: list[str], threshold: float = THRESHOLD, years: int = YEARS, top: int = TOP) -> DataFrame:
+def match(queries: DataFrame, cands: DataFrame, on: list[str], threshold: float = THRESHOLD, years: int = YEARS, top: int = TOP, stop: list[str] = STOP) -> DataFrame:
     """(on, query, cand_id, score): the exact title, score 1; else of the `top` candidates by cosine the first that
     reaches the threshold and, where both years are known, lies within `years`.
 
-    queries: on, query, text, title; cands: on, cand_id, title, authors (string), year. Ties go to the smaller cand_id.
+    queries: on, query, text, title; cands: on, cand_id, title, authors (string), year. `stop`: words that are no
+    terms. Ties go to the smaller cand_id.
     """
+    queries, cands = keep(queries, "queries"), keep(cands, "cands")
     exact = exact_titles(queries, cands, on)
     rest = queries.join(exact.select(*on, "query"), [*on, "query"], "left_anti")
     doc = F.concat_ws(" ", T.clean_for_match("title"), T.clean_for_match("title"), T.clean_for_match("authors"), F.col("year").cast("string"))
     c = cands.select(*on, F.concat(F.lit("c"), F.col("cand_id")).alias("doc"), doc.alias("x"))
     q = rest.select(*on, F.concat(F.lit("q"), F.col("query").cast("string")).alias("doc"), T.clean_for_match("text").alias("x"))
-    wc = tfidf(c, on, "doc", word_terms(F.col("x")))
-    wq = tfidf(q, on, "doc", word_terms(F.col("x")), fit=c)
+    c = keep(c, "docs")
+    wc = tfidf(c, on, "doc", word_terms(F.col("x"), stop))
+    wq = tfidf(q, on, "doc", word_terms(F.col("x"), stop), fit=c)
     cos = wq.select(*on, F.col("doc").alias("q"), "term", F.col("weight").alias("a")).join(wc.select(*on, F.col("doc").alias("c"), "term", F.col("weight").alias("b")), [*on, "term"]).groupBy(*on, "q", "c").agg(F.round(F.sum(F.col("a") * F.col("b")), 9).alias("score"))
     rank = F.row_number().over(W.partitionBy(*on, "q").orderBy(F.desc("score"), "c"))
     best = cos.withColumn("rank", rank).filter(F.col("rank") <= top)
@@ -117,6 +121,11 @@ def fuzzy_features(p: DataFrame) -> DataFrame:
     })
 
 
+def all_features(p: DataFrame, scope: list[str] | None = None, min_df: int = 2) -> DataFrame:
+    """Pairs with all features: the built-in ones, the block ratios and the TF-IDF cosine of the batch, of each scope, or (scope `pair_id`, min_df 1) of the pair alone."""
+    return fuzzy_features(pair_features(p)).join(title_cosine(p, scope, min_df), "pair_id")
+
+
 def title_cosine(p: DataFrame, scope: list[str] | None = None, min_df: int = 2) -> DataFrame:
     """(pair_id, feat_title_tfidf_cosine): cosine of character pieces, fitted on the distinct titles of the batch, or of each scope; 0 where nothing is shared."""
     scope = scope or []

@@ -37,10 +37,12 @@ def correlations(df: DataFrame, features: list[str], label: str) -> DataFrame:
 
 def collinear(df: DataFrame, features: list[str], above: float = 0.85) -> DataFrame:
     """(feature_a, feature_b, corr) of all pairs of features whose correlation exceeds `above`."""
+    df = df.select(*features)
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
     row = df.agg(*[_corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     x = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.round(F.col(f"c{i}"), 6).alias("corr")) for i, (a, b) in enumerate(pairs)])
     return row.select(F.explode(x).alias("x")).select("x.*").filter(F.abs("corr") > above)
 
 
+#: The features that are left after those that say the same are taken out.
 SELECTED = ["feat_title_tfidf_cosine", "feat_title_len_diff", "feat_auth_jaccard", "feat_year_match", "feat_id_match", "feat_first_auth_match"]

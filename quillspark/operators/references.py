@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators.ordering import row_numbers
 
 
 def fingerprints(refs: DataFrame) -> DataFrame:
@@ -23,8 +25,8 @@ def canonical_refs(refs: DataFrame, paper: str = "paper_id", version: str = "ver
         F.min(seen).alias("first"),
         F.min(F.struct((-F.length(F.coalesce("raw_text", F.lit("")))).alias("n"), F.col(version), F.col(order), F.col(row), "raw_text")).alias("best"),
     )
-    number = F.row_number().over(W.partitionBy(paper).orderBy("first")) - 1
-    return g.select(paper, "fingerprint", F.concat(F.lit("ref_"), number.cast("string")).alias("canonical_key"), F.col("best.raw_text").alias("raw_text"))
+    g = row_numbers(g, [paper], ["first"], "number")
+    return g.select(paper, "fingerprint", F.concat(F.lit("ref_"), F.col("number").cast("string")).alias("canonical_key"), F.col("best.raw_text").alias("raw_text"))
 
 
 def key_map(refs: DataFrame, paper: str = "paper_id", version: str = "version", order: str = "ord", row: str = "ref_id") -> DataFrame:
@@ -159,24 +161,71 @@ def to_bib(key: Column, raw: Column) -> Column:
     return F.concat(F.lit("@misc{"), key, F.lit(",\n  text = {"), F.coalesce(raw, F.lit("")), F.lit("}\n}\n\n"))
 
 
+# LaTeX accents by the mark they set, and letters and signs by their commands.
+_MARKS = {"`": "\u0300", "'": "\u0301", "^": "\u0302", "~": "\u0303", '"': "\u0308", "=": "\u0304", ".": "\u0307", "u": "\u0306", "v": "\u030c", "H": "\u030b", "c": "\u0327", "k": "\u0328", "r": "\u030a", "d": "\u0323", "b": "\u0331"}
+_SIGNS = {"ss": "ß", "ae": "æ", "AE": "Æ", "oe": "œ", "OE": "Œ", "aa": "å", "AA": "Å", "o": "ø", "O": "Ø", "l": "ł", "L": "Ł", "i": "ı", "j": "ȷ", "&": "&", "%": "%", "$": "$", "#": "#", "_": "_"}
+_ACCENT = re.compile(r"\\(?:([`'^~\"=.])\s*|([uvHckrdb])(?:\s+|(?=\{)))\{?(?:\\([ij])(?![A-Za-z])\s*|([A-Za-z]))\}?")
+_SIGN = re.compile(r"\\(?:(ss|ae|AE|oe|OE|aa|AA|[oOlLij])(?![A-Za-z])(?:\s+|\{\})?|([&%$#_]))")
+
+
+def latex_to_unicode(text: str | None) -> str | None:
+    """Accents, letters and signs written as commands, as characters; other commands go, braces too, spaces run together."""
+    if text is None or not ("\\" in text or "{" in text or "}" in text or "~" in text):
+        return text if text is None else " ".join(text.split())
+    s = _ACCENT.sub(lambda m: (m[3] or m[4]) + _MARKS[m[1] or m[2]], text)
+    s = _SIGN.sub(lambda m: _SIGNS[m[1] or m[2]], s)
+    s = re.sub(r"\\[A-Za-z]+\s*", "", s).replace("~", " ")
+    return " ".join(unicodedata.normalize("NFC", s.replace("{", "").replace("}", "")).split())
+
+
+def _decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for d in batches:
+        d["title"] = d["title"].map(latex_to_unicode)
+        d["authors"] = [None if a is None else [latex_to_unicode(x) for x in a] for a in d["authors"]]
+        yield d
+
+
+def parse_references(refs: DataFrame, row: str, raw: str) -> DataFrame:
+    """(row, title, authors, year, extracted_id, method) of raw references, accents as characters. Only references with commands pass through Python."""
+    d = refs.select(row, F.col(raw).alias("_raw"), smart_parse(F.col(raw)).alias("p")).select(row, "_raw", "p.*")
+    odd = F.coalesce(F.array_join(F.concat(F.array("title"), "authors"), " ").rlike(r"[\\~]"), F.lit(False))
+    d = d.drop("_raw")
+    return d.filter(~odd).unionByName(d.filter(odd).mapInPandas(_decoded, d.schema))
+
+
+def inference_queries(bib: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
+    """bib with title, authors, year, extracted_id and method of its exported references, each written out as an entry without its `@`, which leaves it to blocks and patterns."""
+    entry = F.concat(F.lit("misc{"), F.coalesce(key, F.lit("")), F.lit(", text = {"), F.coalesce(text, F.lit("")), F.lit("}}"))
+    return bib.withColumn("_p", smart_parse(entry)).select(*bib.columns, "_p.*")
+
+
 def smart_parse(c: Column) -> Column:
-    """Struct (title, authors, year, extracted_id, method) of a raw reference: by entry fields, by blocks, or by patterns, in this order."""
+    """Struct (title, authors, year, extracted_id, method) of a raw reference: by entry fields, by blocks, or by patterns; the first that gives a valid title."""
     t = F.coalesce(c, F.lit(""))
     blocks = F.split(t, r"\\newblock\b")
+    tidy = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"[{}]", ""), r"[\s\p{Z}]+", " "))
+    people = lambda x, by: F.filter(F.transform(F.split(tidy(x), by), lambda y: F.trim(y)), lambda y: y != "")
+    valid = lambda x: F.when(T.title_is_valid(x), x)
+    is_entry, is_flat = F.trim(t).startswith("@"), F.size(blocks) > 1
     title_e, authors_e = T.entry_title(t), T.entry_authors(t)
-    tidy = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"[{}]", ""), r"\s+", " "))
-    by_entry = F.when(F.trim(t).startswith("@") & (title_e != ""), tidy(title_e))
-    by_block = F.when(F.size(blocks) > 1, F.regexp_replace(tidy(blocks[1]), r"\.$", ""))
-    title = F.coalesce(by_entry, by_block, F.lit(""))
-    people_e = F.when(authors_e != "", F.filter(F.transform(F.split(tidy(authors_e), r"\s+and\s+"), lambda x: F.trim(x)), lambda x: x != ""))
-    people_b = F.when(F.size(blocks) > 1, F.filter(F.transform(F.split(F.regexp_replace(tidy(blocks[0]), r"\.$", ""), r",\s*"), lambda x: F.trim(x)), lambda x: x != ""))
-    ident = F.coalesce(F.nullif(F.regexp_extract(t, r"(?i)\beprint\s*=\s*[{\"]([^}\"]+)", 1), F.lit("")), F.nullif(F.regexp_extract(t, r"(?i)\bdoi\s*=\s*[{\"]([^}\"]+)", 1), F.lit("")), F.lit(""))
-    field_year = F.nullif(F.regexp_extract(t, r"(?i)\byear\s*=\s*[{\"]?\s*(\d{4})", 1), F.lit(""))
-    last_year = F.nullif(F.regexp_extract(F.element_at(blocks, -1), r"\b((?:19|20)\d{2})\b", 1), F.lit(""))
+    pattern = lambda name: F.regexp_extract(t, rf"(?is){name}\s*=\s*[{{\"](.*?)[}}\"]", 1)
+    by_entry = F.when(is_entry, valid(tidy(title_e)))
+    by_block = F.when(is_flat, valid(tidy(blocks[1])))
+    title = F.coalesce(by_entry, by_block, valid(tidy(pattern("title"))), F.lit(""))
+    people_e = F.when(is_entry & (authors_e != ""), people(authors_e, r"\s+and\s+"))
+    people_b = F.when(is_flat, people(F.regexp_replace(tidy(blocks[0]), r"\.$", ""), r",\s*"))
+    people_p = F.when(pattern("author") != "", people(pattern("author"), r"\s+and\s+"))
+    authors = F.when(by_entry.isNotNull(), F.coalesce(people_e, F.array().cast("array<string>"))).otherwise(F.coalesce(people_b, people_e, people_p, F.array().cast("array<string>")))
+    ident = F.when(is_entry, F.coalesce(F.nullif(F.regexp_extract(t, r"(?i)\beprint\s*=\s*[{\"]([^}\"]+)", 1), F.lit("")), F.nullif(F.regexp_extract(t, r"(?i)\bdoi\s*=\s*[{\"]([^}\"]+)", 1), F.lit(""))))
+    field_year = F.nullif(F.regexp_extract(t, r"(?i)year\s*=\s*[{\"]?\s*([12]\d{3})", 1), F.lit(""))
+    stands = lambda x: F.nullif(F.regexp_extract(x, r"\b((?:19|20)\d{2})\b", 1), F.lit(""))
+    last_year = F.when(is_flat, stands(F.element_at(blocks, -1)))
+    # where blocks gave the title the last of them is all that is searched for a year
+    any_year = F.when(by_entry.isNull() & by_block.isNull(), stands(t))
     return F.struct(
-        F.when(T.title_is_valid(title), title).otherwise("").alias("title"),
-        F.coalesce(people_e, people_b, F.array().cast("array<string>")).alias("authors"),
-        F.coalesce(field_year, last_year, F.lit("")).alias("year"),
-        T.normalize_id(ident).alias("extracted_id"),
+        title.alias("title"),
+        authors.alias("authors"),
+        F.coalesce(field_year, last_year, any_year, F.lit("")).alias("year"),
+        T.normalize_id(F.coalesce(ident, F.lit(""))).alias("extracted_id"),
         T.parse_method(c).alias("method"),
     )

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import argparse
+import logging
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark import sources
 from quillspark.functions import text as T
-from quillspark.operators import latex as L, matching as M, references as R
+from quillspark.operators import dataset as D, hierarchy as H, latex as L, matching as M, references as R
 from quillspark.session import get_spark, keep
 from quillspark.sources import sinks
 
@@ -45,18 +46,32 @@ def extract_references(files: DataFrame, flat: DataFrame) -> DataFrame:
     return R.used_refs(refs, cited, KEYS).withColumn("ref_id", F.col("key"))
 
 
-def process(spark: SparkSession, config: Config) -> dict[str, DataFrame]:
-    """Tables of a run: files, flat, refs, canonical, key_map, headers, blocks."""
+def select_papers(files: DataFrame, yymm: str | None = None, first: int | None = None, last: int | None = None, limit: int | None = None) -> DataFrame:
+    """The files of papers whose id begins with `yymm`, of those from `first` to `last` in order, and of `limit` of these at random."""
+    if yymm is None and first is None and limit is None:
+        return files
+    chosen = D.prefix_slice(files, "paper_id", yymm or "", first or 0, last)
+    if limit is not None:
+        chosen = D.random_limit(chosen, "paper_id", limit)
+    return files.join(chosen, "paper_id", "left_semi")
+
+
+def process(spark: SparkSession, config: Config, papers: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Tables of a run: files, flat, refs, canonical, key_map, headers, blocks, edges, elements. `papers`: files already chosen.
+
+    References are taken from the sources as they are; the trees are built from sources without bibliographies.
+    """
     config.validate()
-    files = keep(sources.raw_files(spark, config.raw), "files")
+    files = keep(sources.raw_files(spark, config.raw) if papers is None else papers, "files")
     tex = files.filter("ext = 'tex'")
-    roots = L.choose_root(L.root_scores(files, KEYS), KEYS)
+    roots = keep(L.choose_root(L.root_scores(files, KEYS), KEYS), "roots")
     flat = keep(L.flatten(tex, roots, KEYS), "flat")
     refs = keep(extract_references(files, flat), "refs")
     maps = R.key_map(refs)
-    body = R.rewrite(flat, maps, KEYS, "content")
+    body = keep(R.rewrite(L.flatten(tex, roots, KEYS, remove_references=True), maps, KEYS, "content"), "body")
     heads = L.header_parents(L.headers(body.filter("content is not null"), KEYS), KEYS)
-    return {"files": files, "flat": flat, "refs": refs, "canonical": R.canonical_refs(refs), "key_map": maps, "headers": heads, "blocks": L.blocks(heads, [*KEYS, "pos"])}
+    edges, elements = H.hierarchy(keep(H.assemble(body, KEYS), "nodes"))
+    return {"files": files, "flat": flat, "refs": refs, "canonical": R.canonical_refs(refs), "key_map": maps, "headers": heads, "blocks": L.blocks(heads, [*KEYS, "pos"]), "edges": edges, "elements": elements}
 
 
 def label(refs: DataFrame, candidates: DataFrame, config: Config) -> DataFrame:
@@ -69,28 +84,72 @@ def label(refs: DataFrame, candidates: DataFrame, config: Config) -> DataFrame:
     return j.select(F.col("query").alias("key"), F.col("text").alias("content"), truth.alias("ground_truth"), F.col("paper_id").alias("source_paper_id"))
 
 
-def run(spark: SparkSession, config: Config, matching: bool = True) -> dict[str, int]:
+def run_matching(spark: SparkSession, config: Config, canonical: DataFrame | None = None) -> int:
+    """Matches canonical references (of this run, or those exported before) to the candidates of their papers, writes the labels and returns how many papers have some. A paper's candidates are those beside its results, else those beside its sources."""
+    if canonical is None:
+        canonical = sources.refs_bib(spark, [f"{config.output}/refs_bib/*/*"], r"paper_id=([^/]+)/").withColumnRenamed("key", "canonical_key")
+    found = sources.candidates_of(spark, [f"{config.output}/metadata/*/file_name=references.json/*", f"{config.raw}/*/references.json"], [r"paper_id=([^/]+)/", r"/([^/]+)/references\.json$"])
+    out = keep(label(canonical, found, config), "labels")
+    sinks.labels_json(out, f"{config.output}/labels")
+    return out.select("source_paper_id").distinct().count()
+
+
+def run(spark: SparkSession, config: Config, matching: bool = True, papers: DataFrame | None = None) -> dict[str, int]:
     """Runs all steps, writes their results and returns how many papers were processed and matched."""
-    t = process(spark, config)
+    t = process(spark, config, papers)
     sinks.refs_bib(t["canonical"], f"{config.output}/refs_bib")
+    sinks.hierarchy_json(t["edges"], t["elements"], f"{config.output}/hierarchy")
     t["headers"].write.mode("overwrite").parquet(f"{config.output}/headers")
     t["blocks"].write.mode("overwrite").parquet(f"{config.output}/blocks")
+    sinks.metadata(sources.metadata(spark, config.raw), f"{config.output}/metadata")
     stats = {"processed": t["flat"].select("paper_id").distinct().count(), "matched": 0}
+    logging.info("%s papers processed", stats["processed"])
     if matching:
-        out = keep(label(t["canonical"], sources.candidates(spark, [f"{config.raw}/*/references.json"]), config), "labels")
-        sinks.labels_json(out, f"{config.output}/labels")
-        stats["matched"] = out.select("source_paper_id").distinct().count()
+        stats["matched"] = run_matching(spark, config, t["canonical"])
+        logging.info("%s papers matched", stats["matched"])
     return stats
 
 
-def main(argv: list[str] | None = None) -> None:
+def merge(spark: SparkSession, folder: str, output: str) -> dict[str, int]:
+    """Manual and automatic labels of a data set's partitions as one data set; how many records of each kind."""
+    d = sources.dataset(spark, folder).withColumn("source_type", F.regexp_replace("source_file", r"\.json$", ""))
+    sinks.splits(d, output)
+    return {r["source_type"]: r["count"] for r in d.groupBy("source_type").count().collect()}
+
+
+def arguments() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(description="Sources to references, trees and labels.")
     p.add_argument("--raw", "-r", default=Config.raw)
     p.add_argument("--output", "-o", default=Config.output)
+    p.add_argument("--matching-only", action="store_true", help="match what was exported before")
     p.add_argument("--no-matching", action="store_true")
+    p.add_argument("--merge", action="store_true", help="merge the labels of --input to --output-dataset")
+    p.add_argument("--input", default="dataset")
+    p.add_argument("--output-dataset", default="dataset_merged")
+    p.add_argument("--yymm", help="papers whose id begins so")
+    p.add_argument("--limit", type=int, help="so many papers at random")
+    p.add_argument("--range", type=int, nargs=2, metavar=("A", "B"), help="papers A to B in order")
+    p.add_argument("--parallel", "-p", action="store_true", help="on all cores (the default but with --workers)")
+    p.add_argument("--workers", "-w", type=int, help="cores of a local session")
     p.add_argument("--threshold", type=float, default=Config.threshold)
-    a = p.parse_args(argv)
-    print(run(get_spark("pipeline"), Config(a.raw, a.output, a.threshold), not a.no_matching))
+    p.add_argument("--log", help="also write the log to this file")
+    return p
+
+
+def main(argv: list[str] | None = None) -> None:
+    a = arguments().parse_args(argv)
+    logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)s %(message)s", handlers=[logging.StreamHandler(), *([logging.FileHandler(a.log)] if a.log else [])])
+    spark = get_spark("pipeline", a.workers or "*")
+    config = Config(a.raw, a.output, a.threshold)
+    if a.merge:
+        print(merge(spark, a.input, a.output_dataset))
+    elif a.matching_only:
+        config.validate()
+        print({"processed": 0, "matched": run_matching(spark, config)})
+    else:
+        first, last = a.range or (None, None)
+        papers = select_papers(sources.raw_files(spark, config.raw), a.yymm, first, last, a.limit)
+        print(run(spark, config, not a.no_matching, papers))
 
 
 if __name__ == "__main__":

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from quillspark.functions import similarity as S, text as T
-from quillspark.operators import dataset as D, export as X, latex as L, matching as M, quality as Q, ranking as K, references as R
+from quillspark.operators import dataset as D, export as X, hierarchy as H, latex as L, matching as M, quality as Q, ranking as K, references as R
 from quillspark.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,10 +55,23 @@ def refs_bib_export(spark: SparkSession, d: str) -> DataFrame:
 SELECT element_id, content_hash, CASE WHEN content_hash IS NULL THEN element_id ELSE first_value(element_id) OVER (PARTITION BY paper_id, content_hash ORDER BY element_no) END AS unified_id,
   CASE WHEN content_hash IS NULL THEN title ELSE content END AS element_text FROM h""")
 def content_hash_dedup(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "elements").withColumn("content_hash", F.when(F.trim(F.coalesce("content", F.lit(""))) != "", T.content_hash(F.col("node_type"), F.col("content"))))
-    first = e.filter("content_hash is not null").groupBy("paper_id", "content_hash").agg(F.min_by("element_id", "element_no").alias("first"))
-    j = e.join(first, ["paper_id", "content_hash"], "left")
-    return j.select("element_id", "content_hash", F.coalesce("first", "element_id").alias("unified_id"), F.when(F.col("content_hash").isNull(), F.col("title")).otherwise(F.col("content")).alias("element_text"))
+    u = H.unified_ids(table(spark, d, "elements"), "paper_id", "element_id", "node_type", "content", ["element_no"])
+    return u.select("element_id", "content_hash", "unified_id", F.when(F.col("content_hash").isNull(), F.col("title")).otherwise(F.col("content")).alias("element_text"))
+
+
+_UNIFIED = r"""h AS (SELECT *, CASE WHEN trim(coalesce(content, '')) = '' THEN NULL ELSE md5(node_type || ':' || regexp_replace(content, '^\s+|\s+$', '', 'g')) END AS content_hash FROM elements),
+u AS (SELECT DISTINCT paper_id, element_id AS node, CASE WHEN content_hash IS NULL THEN element_id ELSE first_value(element_id) OVER (PARTITION BY paper_id, content_hash ORDER BY element_no) END AS unified_id FROM h)"""
+
+
+@query(f"""WITH {_UNIFIED}
+SELECT paper_id, version_num, child_id, arg_max(parent_id, edge_no) AS parent_id FROM (
+  SELECT x.paper_id, x.version_num, x.edge_no, coalesce(c.unified_id, x.child_id) AS child_id, coalesce(p.unified_id, x.parent_id) AS parent_id FROM hierarchy x
+  LEFT JOIN u c ON c.paper_id = x.paper_id AND c.node = x.child_id LEFT JOIN u p ON p.paper_id = x.paper_id AND p.node = x.parent_id WHERE trim(x.parent_id) <> '') GROUP BY ALL""")
+def unified_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges between unified nodes; of several rows of a child the last counts."""
+    u = H.unified_ids(table(spark, d, "elements"), "paper_id", "element_id", "node_type", "content", ["element_no"])
+    ids = u.select("paper_id", F.col("element_id").alias("node"), "unified_id").distinct()
+    return H.unified_edges(table(spark, d, "hierarchy"), ids, ["paper_id", "version_num"], "paper_id", "child_id", "parent_id", ["edge_no"])
 
 
 @query("""WITH r AS (SELECT paper_id, version_num, child_id, parent_id, row_number() OVER (PARTITION BY paper_id, version_num, child_id ORDER BY edge_no DESC) AS n FROM hierarchy WHERE trim(parent_id) <> '')
@@ -89,7 +102,7 @@ def node_preview(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""SELECT ref_id, CAST(nullif(regexp_extract(raw_text, '\b((?:19|20)\d{2})\b', 1), '') AS INTEGER) AS year,
- trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(raw_text, '')), '\b(?:author|title|journal|booktitle|year|volume|number|pages|publisher|doi|url|eprint|editor|series|address|month|note|institution|school|organization|edition|howpublished)\s*=', ' ', 'g'), '@(?:article|inproceedings|misc|book|phdthesis|techreport)', ' ', 'g'), '[{}"''\\=,:;()\[\]]', ' ', 'g'), '\s+', ' ', 'g')) AS clean_text FROM refs""")
+ trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(raw_text, '')), '(?:text|title|author|year|journal|volume|pages|doi|eprint|archiveprefix|primaryclass|month|number|publisher|abstract|address|url|urldate|issn|keywords|copyright|language)\s*=', ' ', 'g'), '@(?:article|misc|book|inproceedings|unpublished|techreport)', ' ', 'g'), '[{}"''\\=,:;()\[\]]', ' ', 'g'), '\s+', ' ', 'g')) AS clean_text FROM refs""")
 def reference_clean_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "refs").select("ref_id", T.year(F.col("raw_text")).alias("year"), T.clean_for_match(F.col("raw_text")).alias("clean_text"))
 
@@ -99,12 +112,40 @@ def bibtex_fast_fields(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "refs").select("ref_id", T.entry_title(F.col("raw_text")).alias("title"), T.entry_authors(F.col("raw_text")).alias("authors"))
 
 
-@query()
+_TIDY = r"trim(regexp_replace(regexp_replace({}, '[{{}}]', '', 'g'), '[\s\pZ]+', ' ', 'g'))"
+_VALID = r"CASE WHEN length({0}) >= 5 AND NOT regexp_matches({0}, '^\d{{4}}\.\d{{4,5}}$') AND NOT regexp_matches(lower({0}), 'doi|https?:|\\href|\\path') AND len(string_split_regex(trim({0}), '\s+')) >= 2 THEN {0} END"
+_PEOPLE = r"list_filter(list_transform(string_split_regex({}, '{}'), lambda x: trim(x)), lambda x: x <> '')"
+
+
+def _smart_sql(tab: str, row: str, text: str) -> str:
+    return rf"""WITH t AS (SELECT {row}, coalesce({text}, '') AS t, string_split_regex(coalesce({text}, ''), '\\newblock\b') AS b FROM {tab}),
+e AS (SELECT *, starts_with(trim(t), '@') AS is_entry, len(b) > 1 AS is_flat, trim(regexp_extract(t, '(?is)(?:^|[,{{\s])title\s*=\s*[{{"]+(.*?)[}}"]+\s*(?:,|\}}|$)', 1)) AS te, trim(regexp_extract(t, '(?is)(?:^|[,{{\s])author\s*=\s*[{{"]+(.*?)[}}"]+\s*(?:,|\}}|$)', 1)) AS ae,
+  regexp_extract(t, '(?is)title\s*=\s*[{{"](.*?)[}}"]', 1) AS tp, regexp_extract(t, '(?is)author\s*=\s*[{{"](.*?)[}}"]', 1) AS ap FROM t),
+k AS (SELECT *, {_TIDY.format("te")} AS t1, {_TIDY.format("b[2]")} AS t2, {_TIDY.format("tp")} AS t3 FROM e),
+v AS (SELECT *, CASE WHEN is_entry THEN {_VALID.format("t1")} END AS by_entry, CASE WHEN is_flat THEN {_VALID.format("t2")} END AS by_block, {_VALID.format("t3")} AS by_pattern,
+  CASE WHEN is_entry AND ae <> '' THEN {_PEOPLE.format(_TIDY.format("ae"), r"\s+and\s+")} END AS pe, CASE WHEN is_flat THEN {_PEOPLE.format("regexp_replace(" + _TIDY.format("b[1]") + ", '[.]$', '')", r",\s*")} END AS pb,
+  CASE WHEN ap <> '' THEN {_PEOPLE.format(_TIDY.format("ap"), r"\s+and\s+")} END AS pp FROM k)
+SELECT {row}, coalesce(by_entry, by_block, by_pattern, '') AS title, CASE WHEN by_entry IS NOT NULL THEN coalesce(pe, []) ELSE coalesce(pb, pe, pp, []) END AS authors,
+  coalesce(nullif(regexp_extract(t, '(?i)year\s*=\s*[{{"]?\s*([12]\d{{3}})', 1), ''), CASE WHEN is_flat THEN nullif(regexp_extract(b[-1], '\b((?:19|20)\d{{2}})\b', 1), '') END,
+    CASE WHEN by_entry IS NULL AND by_block IS NULL THEN nullif(regexp_extract(t, '\b((?:19|20)\d{{2}})\b', 1), '') END, '') AS year,
+  regexp_replace(lower(CASE WHEN is_entry THEN coalesce(nullif(regexp_extract(t, '(?i)\beprint\s*=\s*[{{"]([^}}"]+)', 1), ''), nullif(regexp_extract(t, '(?i)\bdoi\s*=\s*[{{"]([^}}"]+)', 1), ''), '') ELSE '' END), '[.\-/]', '', 'g') AS extracted_id,
+  CASE WHEN trim(t) = '' THEN 'empty' WHEN ltrim(t) LIKE '@%' THEN 'bibtex_struct' WHEN contains(t, '\newblock') THEN 'flat_text' ELSE 'regex_fallback' END AS method FROM v"""
+
+
+@query(_smart_sql("refs", "ref_id", "raw_text"))
 def bibtex_smart_parse(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "refs").select("ref_id", R.smart_parse(F.col("raw_text")).alias("p")).select("ref_id", "p.*")
+    return R.parse_references(table(spark, d, "refs"), "ref_id", "raw_text")
 
 
-@query()
+@query(_smart_sql("refs_bib", "bib_no", "'misc{' || coalesce(key, '') || ', text = {' || coalesce(text, '') || '}}'"))
+def inference_queries(spark: SparkSession, d: str) -> DataFrame:
+    return R.inference_queries(table(spark, d, "refs_bib")).select("bib_no", "title", "authors", "year", "extracted_id", "method")
+
+
+@query(r"""WITH e AS (SELECT ref_id, raw_text, lower(regexp_extract(raw_text, '@\s*([A-Za-z]+)\s*[{(]', 1)) AS entry_type, regexp_extract(raw_text, '@\s*[A-Za-z]+\s*[{(]\s*([^,\s{}()]*)', 1) AS key FROM refs WHERE regexp_matches(raw_text, '@\s*[A-Za-z]+\s*[{(]')),
+x AS (SELECT ref_id, entry_type, key, unnest(regexp_extract_all(raw_text, '(?s),[\s\pZ]*[A-Za-z][\w:-]*[\s\pZ]*=[\s\pZ]*(?:\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}|"(?:[^"{}]|\{[^{}]*\})*"|[^\s,#}()"]+)')) AS f FROM e),
+y AS (SELECT ref_id, entry_type, key, lower(regexp_extract(f, ',[\s\pZ]*([A-Za-z][\w:-]*)[\s\pZ]*=', 1)) AS field, regexp_replace(f, '(?s)^,[\s\pZ]*[A-Za-z][\w:-]*[\s\pZ]*=[\s\pZ]*', '') AS v FROM x)
+SELECT ref_id, entry_type, key, field, trim(regexp_replace(CASE WHEN v[1] IN ('{', '"') THEN v[2:-2] ELSE v END, '[\s\pZ]+', ' ', 'g')) AS value FROM y""")
 def bib_entry_fields(spark: SparkSession, d: str) -> DataFrame:
     return R.bib_entries(table(spark, d, "refs").filter("raw_text is not null"), "raw_text", "ref_id").select("ref_id", "entry_type", "key", F.explode("fields").alias("field", "value"))
 
@@ -114,11 +155,11 @@ def parse_method_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "refs").groupBy(T.parse_method(F.col("raw_text")).alias("method")).agg(F.count("*").alias("n"))
 
 
-@query(r"""SELECT label_id, regexp_replace(lower(coalesce(ground_truth.id, '')), '[.\-/]', '', 'g') AS norm_id, list_distinct(list_filter(list_transform(ground_truth.authors, lambda x: trim(x)), lambda x: x <> '')) IS NOT NULL AS has_authors,
+@query(r"""SELECT label_id, regexp_replace(lower(coalesce(ground_truth.id, '')), '[.\-/]', '', 'g') AS norm_id, list_sort(list_distinct(list_filter(list_transform(ground_truth.authors, lambda x: trim(x)), lambda x: x <> ''))) AS authors,
  len(ground_truth.authors) <> len(list_distinct(ground_truth.authors)) AS repeats FROM labels""")
 def label_ids_and_authors(spark: SparkSession, d: str) -> DataFrame:
     a = F.col("ground_truth.authors")
-    return table(spark, d, "labels").select("label_id", T.normalize_id(F.col("ground_truth.id")).alias("norm_id"), T.clean_list(a).isNotNull().alias("has_authors"), F.when(a.isNotNull(), F.size(a) != F.size(F.array_distinct(a))).alias("repeats"))
+    return table(spark, d, "labels").select("label_id", T.normalize_id(F.col("ground_truth.id")).alias("norm_id"), F.array_sort(T.clean_list(a)).alias("authors"), F.when(a.isNotNull(), F.size(a) != F.size(F.array_distinct(a))).alias("repeats"))
 
 
 _TOK = r"list_distinct(list_filter(string_split_regex(regexp_replace(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}\p{{M}}_\s]', '', 'g'), '\s+'), lambda x: x <> ''))"
@@ -171,6 +212,37 @@ def title_tfidf_cosine(spark: SparkSession, d: str) -> DataFrame:
     return M.title_cosine(table(spark, d, "pairs"))
 
 
+def _scoped_sql(scope: str, min_df: int) -> str:
+    """The cosine of titles fitted on each scope's own distinct titles."""
+    return rf"""WITH p AS (SELECT pair_id, {scope} AS g, lower(trim(coalesce(bib_title, ''), ' ')) AS a, lower(trim(coalesce(cand_title, ''), ' ')) AS b FROM pairs),
+t AS (SELECT g, a AS t FROM p WHERE a <> '' UNION SELECT g, b FROM p WHERE b <> ''),
+w AS (SELECT g, t, ' ' || unnest(list_filter(string_split_regex(t, '\s+'), lambda x: x <> '')) || ' ' AS w FROM t),
+s AS (SELECT g, t, unnest({_GRAMS}) AS term FROM w),
+tf AS (SELECT g, t, term, count(*) AS tf FROM s GROUP BY ALL), n AS (SELECT g, count(*) AS n FROM t GROUP BY ALL),
+df AS (SELECT g, term, count(*) AS df FROM tf GROUP BY ALL HAVING count(*) >= {min_df}),
+v AS (SELECT g, t, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (g, term) JOIN n USING (g)),
+u AS (SELECT g, t, term, w / sqrt(sum(w * w) OVER (PARTITION BY g, t)) AS w FROM v),
+q AS (SELECT DISTINCT g, a, b FROM p),
+dot AS (SELECT q.g, a, b, sum(x.w * y.w) AS dot FROM q JOIN u x ON x.g = q.g AND x.t = a JOIN u y ON y.g = q.g AND y.t = b AND y.term = x.term GROUP BY ALL)
+SELECT pair_id, round(coalesce(dot, 0), 6) AS feat_title_tfidf_cosine FROM p LEFT JOIN dot USING (g, a, b)"""
+
+
+@query(_scoped_sql("paper_id", 1))
+def title_tfidf_by_paper(spark: SparkSession, d: str) -> DataFrame:
+    return M.title_cosine(table(spark, d, "pairs"), ["paper_id"], min_df=1)
+
+
+@query(_scoped_sql("pair_id", 1))
+def title_tfidf_single(spark: SparkSession, d: str) -> DataFrame:
+    return M.title_cosine(table(spark, d, "pairs"), ["pair_id"], min_df=1)
+
+
+@query(f"WITH {_FEATURES}, {_CHARS} SELECT f.pair_id, round(coalesce(dot, 0), 6) AS feat_title_tfidf_cosine, " + ", ".join(f"round({x}, 9) AS {x}" for x in K.SELECTED[1:]) + " FROM features f JOIN p ON p.pair_id = f.pair_id LEFT JOIN dot ON dot.a = p.a AND dot.b = p.b")
+def selected_features(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "pairs")
+    return M.pair_features(p).select("pair_id", *[F.round(x, 9).alias(x) for x in K.SELECTED[1:]]).join(M.title_cosine(p), "pair_id")
+
+
 def _queries_and_candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """One pool of candidates per paper, as `pairs` has them; queries are the bibliography records."""
     p = table(spark, d, "pairs")
@@ -179,13 +251,7 @@ def _queries_and_candidates(spark: SparkSession, d: str) -> tuple[DataFrame, Dat
     return q, c
 
 
-@query()
-def tfidf_match_top3(spark: SparkSession, d: str) -> DataFrame:
-    q, c = _queries_and_candidates(spark, d)
-    return M.match(q, c, ["paper_id"])
-
-
-_CM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({}), '\b(?:author|title|journal|booktitle|year|volume|number|pages|publisher|doi|url|eprint|editor|series|address|month|note|institution|school|organization|edition|howpublished)\s*=', ' ', 'g'), '[{{}}\"''\\=,:;()\[\]]', ' ', 'g'), '\s+', ' ', 'g'))"
+_CM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({}), '(?:text|title|author|year|journal|volume|pages|doi|eprint|archiveprefix|primaryclass|month|number|publisher|abstract|address|url|urldate|issn|keywords|copyright|language)\s*=', ' ', 'g'), '[{{}}\"''\\=,:;()\[\]]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
 @query(rf"""WITH q AS (SELECT paper_id, bib_no, {_CM.format('min(bib_title)')} AS t FROM pairs WHERE trim(bib_title, ' ') <> '' GROUP BY ALL),
@@ -196,6 +262,36 @@ def exact_title_join(spark: SparkSession, d: str) -> DataFrame:
     return M.exact_titles(q, c, ["paper_id"])
 
 
+def _match_sql() -> str:
+    stop = ", ".join(f"'{x}'" for x in M.STOP)
+    clean = lambda c: _CM.format(f"coalesce({c}, '')")
+    words = rf"list_filter(string_split_regex(lower(x), '[^\pL\pN_]+'), lambda y: length(y) >= 2 AND y NOT IN ({stop}))"
+    terms = lambda src, key: f"SELECT paper_id, {key}, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[CAST(i AS INTEGER)] || ' ' || w[CAST(i AS INTEGER) + 1]))) AS term FROM (SELECT paper_id, {key}, {words} AS w FROM {src})"
+    return rf"""WITH q0 AS (SELECT paper_id, CAST(bib_no AS VARCHAR) AS query, min(bib_title) AS title, min(concat_ws(' ', bib_title, bib_year)) AS text FROM pairs WHERE trim(bib_title, ' ') <> '' GROUP BY paper_id, bib_no),
+c0 AS (SELECT paper_id, cand_id, min(cand_title) AS title, min(array_to_string(coalesce(cand_authors, []), ' ')) AS authors, min(cand_year) AS year FROM pairs GROUP BY ALL),
+ct AS (SELECT paper_id, t, max(cand_id) AS cand_id FROM (SELECT paper_id, cand_id, {clean("title")} AS t FROM c0) WHERE length(t) > 5 GROUP BY ALL),
+exact AS (SELECT q0.paper_id, query, ct.cand_id FROM q0 JOIN ct ON ct.paper_id = q0.paper_id AND ct.t = {clean("q0.title")}),
+q AS (SELECT paper_id, query, text, {clean("text")} AS x FROM q0 WHERE NOT EXISTS (SELECT 1 FROM exact e WHERE e.paper_id = q0.paper_id AND e.query = q0.query)),
+c AS (SELECT paper_id, cand_id, concat_ws(' ', {clean("title")}, {clean("title")}, {clean("authors")}, year) AS x FROM c0),
+tc AS (SELECT paper_id, cand_id, term, count(*) AS tf FROM ({terms("c", "cand_id")}) GROUP BY ALL),
+tq AS (SELECT paper_id, query, term, count(*) AS tf FROM ({terms("q", "query")}) GROUP BY ALL),
+n AS (SELECT paper_id, count(*) AS n FROM c GROUP BY ALL),
+idf AS (SELECT paper_id, term, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM tc JOIN n USING (paper_id) GROUP BY paper_id, term, n),
+wc AS (SELECT paper_id, cand_id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY paper_id, cand_id)) AS w FROM tc JOIN idf USING (paper_id, term)),
+wq AS (SELECT paper_id, query, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY paper_id, query)) AS w FROM tq JOIN idf USING (paper_id, term)),
+cos AS (SELECT paper_id, query, cand_id, round(sum(wq.w * wc.w), 9) AS score FROM wq JOIN wc USING (paper_id, term) GROUP BY ALL),
+top AS (SELECT *, row_number() OVER (PARTITION BY paper_id, query ORDER BY score DESC, cand_id) AS r FROM cos),
+ok AS (SELECT top.*, row_number() OVER (PARTITION BY top.paper_id, top.query ORDER BY r) AS k FROM top JOIN q USING (paper_id, query) JOIN c0 USING (paper_id, cand_id) WHERE r <= {M.TOP} AND score >= {M.THRESHOLD}
+  AND coalesce(abs(CAST(nullif(regexp_extract(q.text, '\b((?:19|20)\d{{2}})\b', 1), '') AS INTEGER) - CAST(nullif(regexp_extract(c0.year, '\b((?:19|20)\d{{2}})\b', 1), '') AS INTEGER)), 0) <= {M.YEARS})
+SELECT paper_id, query, cand_id, 1.0::DOUBLE AS score FROM exact UNION ALL SELECT paper_id, query, cand_id, score FROM ok WHERE k = 1"""
+
+
+@query(_match_sql())
+def tfidf_match_top3(spark: SparkSession, d: str) -> DataFrame:
+    q, c = _queries_and_candidates(spark, d)
+    return M.match(q, c, ["paper_id"])
+
+
 _KEY = "('0x' || substr(md5('{}:' || {}), 1, 8))::BIGINT"
 
 
@@ -225,6 +321,38 @@ def paper_split(spark: SparkSession, d: str) -> DataFrame:
     return D.split_papers(table(spark, d, "refs"), "paper_id")
 
 
+_SPLIT = f"""pa AS (SELECT paper_id, row_number() OVER (ORDER BY {_KEY.format(42, 'paper_id')}, paper_id) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT paper_id FROM refs)),
+parts AS (SELECT paper_id, CASE WHEN n < 10 OR r <= floor(n * 0.8) THEN 'train' WHEN r <= floor(n * 0.9) THEN 'validation' ELSE 'test' END AS partition FROM pa)"""
+
+
+@query(f"""WITH b AS (SELECT paper_id FROM refs GROUP BY 1 HAVING count(*) >= 20), r AS (SELECT paper_id, row_number() OVER (ORDER BY {_KEY.format(42, 'paper_id')}, paper_id) AS r FROM b)
+SELECT paper_id, CASE WHEN r <= 3 THEN 'train' WHEN r = 4 THEN 'validation' ELSE 'test' END AS partition FROM r WHERE r <= 5""")
+def manual_papers(spark: SparkSession, d: str) -> DataFrame:
+    return D.manual_pick(D.having_at_least(table(spark, d, "refs"), "paper_id", 20), "paper_id")
+
+
+@query(f"""WITH {_SPLIT}, s AS (SELECT paper_id, count(*) AS n_refs FROM refs GROUP BY 1)
+SELECT partition, coalesce(max(CASE WHEN n_refs >= 20 THEN paper_id END), min(paper_id)) AS paper_id FROM parts JOIN s USING (paper_id) WHERE partition <> 'train' GROUP BY 1""")
+def held_out_papers(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "refs")
+    return D.one_paper_each(D.split_papers(r, "paper_id"), D.having_at_least(r, "paper_id", 1), "paper_id")
+
+
+@query(f"WITH {_SPLIT} SELECT pair_id, partition FROM pairs JOIN parts USING (paper_id) WHERE partition IN ('validation', 'test')")
+def pairs_by_partition(spark: SparkSession, d: str) -> DataFrame:
+    return D.by_partition(table(spark, d, "pairs"), D.split_papers(table(spark, d, "refs"), "paper_id"), "paper_id", ("validation", "test")).select("pair_id", "partition")
+
+
+@query("SELECT pair_id, bib_title FROM pairs WHERE regexp_matches(bib_title, '(?i)spectral') ORDER BY pair_id LIMIT 1")
+def row_pick(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pairs").filter(F.col("bib_title").rlike("(?i)spectral")).select("pair_id", "bib_title").orderBy("pair_id").limit(1)
+
+
+@query("SELECT string_split(element_id, '-')[1] AS prefix, count(*) AS total_nodes, count(DISTINCT element_id) AS nodes FROM elements GROUP BY ALL")
+def node_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "elements").groupBy(F.split("element_id", "-")[0].alias("prefix")).agg(F.count("*").alias("total_nodes"), F.countDistinct("element_id").alias("nodes"))
+
+
 def _labels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "labels").select(F.col("label_id").alias("query"), F.coalesce(F.trim("source_paper_id"), F.lit("")).alias("paper"), F.col("ground_truth.id").alias("true_id"))
 
@@ -305,7 +433,7 @@ def feature_label_correlation(spark: SparkSession, d: str) -> DataFrame:
     return K.correlations(M.pair_features(table(spark, d, "pairs")).filter("label is not null"), _NAMES, "label")
 
 
-@query()
+@query(f"WITH {_FEATURES}, c AS (" + " UNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, corr({a}, {b}) AS corr FROM features" for i, a in enumerate(_NAMES) for b in _NAMES[i + 1 :]) + ") SELECT feature_a, feature_b, round(corr, 6) AS corr FROM c WHERE isfinite(corr) AND abs(round(corr, 6)) > 0.7")
 def collinear_features(spark: SparkSession, d: str) -> DataFrame:
     return K.collinear(M.pair_features(table(spark, d, "pairs")), _NAMES, 0.7)
 
@@ -374,13 +502,76 @@ def used_key_filter(spark: SparkSession, d: str) -> DataFrame:
     return R.used_refs(table(spark, d, "refs"), cited, ["paper_id", "version"]).select("ref_id")
 
 
-@query()
+_FILES = r"""doc AS (SELECT paper_id, version, arg_min(content, doc_no) AS content FROM flat_docs WHERE content IS NOT NULL GROUP BY ALL),
+files AS (SELECT paper_id, version, 'main.tex' AS rel_path, '\documentclass{article}' || chr(10) || '\begin{document}' || chr(10) || '\maketitle \input{text/body} \include{gone}' || chr(10) || '\end{document}' AS content FROM doc
+  UNION ALL SELECT paper_id, version, 'text/body.tex', content FROM doc
+  UNION ALL SELECT paper_id, version, 'response.tex', '\documentclass{article}\begin{document}Thanks.\end{document}' FROM doc
+  UNION ALL SELECT paper_id, version, 'main.bbl', '' FROM doc)"""
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    """A source of four files for each flattened document: a root that includes its text and a file that is not there, a reply, and a bibliography."""
+    doc = table(spark, d, "flat_docs").filter("content is not null").groupBy("paper_id", "version").agg(F.min_by("content", "doc_no").alias("content"))
+    one = lambda path, text: F.struct(F.lit(path).alias("rel_path"), text.alias("content"))
+    main = F.lit("\\documentclass{article}\n\\begin{document}\n\\maketitle \\input{text/body} \\include{gone}\n\\end{document}")
+    reply = F.lit("\\documentclass{article}\\begin{document}Thanks.\\end{document}")
+    files = F.array(one("main.tex", main), one("text/body.tex", F.col("content")), one("response.tex", reply), one("main.bbl", F.lit("")))
+    return doc.select("paper_id", "version", F.explode(files).alias("f")).select("paper_id", "version", "f.*")
+
+
+_V = ["paper_id", "version"]
+
+
+@query(rf"""WITH {_FILES}, i AS (SELECT paper_id, version, rel_path AS parent, trim(unnest(regexp_extract_all(content, '\\(?:input|include|subfile)(?:\[[^\]]*\])?\{{([^}}]+)\}}', 1)), ' ') AS t FROM files),
+b AS (SELECT *, CASE WHEN regexp_matches(t, '\.tex$') THEN string_split(t, '/')[-1] ELSE string_split(t, '/')[-1] || '.tex' END AS base FROM i)
+SELECT DISTINCT b.paper_id, b.version, parent, max(f.rel_path) AS child FROM b JOIN files f ON f.paper_id = b.paper_id AND f.version = b.version AND string_split(f.rel_path, '/')[-1] = base GROUP BY b.paper_id, b.version, parent, base""")
+def include_edges(spark: SparkSession, d: str) -> DataFrame:
+    return L.include_edges(_files(spark, d), _V)
+
+
+@query(rf"""WITH {_FILES}, c AS (SELECT *, regexp_replace(content, '%[^\n]*', '', 'g') AS c, lower(string_split(rel_path, '/')[-1]) AS base FROM files WHERE rel_path LIKE '%.tex')
+SELECT paper_id, version, rel_path AS path, CASE WHEN NOT contains(c, '\documentclass') THEN -1000 ELSE CAST(20 + CASE WHEN contains(c, '\begin{{document}}') THEN 20 ELSE 0 END - CASE WHEN base = 'body.tex' THEN 50 ELSE 0 END + CASE WHEN base = 'main.tex' THEN 60 ELSE 0 END
+  + CASE WHEN contains(c, '\bibliography') OR contains(c, '\begin{{thebibliography}}') THEN 15 ELSE 0 END + CASE WHEN contains(c, '\maketitle') THEN 10 ELSE 0 END + CASE WHEN contains(c, '\begin{{abstract}}') THEN 10 ELSE 0 END
+  + least(3 * len(regexp_extract_all(c, '\\(?:input|include|subfile)\b')), 30) + CASE WHEN base = 'main.tex' THEN 10 ELSE 0 END - CASE WHEN base = 'response.tex' THEN 50 ELSE 0 END
+  - CASE WHEN contains(c, '\documentclass{{beamer}}') THEN 50 WHEN contains(c, '\documentclass{{standalone}}') THEN 20 WHEN contains(c, '\documentclass{{letter}}') THEN 50 ELSE 0 END AS INTEGER) END AS score FROM c""")
+def root_scores(spark: SparkSession, d: str) -> DataFrame:
+    return L.root_scores(_files(spark, d), _V).drop("length")
+
+
+@query(f"WITH {_FILES} SELECT paper_id, version, 'main.tex' AS root FROM doc")
+def root_choice(spark: SparkSession, d: str) -> DataFrame:
+    return L.choose_root(L.root_scores(_files(spark, d), _V), _V)
+
+
+@query(rf"""WITH {_FILES}, s AS (SELECT paper_id, version, regexp_replace(content, '(^|[^\\])%[^\n]*', '\1', 'g') AS c FROM doc)
+SELECT paper_id, version, 'main.tex' AS root_file_path, 1 AS merged_count, CAST(1 + len(regexp_extract_all(c, '\\(?:input|include|subfile)(?:\[[^\]]*\])?\s*(?:\{{[^}}]+\}}|\s+[^\s{{}}\\%]+)')) AS INTEGER) AS n_missing,
+  '\documentclass{{article}}' || chr(10) || '\begin{{document}}' || chr(10) || '\maketitle ' || chr(10) || '% <BEGIN_FILE: text/body.tex>' || chr(10) ||
+  regexp_replace(c, '\\(?:input|include|subfile)(?:\[[^\]]*\])?\s*(?:\{{\s*([^}}]+?)\s*\}}|\s+([^\s{{}}\\%]+))', chr(10) || '% <WARNING: File not found: \1\2>' || chr(10), 'g') ||
+  chr(10) || '% <END_FILE: text/body.tex>' || chr(10) || ' ' || chr(10) || '% <WARNING: File not found: gone>' || chr(10) || chr(10) || '\end{{document}}' AS content FROM s""")
+def flatten_sources(spark: SparkSession, d: str) -> DataFrame:
+    f = _files(spark, d)
+    flat = L.flatten(f.filter("rel_path like '%.tex'"), L.choose_root(L.root_scores(f, _V), _V), _V)
+    return flat.select("paper_id", "version", "root_file_path", F.col("metadata.merged_count").alias("merged_count"), F.size("metadata.missing_files").alias("n_missing"), "content")
+
+
+_CMD = r"\\(?:no)?cite[a-zA-Z]*\s*(?:\[[^\]]*\]\s*)*\{[^}]+\}"
+
+
+@query(rf"""WITH {_CANON}, j AS (SELECT f.paper_id, f.version, f.key AS old_key, c.canonical_key AS new_key, row_number() OVER (PARTITION BY f.paper_id, f.version, f.key ORDER BY f.ord DESC, f.ref_id DESC, c.canonical_key DESC) AS n
+  FROM f JOIN c USING (paper_id, fingerprint) WHERE f.key IS NOT NULL AND f.key <> c.canonical_key),
+m AS (SELECT paper_id, version, old_key, new_key FROM j WHERE n = 1),
+x AS (SELECT DISTINCT doc_no, paper_id, version, unnest(regexp_extract_all(content, '{_CMD}')) AS cmd FROM flat_docs),
+k AS (SELECT doc_no, cmd, unnest(range(1, len(string_split(regexp_extract(cmd, '\{{([^}}]+)\}}$', 1), ',')) + 1)) AS i, trim(unnest(string_split(regexp_extract(cmd, '\{{([^}}]+)\}}$', 1), ',')), ' ') AS key, paper_id, version FROM x),
+y AS (SELECT doc_no, cmd, regexp_extract(cmd, '(?s)^(.*\{{)[^}}]+\}}$', 1) || string_agg(coalesce(new_key, key), ', ' ORDER BY i) || '}}' AS becomes FROM k LEFT JOIN m ON m.paper_id = k.paper_id AND m.version = k.version AND m.old_key = k.key GROUP BY doc_no, cmd),
+z AS (SELECT doc_no, list(struct_pack(cmd := cmd, becomes := becomes)) AS l FROM y WHERE cmd <> becomes GROUP BY doc_no)
+SELECT doc_no, CASE WHEN l IS NULL THEN content ELSE list_reduce(list_prepend(content, list_transform(l, lambda e: e.cmd || chr(1) || e.becomes)), lambda a, e: replace(a, string_split(e, chr(1))[1], string_split(e, chr(1))[2])) END AS content FROM flat_docs LEFT JOIN z USING (doc_no)""")
 def citation_rewrite(spark: SparkSession, d: str) -> DataFrame:
     maps = R.key_map(table(spark, d, "refs"))
     return R.rewrite(table(spark, d, "flat_docs"), maps, ["paper_id", "version"], "content").select("doc_no", "content")
 
 
-@query()
+@query(r"""WITH r AS (SELECT paper_id, version, trim(key, ' ') AS key, trim(regexp_replace(raw_text, '\s+', ' ', 'g'), ' ') AS raw_text, row_number() OVER (PARTITION BY paper_id, version, trim(key, ' ') ORDER BY ord, ref_id) AS n FROM refs WHERE type = 'bibitem' AND key IS NOT NULL AND raw_text IS NOT NULL)
+SELECT paper_id, version, key, raw_text FROM r WHERE n = 1 AND key <> ''""")
 def bibitem_split(spark: SparkSession, d: str) -> DataFrame:
     """Printed references of a version, written out as one bibliography and split again."""
     r = table(spark, d, "refs").filter("type = 'bibitem' and key is not null and raw_text is not null")
@@ -388,7 +579,16 @@ def bibitem_split(spark: SparkSession, d: str) -> DataFrame:
     return R.bibitems(block, F.col("block"), "paper_id", "version").select("paper_id", "version", "key", "raw_text")
 
 
-@query()
+_BALANCED = r"(?:[^{}]|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})*"
+_LEVEL = "CASE lower({}) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in L.LEVELS.items()) + " ELSE 0 END"
+
+
+@query(rf"""WITH x AS (SELECT doc_no, regexp_extract_all(content, '(?is)\\(?:part|chapter|section|subsection|subsubsection|paragraph|subparagraph)\*?\s*\{{{_BALANCED}\}}') AS m FROM flat_docs),
+h AS (SELECT doc_no, unnest(range(1, len(m) + 1)) AS pos, unnest(m) AS m FROM x),
+n AS (SELECT doc_no, CAST(pos AS INTEGER) AS pos, lower(regexp_extract(m, '\\([A-Za-z]+)', 1)) AS type, regexp_extract(m, '(?s)^\\[A-Za-z]+\*?\s*\{{(.*)\}}$', 1) AS title FROM h
+  UNION ALL SELECT doc_no, 0, 'document', 'Root' FROM flat_docs),
+l AS (SELECT *, CAST({_LEVEL.format("type")} AS INTEGER) AS level FROM n)
+SELECT doc_no, pos, CASE WHEN pos > 0 THEN coalesce((SELECT max(u.pos) FROM l u WHERE u.doc_no = l.doc_no AND u.pos < l.pos AND u.level < l.level), 0) END AS parent_pos, type, title, level FROM l""")
 def header_tree(spark: SparkSession, d: str) -> DataFrame:
     return L.header_parents(L.headers(table(spark, d, "flat_docs"), ["doc_no"]), ["doc_no"]).select("doc_no", "pos", "parent_pos", "type", "title", "level")
 
@@ -398,12 +598,32 @@ def content_blocks(spark: SparkSession, d: str) -> DataFrame:
     return L.blocks(L.headers(table(spark, d, "flat_docs"), ["doc_no"]), ["doc_no", "pos"])
 
 
-@query()
+_NEST = r"((?:[^{}]|\{[^{}]*\})*)"
+
+
+@query(rf"""WITH p AS (SELECT doc_no, content, regexp_extract(content, '(?s)\\begin\{{abstract\}}(.*?)\\end\{{abstract\}}', 1) AS env FROM flat_docs)
+SELECT doc_no, trim(regexp_extract(content, '(?s)\\title\s*(?:\[[^\]]*\])?\{{{_NEST}\}}', 1), ' ') AS title, array_to_string(list_transform(regexp_extract_all(content, '(?s)\\author\s*(?:\[[^\]]*\])?\{{{_NEST}\}}', 1), lambda x: trim(x, ' ')), ', ') AS authors,
+  trim(CASE WHEN env <> '' THEN env ELSE regexp_extract(content, '(?s)\\abstract\s*\{{{_NEST}\}}', 1) END, ' ') AS abstract FROM p""")
 def preamble(spark: SparkSession, d: str) -> DataFrame:
     return L.preamble(table(spark, d, "flat_docs"), ["doc_no"])
 
 
-@query()
+def _latex_sql(c: str) -> str:
+    """The cleaning of a LaTeX fragment as SQL; where a word must end, the letter after it is put back, which takes a second pass for neighbours."""
+    keep = r"(\$[^$]+\$|\\\([^)]+\\\))|"
+    t = rf"regexp_replace(regexp_replace(coalesce({c}, ''), '(?s)^.*?\\begin\{{document\}}', ''), '\\end\{{document\}}', '', 'g')"
+    t = rf"regexp_replace({t}, '(^|[^\\])%[^\n]*', '\1', 'g')"
+    for _ in range(3):
+        t = rf"regexp_replace({t}, '{keep}\\texorpdfstring\s*\{{{_NEST}\}}\s*\{{{_NEST}\}}', '\1\2', 'g')"
+    t = rf"regexp_replace({t}, '{keep}\\(?:{'|'.join(L.DROP_WITH_ARGUMENT)})(?:\[[^\]]*\])?\{{[^}}]*\}}', '\1', 'g')"
+    t = rf"regexp_replace({t}, '{keep}\\(?:{'|'.join(L.LAYOUT)})\b', '\1', 'g')"
+    t = rf"regexp_replace({t}, '\\(?:begin|end)\{{abstract\}}', '', 'g')"
+    for _ in range(5):
+        t = rf"regexp_replace({t}, '{keep}\\(?:{'|'.join(L.UNWRAP)})(?:\[[^\]]*\])?\{{{_NEST}\}}', '\1\2', 'g')"
+    return rf"trim(regexp_replace({t}, '\s+', ' ', 'g'), ' ')"
+
+
+@query(f"SELECT element_no, {_latex_sql('content')} AS clean FROM elements WHERE content IS NOT NULL")
 def latex_clean(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "elements").filter("content is not null").select("element_no", L.clean_latex(F.col("content")).alias("clean"))
 
@@ -413,6 +633,26 @@ def equation_clean(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "elements").filter("node_type = 'equation'").select("element_no", L.clean_equation(F.col("content")).alias("equation"))
 
 
+@query(rf"""WITH a AS (SELECT element_no, regexp_replace(regexp_replace(regexp_replace(content, '(?i)(\\begin\{{(?:figure|table)\*?\}})\[[^\]]*\]', '\1', 'g'), '\\(?:{'|'.join(L.FIGURE)})', '', 'g'), '\\label\{{(?:[^{{}}]|\{{[^{{}}]*\}})*\}}', '', 'g') AS t FROM elements WHERE content IS NOT NULL),
+b AS (SELECT element_no, t, regexp_extract(t, '(?s)\\caption(?:\[[^\]]*\])?\{{{_NEST}\}}') AS m FROM a)
+SELECT element_no, regexp_replace(CASE WHEN m = '' THEN t ELSE replace(t, m, regexp_extract(m, '(?s)^(\\caption(?:\[[^\]]*\])?\{{)', 1) || {_latex_sql("regexp_extract(m, '(?s)^" + chr(92) * 2 + "caption(?:" + chr(92) + "[[^" + chr(92) + "]]*" + chr(92) + "])?" + chr(92) + "{(.*)" + chr(92) + "}$', 1)")} || '}}') END, '^\s+|\s+$', '', 'g') AS figure FROM b""")
+def figure_clean(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "elements").filter("content is not null").select("element_no", L.clean_figure(F.col("content")).alias("figure"))
+
+
+@query(rf"SELECT element_no, trim(regexp_replace(regexp_replace(content, '\\(?:{'|'.join(L.LIGHT)})', '', 'g'), '\\begin\{{(figure|table)\}}\[[^\]]*\]', '\\begin{{\1}}', 'g'), ' ') AS light FROM elements WHERE content IS NOT NULL")
+def light_clean(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "elements").filter("content is not null").select("element_no", L.light_clean(F.col("content")).alias("light"))
+
+
+@query()
+def hierarchy_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Trees assembled from the flattened sources: the edges between unified nodes and the texts of the nodes."""
+    docs = table(spark, d, "flat_docs").filter("content is not null").groupBy("paper_id", "version").agg(F.min_by("content", "doc_no").alias("content"))
+    edges, elements = H.hierarchy(H.assemble(docs, ["paper_id", "version"]))
+    return edges.join(elements.select("paper_id", F.col("element_id").alias("child_id"), "node_type", "content"), ["paper_id", "child_id"], "left")
+
+
 @query(r"""SELECT element_no, len(regexp_extract_all(content, '\$[^$]+\$|\\\([^)]*\\\)')) AS n_math FROM elements WHERE content IS NOT NULL""")
 def inline_math_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "elements").filter("content is not null").select("element_no", F.size(L.inline_math(F.col("content"))).cast("bigint").alias("n_math"))

@@ -63,6 +63,29 @@ def candidates(spark: SparkSession, paths: list[str], paper_pattern: str = r"/([
     return d.select("paper_id", "cand_id", clean(F.coalesce("c.title", F.lit(""))).alias("title"), F.transform(authors, clean).alias("authors"), F.substring(F.coalesce("c.submission_date", "c.submissionDate", "c.year", F.lit("")), 1, 4).alias("year"))
 
 
+def candidates_of(spark: SparkSession, paths: list[str], patterns: list[str]) -> DataFrame:
+    """candidates() from several places, each with its pattern of the paper's id; a paper's are those of the first place that has it. Places without files give none."""
+    out = None
+    for path, pattern in zip(paths, patterns):
+        if not _exists(spark, path):
+            continue
+        c = candidates(spark, [path], pattern)
+        out = c if out is None else out.unionByName(c.join(out.select("paper_id").distinct(), "paper_id", "left_anti"))
+    return spark.createDataFrame([], "paper_id string, cand_id string, title string, authors array<string>, year string") if out is None else out
+
+
+def _exists(spark: SparkSession, pattern: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0
+
+
+def metadata(spark: SparkSession, folder: str, names: tuple[str, ...] = ("metadata.json", "references.json")) -> DataFrame:
+    """(paper_id, file_name, value) of the metadata files beside each paper's sources, as they are."""
+    d = spark.read.format("binaryFile").option("pathGlobFilter", "{" + ",".join(names) + "}").load(f"{folder}/*")
+    return d.select(F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("paper_id"), F.regexp_extract("path", r"/([^/]+)$", 1).alias("file_name"), _decode(F.col("content")).alias("value"))
+
+
 def refs_bib(spark: SparkSession, paths: list[str], paper_pattern: str = r"/([^/]+)/refs\.bib$") -> DataFrame:
     """(paper_id, key, raw_text) of exported references: the text field, else title and author."""
     from quillspark.operators.references import bib_entries
@@ -74,11 +97,11 @@ def refs_bib(spark: SparkSession, paths: list[str], paper_pattern: str = r"/([^/
 
 
 def dataset(spark: SparkSession, folder: str, partitions: tuple[str, ...] = ("train", "validation", "test"), files: tuple[str, ...] = ("manual.json", "auto.json")) -> DataFrame:
-    """Labelled records of a data set folder with partition and source file; records without truth or authors left out, authors cleaned, year from the date."""
+    """Labelled records of a data set folder with partition and source file; records without truth or authors left out, one of each key, authors cleaned, year from the date."""
     from quillspark.functions.text import clean_list
 
     d = labels(spark, *[f"{folder}/{p}" for p in partitions]).withColumn("partition", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
-    d = d.filter(F.col("source_file").isin(*files) & F.col("ground_truth").isNotNull() & (F.size("ground_truth.authors") > 0))
+    d = d.filter(F.col("source_file").isin(*files) & F.col("ground_truth").isNotNull() & (F.size("ground_truth.authors") > 0)).dropDuplicates(["partition", "source_file", "source_paper_id", "key"])
     return d.withColumns({"gt_authors": clean_list(F.col("ground_truth.authors")), "gt_year": F.substring("ground_truth.submission_date", 1, 4)})
 
 

@@ -24,6 +24,17 @@ def hierarchy_json(edges: DataFrame, elements: DataFrame, folder: str) -> None:
     j.write.mode("overwrite").partitionBy("paper_id").text(folder)
 
 
+def metadata(files: DataFrame, folder: str) -> None:
+    """Metadata files (paper_id, file_name, value) as they are, partitioned by paper and name."""
+    files.write.mode("overwrite").partitionBy("paper_id", "file_name").option("lineSep", "\n").text(folder)
+
+
+def cleaned_samples(rows: DataFrame, folder: str) -> None:
+    """Cleaned records twice: as JSON lines to read, and as Parquet to work with."""
+    rows.write.mode("overwrite").json(f"{folder}/json")
+    rows.write.mode("overwrite").parquet(f"{folder}/parquet")
+
+
 def labels_json(labels: DataFrame, folder: str) -> None:
     """Label records, scores with four digits, partitioned by paper; papers without a match have no file."""
     s = F.col("ground_truth").withField("match_score", F.round("ground_truth.match_score", 4))

@@ -3,7 +3,8 @@ import json
 from pyspark.sql import functions as F
 
 from quillspark import sources
-from quillspark.operators import export as X, latex as L
+from quillspark.operators import export as X, hierarchy as H, latex as L
+from quillspark.operators.ordering import row_numbers
 from quillspark.plans import pipeline
 from quillspark.sources import sinks
 
@@ -40,12 +41,41 @@ def test_pipeline(spark, tmp_path):
     assert heads == {"Root": (0, None, 0), "One {a}": (1, 0, 3), "Two": (2, 1, 4), "Three": (3, 0, 3)}
     kinds = [r.type for r in t["blocks"].filter("pos = 2").orderBy("block_no").collect()]
     assert kinds == ["equation", "list", "list_item", "list_item"]
+    edges = {(r.child_id.split("-v1-")[1], r.parent_id.split("-v1-")[1]) for r in t["edges"].collect()}
+    assert {("h1", "h0"), ("h2", "h1"), ("h3", "h0"), ("title", "h0"), ("abstract", "h0"), ("h2-b0", "h2"), ("h2-b2", "h2-b1")} <= edges
+    h = json.loads(spark.read.text(f"{tmp_path}/out/hierarchy").first().value)
+    assert set(h) == {"hierarchy", "elements"} and h["hierarchy"]["1"]["2401-00001-v1-h2"] == "2401-00001-v1-h1" and h["elements"]["2401-00001-v1-title"] == "A {Nested} Title"
+    assert {r.file_name for r in spark.read.text(f"{tmp_path}/out/metadata").collect()} == {"references.json"}
+    assert pipeline.run_matching(spark, c) == 1
+    some = pipeline.select_papers(sources.raw_files(spark, c.raw), "2402")
+    assert some.count() == 0 and pipeline.select_papers(sources.raw_files(spark, c.raw), "2401", 0, 5, 3).count() == 4
+    assert pipeline.arguments().parse_args(["--range", "2", "9", "-w", "4"]).range == [2, 9]
     label = sources.labels(spark, f"{tmp_path}/out/labels").collect()
     assert len(label) == 1 and label[0].ground_truth.id == "0101.1" and label[0].ground_truth.match_score == 1.0
     refs = sources.refs_bib(spark, [f"{tmp_path}/out/refs_bib/*/*"], r"paper_id=([^/]+)/").collect()
     assert refs[0].paper_id == "2401-00001" and refs[0].raw_text.startswith("@article{k1")
 
 
+def test_equal_content_has_one_id(spark):
+    text = r"\section{One} Same sentence here. New one. \section{Two} Same sentence here."
+    docs = spark.createDataFrame([("p", "v1", text), ("p", "v2", r"\section{One} Same sentence here. Other."), ("p", "v3", None)], "paper_id string, version string, content string")
+    edges, elements = H.hierarchy(H.assemble(docs, ["paper_id", "version"]))
+    e = {(r.version_num, r.child_id, r.parent_id) for r in edges.collect()}
+    assert ("1", "p-v1-h1-b0", "p-v1-h2") in e and ("2", "p-v1-h1-b0", "p-v2-h1") in e and not any("h2-b0" in c for _, c, _ in e)
+    assert {r.content for r in elements.collect()} == {"Root", "One", "Two", "Same sentence here.", "New one.", "Other."}
+    assert H.assemble(docs.limit(0), ["paper_id", "version"]).count() == 0
+
+
+def test_row_numbers_of_a_hot_key(spark):
+    df = spark.range(5000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id").cast("string"))).alias("k"), F.expr("id * 7919 % 5000").alias("o"))
+    got = {}
+    for r in row_numbers(df, ["k"], ["o"], "n").collect():
+        got.setdefault(r.k, []).append((r.n, r.o))
+    for rows in got.values():
+        rows.sort()
+        assert [n for n, _ in rows] == list(range(len(rows))) and [o for _, o in rows] == sorted(o for _, o in rows)
+
+
 def test_headers_and_blocks():
     assert L.find_headers(None) == [("document", False, "Root", "")]
     assert L.find_headers(r"a \section*{B {c}} d \part{never closed")[1:] == [("section", True, "B {c}", " d "), ("part", False, "never closed", "")]
