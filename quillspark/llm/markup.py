@@ -40,8 +40,7 @@ _ACCENTS = {"`": "\u0300", "'": "\u0301", "^": "\u0302", "~": "\u0303", '"': "\u
 _MATH_ENV = "equation|align|gather|multline|eqnarray|displaymath|math|alignat|flalign"
 _CODE_ENV = "verbatim|lstlisting|minted|Verbatim|alltt"
 
-_SCAN = regex.compile(
-    rf"""
+_CONSTRUCTS = rf"""
       (?P<fence>(?m:^)[ \t]*(?P<tick>```+|~~~+)[^\n`]*\n(?P<fbody>.*?)(?:(?m:^)[ \t]*(?P=tick)[ \t]*(?m:$)|\Z))
     | (?P<comment><!--.*?(?:-->|\Z))
     | (?P<tag></?(?P<name>[a-zA-Z][a-zA-Z0-9]*)(?P<attrs>(?:\s+[\w:.-]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>=`]+))?)*)\s*/?>)
@@ -52,7 +51,7 @@ _SCAN = regex.compile(
     | (?P<display>\\\[(?P<d1>.*?)\\\]|\$\$(?P<d2>[^$]+?)\$\$)
     | (?P<inline>\\\((?P<i1>[^\n]*?)\\\)|(?<![\\$\w])\$(?=[^\s$])(?P<i2>[^$\n]*?[^\s$\\])\$(?![\d$]))
     | (?P<env>\\(?P<edge>begin|end)\s*\{{(?P<ename>[A-Za-z]+)\*?\}}(?:\[[^\]]*\])?)
-    | (?P<lquote>``(?P<lq>[^`\n]{{1,500}}?)'')
+    | (?P<lquote>``(?P<lq>[^`\n]+?)'')
     | (?P<code>(?<!`)`(?P<ibody>[^`\n]+)`(?!`))
     | (?P<wtable>(?m:^)[ \t]*\{{\|(?P<wbody>.*?)(?:\n[ \t]*\|\}}|\Z))
     | (?P<template>\{{\{{(?:[^{{}}]|\{{\{{[^{{}}]*\}}\}})*\}}\}})
@@ -74,9 +73,15 @@ _SCAN = regex.compile(
     | (?P<escaped>\\(?P<esc>[%&$\#_{{}}~^\- ,;:!/@]|\\(?:\[[^\]]*\])?))
     | (?P<group>\{{|\}})
     | (?P<tie>(?<=[\w.,:;)\]}}?!])~(?=[\w\\({{\[$]))
-    """,
-    regex.X | regex.S,
-)
+    """
+_SCAN = regex.compile(_CONSTRUCTS, regex.X | regex.S)
+#: The same without bodies that go on to an end mark, for where that mark doesn't come any more.
+_SCAN_OPEN = regex.compile("\n".join(x for x in _CONSTRUCTS.split("\n") if not x.lstrip().startswith(("| (?P<codeenv>", "| (?P<mathenv>", "| (?P<display>"))), regex.X | regex.S)
+#: Where a construct can begin: at one of these characters, or at a line that begins like one or stands over a table's rule.
+_MAY_BEGIN = regex.compile(r"[`~<&\\$\[{}'_*%!]|(?m:^)[ \t]*(?=```|~~~|\{\||={2}|>)|(?m:^)[ ]{0,3}(?=\#)|(?m:^)(?=[^\n|]*\|[^\n]*\n[ \t]*\|?[ \t]*:?-{2})")
+_ENV_NAME = regex.compile(rf"\\begin\{{({_CODE_ENV}|{_MATH_ENV})\*?\}}")
+_BOLD_END = regex.compile(r"(?<![\s*])\*\*(?![A-Za-z0-9*])")
+_OPTION = regex.compile(r"\[(?:[^\[\]\n]|\n(?![ \t]*\n)|\[[^\[\]\n]*\])*+\]")
 _FAMILY = {
     "fence": MARKDOWN, "comment": HTML, "tag": HTML, "doctype": HTML, "entity": HTML, "codeenv": LATEX, "mathenv": LATEX, "display": LATEX, "inline": LATEX, "env": LATEX,
     "lquote": LATEX, "code": MARKDOWN, "wtable": WIKI, "template": WIKI, "wlink": WIKI, "mdlink": MARKDOWN, "extlink": WIKI, "whead": WIKI, "wbold": WIKI, "magic": WIKI, "mhead": MARKDOWN,
@@ -161,8 +166,9 @@ def _groups(s: str) -> dict[int, int]:
 
 
 _BRACE = regex.compile(r"\\.|[{}]", regex.S)
-#: Constructs and elements nested deeper than this are kept as they stand, or laid out as if they were beside each other.
-_DEEP = 60
+#: Elements nested deeper than this are laid out as if they were beside each other; constructs, without regard to their kinds.
+_DEEP = 120
+_ANY_MARK = regex.compile(r"<!--.*?(?:-->|\Z)|</?[A-Za-z][^<>]*>|\\(?:begin|end)\s*\{[^{}]*\}|\\[A-Za-z@]+\*?|\\(?=[%&$#_{}])|(?<!\\)[{}]|\[\[|\]\]|\*\*|'{2,}", regex.S)
 
 
 def _balanced(s: str, at: int) -> int:
@@ -178,7 +184,7 @@ class _Parser:
 
     def parse(self, s: str) -> None:
         if self.depth > _DEEP:
-            self.b.text(s)
+            self.b.text(html.unescape(_ANY_MARK.sub("", s)))
             return
         self.depth += 1
         try:
@@ -188,11 +194,34 @@ class _Parser:
 
     def _parse(self, s: str) -> None:
         at = pos = 0
+        last: dict[str, int] = {}
+
+        def comes(mark: str, after: int) -> bool:
+            if mark not in last:
+                last[mark] = s.rfind(mark)
+            return last[mark] >= after
+
         while True:
-            m = _SCAN.search(s, pos)
-            if m is None:
+            here = _MAY_BEGIN.search(s, pos)
+            if here is None:
                 break
-            kind = _kind(m)
+            pos = here.start()
+            scan = _SCAN
+            if s.startswith("\\[", pos) and not comes("\\]", pos) or s.startswith("$$", pos) and not comes("$$", pos + 2):
+                scan = _SCAN_OPEN
+            elif s.startswith("\\begin{", pos) and (e := _ENV_NAME.match(s, pos)) and not comes(f"\\end{{{e[1]}", pos):
+                scan = _SCAN_OPEN
+            if s.startswith("**", pos):
+                if "**" not in last:
+                    last["**"] = max((x.start() for x in _BOLD_END.finditer(s)), default=-1)
+                if last["**"] <= pos:
+                    pos += 1
+                    continue
+            m = scan.match(s, pos)
+            if m is None:
+                pos += 1
+                continue
+            kind = m.lastgroup
             family = _FAMILY[kind]
             if kind == "tag" and m["name"].lower() in _WIKI_TAGS:
                 family = WIKI
@@ -381,9 +410,8 @@ class _Parser:
             while j < len(s) and s[j] in " \t\n" and j - i < 3:
                 j += 1
             if j < len(s) and s[j] == "[":
-                k = s.find("]", j)
-                if 0 <= k < j + 400:
-                    j = k + 1
+                if o := _OPTION.match(s, j):
+                    j = o.end()
             while j < len(s) and s[j] in " \t":
                 j += 1
             if j < len(s) and s[j] == "{":
@@ -495,16 +523,6 @@ class _Parser:
         b.end("table")
 
 
-_TOP = tuple(_FAMILY)
-
-
-def _kind(m) -> str:
-    for k in _TOP:
-        if m.start(k) >= 0:
-            return k
-    raise AssertionError
-
-
 def _formula(s: str) -> str:
     return regex.sub(r"\s+", " ", regex.sub(r"\\(?:label\{[^}]*\}|nonumber|notag)", "", s)).strip()
 
@@ -557,7 +575,11 @@ def _render(node: _Node, blocks: list[str], buf: list[str]) -> None:
             flush()
             lines, n = [], 0
             for item in k.kids:
-                if isinstance(item, str) or item.hidden:
+                if isinstance(item, str):
+                    if item.strip():
+                        lines.append(regex.sub(r"\s+", " ", item).strip())
+                    continue
+                if item.hidden:
                     continue
                 inner: list[str] = []
                 rest: list[str] = []
@@ -611,10 +633,9 @@ def _rows(table: _Node, loose: list[str]) -> Iterator[_Node]:
 
 def source_format(text: str) -> str | None:
     """The one format a whole source is written in; None for plain text."""
-    head = text[:4000]
     if regex.search(r"\\documentclass|\\begin\s*\{document\}|\\(?:sub)*section\*?\s*[\[{]", text):
         return LATEX
-    if regex.search(r"(?i)<!doctype|<html\b|<body\b|<head\b", head) or len(regex.findall(r"(?i)</(?:p|div|h[1-6]|li|td)>", head)) >= 2:
+    if regex.search(r"(?i)<!doctype|<html\b|<body\b|<head\b", text) or len(regex.findall(r"(?i)</(?:p|div|h[1-6]|li|td)>", text)) >= 2:
         return HTML
     if regex.search(r"(?m)^={2,6}[^=\n]+={2,6}[ \t]*$|^\{\||'''[^\n]+'''|\[\[[^\]\n]+\]\]", text):
         return WIKI

@@ -49,3 +49,20 @@ def test_sentence_columns(spark):
     df = spark.createDataFrame([(1, "A b. C d."), (2, None), (3, " "), (4, "x " * 50_000)], "element_no bigint, t string").withColumn("start_pos", F.lit(9))
     got = {tuple(r) for r in sentences.split_sentences(df, "element_no", "t").collect()}
     assert got == {(1, 0, 4), (1, 5, 9), (4, 0, 99_999)}
+
+
+def test_deep_long_and_unclosed_markup():
+    import time
+
+    deep = "a " + r"\textbf{<b>\emph{" * 200 + "core" + "}</b>}" * 200 + " z"
+    clean, families = markup.clean(deep)
+    assert clean.startswith("a") and "core" in clean and clean.endswith("z") and not any(x in clean for x in ("\\", "{", "<b>")) and families == ["html", "latex"]
+    late = "Plain words. " * 500 + "<p>One</p> and <div>two &amp; three</div>"
+    assert markup.clean(late, True)[1] == ["html"] and "two & three" in markup.clean(late, True)[0]
+    assert markup.clean(r"x \footnote[" + "o" * 900 + "]{gone} y")[0] == "x (gone) y"
+    assert markup.clean("``" + "q" * 900 + "''")[1] == ["latex"]
+    assert markup.clean("<ul>loose <li>one</li></ul>")[0] == "loose\n- one"
+    for mark in (r"\begin{equation} x ", r"\[ x ", "$$ x ", "`` ", "{| ", "<!"):
+        t = time.time()
+        markup.clean(mark * 8000)
+        assert time.time() - t < 6, mark
