@@ -1,10 +1,9 @@
 """Texts into containers of fixed capacity, by bin completion.
 
 Sizes are token counts of a public tokenizer. Items are dealt to groups of bounded size by their hash; a group is
-packed by one task. Each container is built around the largest item left: the undominated fillings of the rest are
-searched depth first, larger items first, cut off where the capacity left can't beat the best filling so far. The
-best-fit solution is the first incumbent; containers are completed until the waste bound says that no better
-solution can follow.
+packed by one task. Each container is built around the largest item left; its undominated fillings are branched on,
+those that waste least first. A branch ends where the waste so far is more than a better solution may have, and the
+search goes back to the container before and its next filling. The best-fit solution is the first incumbent.
 """
 
 from __future__ import annotations
@@ -22,8 +21,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How byte-level BPE cuts a text before merging (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CAPACITY = 2048
-#: Items packed by one task, on average, and fillings looked at for one container.
-GROUP_ITEMS, FILLINGS = 5000, 400
+#: Items packed by one task, on average; choices looked at for one group, and for one container before more waste is allowed (tried in turn).
+GROUP_ITEMS, NODES, EFFORTS = 5000, 800_000, (25, 100, 400, 1600)
 
 
 def count_tokens(docs: DataFrame, doc_id: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -75,75 +74,130 @@ def lower_bound(sizes: list[int], capacity: int) -> int:
     return best
 
 
-def _filling(have: list[int], count: dict[int, int], room: int, budget: int) -> list[int]:
-    """Sizes that fill `room` best, of the sizes in `have` (ascending, with their counts); fewer and larger ones first.
-
-    A filling is dominated if an item left would still fit, so a branch ends only where nothing does; a branch is
-    cut where even all it could add leaves more waste than the best so far.
-    """
-    best: list[int] = []
-    best_sum = looked = 0
-    stack: list[tuple[int, int, list[int]]] = [(room, len(have), [])]
-    while stack:
-        left, top, chosen = stack.pop()
-        looked += 1
-        total = room - left
-        if total > best_sum:
-            best, best_sum = chosen, total
-            if best_sum == room:
-                break
-        if looked > budget:
-            break
-        at = bisect.bisect_right(have, left, 0, top)
-        branch = []
-        for k in range(at - 1, max(-1, at - 9), -1):
-            s = have[k]
-            if chosen.count(s) >= count[s]:
+class _Search:
+    """Branch and bound over containers: each is filled around the largest item left, by one undominated filling after another, and undone where the waste bound leaves none."""
+
+    def __init__(self, sizes: list[int], capacity: int, nodes: int, effort: int) -> None:
+        self.capacity, self.nodes, self.effort = capacity, nodes, effort
+        self.count: dict[int, int] = {}
+        for x in sizes:
+            self.count[x] = self.count.get(x, 0) + 1
+        self.have = sorted(self.count)
+
+    def take(self, s: int) -> None:
+        self.count[s] -= 1
+        if not self.count[s]:
+            del self.count[s]
+            self.have.pop(bisect.bisect_left(self.have, s))
+
+    def give(self, s: int) -> None:
+        if s not in self.count:
+            bisect.insort(self.have, s)
+            self.count[s] = 0
+        self.count[s] += 1
+
+    def undominated(self, chosen: list[int], slack: int) -> bool:
+        """Whether no item left could be added, or take the place of a smaller one."""
+        used: dict[int, int] = {}
+        for x in chosen:
+            used[x] = used.get(x, 0) + 1
+        free = lambda k: self.count[self.have[k]] > used.get(self.have[k], 0)
+        for x in (0, *used):
+            k = bisect.bisect_right(self.have, x)
+            while k < len(self.have) and self.have[k] - x <= slack:
+                if free(k):
+                    return False
+                k += 1
+        return True
+
+    def sums(self, room: int, top: int, chosen: list[int], least: int, most: int, left: list[int]) -> Iterator[list[int]]:
+        """Choices of sizes below place `top` that leave from `least` to `most` of `room`; larger sizes first."""
+        if least <= room <= most:
+            yield chosen
+        if room < least:
+            return
+        for k in range(bisect.bisect_right(self.have, room - least, 0, top) - 1, -1, -1):
+            left[0] -= 1
+            self.nodes -= 1
+            if left[0] < 0 or self.nodes < 0:
+                return
+            s = self.have[k]
+            again = self.count[s] > chosen.count(s) + 1
+            yield from self.sums(room - s, k + 1 if again else k, [*chosen, s], least, most, left)
+
+    def fillings(self, room: int, waste: int) -> Iterator[list[int]]:
+        """Undominated fillings that waste no more than `waste`: those without waste first, then in bands of twice the width."""
+        least = most = 0
+        while True:
+            most = min(most, waste)
+            for chosen in self.sums(room, len(self.have), [], least, most, [self.effort]):
+                if not most or self.undominated(chosen, room - sum(chosen)):
+                    yield chosen
+            if most >= waste or most >= room:
+                return
+            least, most = most + 1, 2 * most + 1
+
+    def solve(self, containers: int) -> list[list[int]] | None:
+        """Sizes by container, if so many are found to do within the nodes left."""
+        waste = containers * self.capacity - sum(x * n for x, n in self.count.items())
+        if waste < 0:
+            return None
+        done: list[list[int]] = []
+        waiting: list[Iterator[list[int]]] = []
+
+        def open_next() -> None:
+            first = self.have[-1]
+            self.take(first)
+            done.append([first])
+            waiting.append(self.fillings(self.capacity - first, waste))
+
+        open_next()
+        while waiting:
+            now = done[-1]
+            if len(now) > 1 or getattr(self, "_empty", None) is now:  # the filling tried before is taken back
+                waste += self.capacity - sum(now)
+                for x in now[1:]:
+                    self.give(x)
+                del now[1:]
+                self._empty = None
+            chosen = next(waiting[-1], None) if self.nodes >= 0 else None
+            if chosen is None:
+                waiting.pop()
+                self.give(done.pop()[0])
                 continue
-            # items after this one are no larger, so a branch of one more item that can't reach the best is cut
-            if total + s * (left // s) <= best_sum and left // s <= 1:
-                break
-            branch.append((left - s, k + 1, [*chosen, s]))
-        # one size that fits exactly closes the container
-        if left in count and count[left] > chosen.count(left) and at and have[at - 1] == left:
-            return [*chosen, left]
-        stack.extend(reversed(branch))
-    return best
-
-
-def complete(sizes: list[int], capacity: int, budget: int = FILLINGS) -> list[list[int]]:
-    """Containers (positions of items), none over the capacity, every item once; as few as the search finds."""
-    incumbent = best_fit(sizes, capacity)
-    bound = lower_bound(sizes, capacity)
-    for effort in (budget, 8 * budget):
-        if len(incumbent) <= bound:
-            break
-        at: dict[int, list[int]] = {}
-        for i in sorted(range(len(sizes)), reverse=True):
-            at.setdefault(sizes[i], []).append(i)
-        have = sorted(at)
-        count = {s: len(x) for s, x in at.items()}
-        bins: list[list[int]] = []
-        waste, most = 0, (len(incumbent) - 1) * capacity - sum(sizes)
-
-        def take(s: int) -> int:
-            count[s] -= 1
-            if not count[s]:
-                del count[s]
-                have.pop(bisect.bisect_left(have, s))
-            return at[s].pop()
-
-        while have:
-            first = have[-1]
-            one = [take(first)]
-            fill = _filling(have, count, capacity - first, effort)
-            one += [take(s) for s in fill]
-            bins.append(one)
-            waste += capacity - first - sum(fill)
-            if have and waste > most + capacity:  # no better than the incumbent any more, even if all the rest fits without waste
+            for x in chosen:
+                self.take(x)
+            now += chosen
+            waste -= self.capacity - sum(now)
+            if not chosen:
+                self._empty = now
+            if not self.have:
+                return done
+            open_next()
+        return None
+
+
+def complete(sizes: list[int], capacity: int, nodes: int = NODES, efforts: tuple[int, ...] = EFFORTS) -> list[list[int]]:
+    """Containers (positions of items), none over the capacity, every item once.
+
+    The best-fit solution is the first incumbent; solutions of one container less are searched until there is none,
+    the lower bound is reached or `nodes` choices have been looked at, beside those on the way down to a first
+    solution. `efforts`: how many choices are looked at for a container before more waste is allowed; each is tried in
+    turn, for where it pays to use up exact fillings differs. With few items the search is complete.
+    """
+    incumbent, bound = best_fit(sizes, capacity), lower_bound(sizes, capacity)
+    for effort in efforts:
+        left = nodes // len(efforts)
+        while len(incumbent) > bound and left > 0:
+            search = _Search(sizes, capacity, left + 4 * effort * len(incumbent), effort)
+            found = search.solve(len(incumbent) - 1)
+            left = min(left, search.nodes)
+            if found is None:
                 break
-        if not have and len(bins) < len(incumbent):
-            incumbent = bins
+            at: dict[int, list[int]] = {}
+            for i in sorted(range(len(sizes)), reverse=True):
+                at.setdefault(sizes[i], []).append(i)
+            incumbent = [[at[x].pop() for x in one] for one in found]
     return incumbent
 
 
@@ -159,7 +213,7 @@ def pack(docs: DataFrame, doc_id: str, text: str, capacity: int = CAPACITY, toke
     sizes = keep(count_tokens(docs, doc_id, text, tokenizer), "sizes")
     whole = F.floor(F.col("tokens") / capacity)
     full = sizes.filter(F.col("tokens") > capacity).select(
-        "id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(F.col("tokens") % capacity == 0, whole - 1).otherwise(whole - 1))).alias("piece")
+        "id", F.explode(F.sequence(F.lit(0).cast("bigint"), whole - 1)).alias("piece")
     )
     full = full.select(F.concat(F.lit("full-"), F.col("id").cast("string"), F.lit("-"), F.col("piece").cast("string")).alias("container"), F.col("id").alias(doc_id), F.col("piece").cast("int").alias("piece"), (F.col("piece") * capacity).cast("bigint").alias("start_token"), F.lit(capacity).cast("bigint").alias("n_tokens"))
     over = F.col("tokens") > capacity

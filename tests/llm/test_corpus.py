@@ -12,6 +12,25 @@ def text(seed, n=60):
     return " ".join(r.choice(WORDS, n))
 
 
+def fewest(sizes, capacity):
+    """The least number of containers, by trying everything."""
+    best, s = len(sizes), sorted(sizes, reverse=True)
+
+    def place(i, room):
+        nonlocal best
+        if len(room) >= best:
+            return
+        if i == len(s):
+            best = len(room)
+            return
+        for k in {x: k for k, x in enumerate(room) if x >= s[i]}.values():
+            place(i + 1, [*room[:k], room[k] - s[i], *room[k + 1 :]])
+        place(i + 1, [*room, capacity - s[i]])
+
+    place(0, [])
+    return best
+
+
 def test_leaks(spark):
     items = spark.createDataFrame([(i, text(i)) for i in range(8)] + [(8, None), (9, "")], "item_id bigint, text string")
     w = [text(i).split() for i in range(8)]
@@ -67,6 +86,15 @@ def test_containers(seed):
     assert sorted(i for b in bins for i in b) == list(range(300))
     assert all(sum(sizes[i] for i in b) <= 100 for b in bins)
     assert len(bins) <= len(packing.best_fit(sizes, 100)) and packing.lower_bound(sizes, 100) <= len(bins) <= packing.lower_bound(sizes, 100) + 2
+    rng = np.random.default_rng(7)
+    beaten = 0
+    for _ in range(60):
+        few = rng.integers(20, 51, int(rng.integers(6, 10))).tolist()
+        best = fewest(few, 100)
+        assert len(packing.complete(few, 100)) == best, few
+        beaten += len(packing.best_fit(few, 100)) > best
+    hard = rng.integers(500, 901, 600).tolist()
+    assert len(packing.complete(hard, 2048)) < len(packing.best_fit(hard, 2048)) and sorted(i for x in packing.complete(hard, 2048) for i in x) == list(range(600))
     assert packing.complete([], 10) == [] and len(packing.complete([10, 10], 10)) == 2
 
 
