@@ -1,9 +1,9 @@
 """Variant spellings of people's and groups' names.
 
 Names are parsed to a signature (family name, given names), however they are ordered, cut or decorated; spellings
-with one signature are linked at once. Signatures are blocked by phonetic codes of the family name (the code, and
-the code less any one sound, so that one typing error still meets), compared by Jaro-Winkler with a table of short
-names, and the accepted pairs are clustered by connected components.
+with one signature are linked at once. Signatures are blocked by phonetic codes of the sorted tokens of the family name
+(less any one letter, so that one typing error still meets) and by the forms of the given name, compared by
+Jaro-Winkler with a table of short names, and the accepted pairs are clustered by connected components.
 """
 
 from __future__ import annotations
@@ -131,21 +131,25 @@ _SOUND = {c: k for k, letters in {"1": "bp", "2": "fvw", "3": "dt", "4": "cgkqx"
 
 
 def phonetic(word: str) -> str:
-    """Consonant sounds in their order; a vowel at the start counts as 0, vowels elsewhere as nothing, doubled letters as one."""
-    w = regex.sub(r"[^a-z]", "", regex.sub(r"(.)\1+", r"\1", word.replace("ph", "f").replace("ck", "k")))
-    return "".join("0" if c in "aeiouy" and i == 0 else _SOUND.get(c, "") for i, c in enumerate(w))
+    """Consonant sounds in their order; a vowel at the start counts as 0, vowels elsewhere as nothing, doubled letters as one. Letters of other scripts stand for themselves."""
+    w = regex.sub(r"(.)\1+", r"\1", regex.sub(r"[^\p{L}]", "", word).replace("ph", "f").replace("ck", "k"))
+    return "".join(("0" if i == 0 else "") if c in "aeiouy" else _SOUND.get(c, "" if c in "hw" else c) for i, c in enumerate(w))
+
+
+def one_less(word: str) -> list[str]:
+    """The word, and the word less any one letter: two words that differ by one slip share one of these."""
+    return sorted({word} | {word[:i] + word[i + 1 :] for i in range(len(word))})
 
 
 def block_keys(family: str, given: list[str]) -> list[str]:
-    """The family name as it stands; and, with the first initial, its phonetic code, whole and less any one sound."""
-    code = phonetic("".join(sorted(family.split())))
-    firsts = {given[0][0]} if given else {"*"}
-    if given:
-        firsts |= {f[0] for f in _FORMAL.get(given[0], ())}
-    out = ["=" + family]
-    for f in sorted(firsts):
-        out += [f"{f}:{code}"] + [f"{f}:{code[:i]}{code[i + 1 :]}" for i in range(len(code))]
-    return sorted(set(out))
+    """Keys under which written-out names meet: the family name with the forms of the first given name (its long forms, and less any one letter); and, with the first initial, the phonetic code of the tokens of the family name in order, less any one letter."""
+    if len(given) == 0:
+        return []
+    tokens = "".join(sorted(family.split()))
+    out = {f"={family}={g}" for g in {*one_less(given[0]), *_FORMAL.get(given[0], ())}} if len(given[0]) > 1 else set()
+    for f in {given[0][0]} | {x[0] for x in _FORMAL.get(given[0], ())}:
+        out |= {f"{f}:{phonetic(v)}:{v}" for v in one_less(tokens)}
+    return sorted(out)
 
 
 @lru_cache(200_000)
@@ -275,14 +279,33 @@ def link_names(names: DataFrame, name: str = "name") -> DataFrame:
     given_seen = nodes.select("sig", F.posexplode("given").alias("i", "g"))
     given_seen = given_seen.join(given_seen.groupBy("g").agg(F.count("*").alias("n")), "g").groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("i", "n"))).alias("c"))
     nodes = keep(nodes.join(seen, "family").join(given_seen, "sig", "left").withColumn("counts", F.transform(F.coalesce("c", F.array().cast("array<struct<i:int,n:bigint>>")), lambda x: x["n"])).drop("c"), "nodes")
-    keys = F.udf(block_keys, "array<string>", useArrow=True)
     cols = ("sig", "family", "given", "seen", "counts")
-    blocks = keep(nodes.select(*cols, F.explode(keys("family", "given")).alias("key")), "blocks")
-    a = blocks.select("key", *[F.col(c).alias(c + "_a") for c in cols])
-    b = blocks.select("key", *[F.col(c).alias(c + "_b") for c in cols])
-    pairs = a.join(b, "key").filter(F.col("sig_a") < F.col("sig_b")).dropDuplicates(["sig_a", "sig_b"])
-    judged = F.udf(compare, "string", useArrow=True)
-    edges = pairs.select("sig_a", "sig_b", judged(*[f"{c}_{x}" for x in "ab" for c in cols[1:]]).alias("link")).filter("link is not null")
+
+    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            d["key"] = [block_keys(f, g) for f, g in zip(d["family"], d["given"])]
+            yield d
+
+    kinds = dict(nodes.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in cols)
+    blocks = keep(nodes.select(*cols).mapInPandas(met, schema + ", key array<string>").select(*cols, F.explode("key").alias("key")), "blocks")
+    side = lambda d, x: d.select("key", *[F.col(c).alias(f"{c}_{x}") for c in cols])
+    pairs = side(blocks, "a").join(side(blocks, "b"), "key").filter(F.col("sig_a") < F.col("sig_b"))
+    # initials meet all that begin so under their family name; written-out names don't meet each other there
+    first = F.try_element_at("given", F.lit(1))
+    begins = nodes.filter(first.isNotNull()).select(*cols, F.concat_ws("=", "family", F.substring(first, 1, 1)).alias("key"), (F.length(first) == 1).alias("short"))
+    with_initial = side(begins.filter("short"), "a").join(side(begins, "b"), "key").filter(F.col("sig_a") != F.col("sig_b"))
+    low, high = F.col("sig_a") < F.col("sig_b"), lambda c: (F.col(c + "_a"), F.col(c + "_b"))
+    with_initial = with_initial.select("key", *[F.when(low, high(c)[0]).otherwise(high(c)[1]).alias(c + "_a") for c in cols], *[F.when(low, high(c)[1]).otherwise(high(c)[0]).alias(c + "_b") for c in cols])
+    pairs = pairs.unionByName(with_initial).dropDuplicates(["sig_a", "sig_b"])
+    given = [f"{c}_{x}" for x in "ab" for c in cols[1:]]
+
+    def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            links = [compare(*x) for x in zip(*(d[c] for c in given))]
+            yield pd.DataFrame([(a, b, x) for a, b, x in zip(d["sig_a"], d["sig_b"], links) if x], columns=["sig_a", "sig_b", "link"])
+
+    edges = pairs.select("sig_a", "sig_b", *given).mapInPandas(judged, "sig_a string, sig_b string, link string")
     edges = keep(edges, "links")
     _, strong = boruvka(edges.filter("link = 'strong'").select(F.col("sig_a").alias("u"), F.col("sig_b").alias("v"), F.lit("").alias("w")))
     part = keep(nodes.join(strong.withColumnsRenamed({"vertex": "sig"}), "sig", "left").select("sig", F.coalesce("root", "sig").alias("part"), "spellings", "given"), "parts")

@@ -73,6 +73,12 @@ def p7_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.deal_splits(groups).select(F.col("id").alias("label_id"), "split")
 
 
+def p7_forest(spark: SparkSession, d: str) -> DataFrame:
+    """Why records stay together: the papers that the spanning forest ties, and the key that ties them."""
+    _, forest = splits.related(table(spark, d, "labels"))
+    return forest.select(F.col("u").alias("paper_a"), F.col("v").alias("paper_b"), F.col("w").alias("key"))
+
+
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), "doc_id", "text")
 
@@ -103,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_copy_counts": p5_copy_counts,
     "p7_found": p7_found,
     "p7_splits": p7_splits,
+    "p7_forest": p7_forest,
     "p8_containers": p8_containers,
     "p9_found": p9_found,
     "p10_found": p10_found,

@@ -2,8 +2,8 @@
 
 Records hang on the papers they cite from and the entries they cite. Papers are the vertices; each cited entry ties
 all papers it occurs in to the first of them. Borůvka rounds contract the graph: every component takes its smallest
-edge to another one, the chosen edges are kept as a spanning forest, and the components they join become one. The
-roots are stratified by the size of their group and dealt to the splits in turn.
+edge to another one, the chosen edges are kept as a spanning forest, a table that says why records are together, and
+the components they join become one. The roots are stratified by the size of their group and dealt to the splits.
 """
 
 from __future__ import annotations
@@ -75,6 +75,7 @@ def boruvka(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     if forest is None:
         forest = first.select("u", "v", "w").limit(0)
     small = comp.groupBy("root").agg(F.min("vertex").alias("least"))
+    forest = keep(forest, "forest")
     return forest, comp.join(small, "root").select("vertex", F.col("least").alias("root"))
 
 
@@ -107,27 +108,41 @@ def group_pairs(groups: DataFrame) -> DataFrame:
     return g.join(first, "root").filter(F.col("id") != F.col("first_id")).select("first_id", F.col("id").alias("other_id"))
 
 
-def deal_splits(groups: DataFrame, shares: tuple[tuple[str, int], ...] = (("train", 8), ("validation", 1), ("test", 1)), buckets: int = 1024) -> DataFrame:
-    """(id, root, split): groups of like size (bands by powers of two) are numbered in the order of their hash and dealt in turn.
+def deal_splits(groups: DataFrame, shares: tuple[tuple[str, int], ...] = (("train", 8), ("validation", 1), ("test", 1)), buckets: int = 1024, large: int = 1000) -> DataFrame:
+    """(id, root, split): groups dealt so that the records, not the groups, come in the given shares.
 
-    The deal is systematic: of every sum(shares) groups in a row of one band each split gets its share, and the next
-    band goes on where the last one ended. Numbering needs no global sort: groups are counted by band and hash
-    bucket, the counts (at most 64 x buckets rows) are summed up, and each bucket numbers its own.
+    Groups that hold at least one record in `large` (so there are at most `large` of them, whatever the data) go one by
+    one, the largest first, to the split that lacks most. The others are stratified by size (bands by powers of two);
+    each band is dealt systematically: in the order of their hash the groups that cover a split's share of what is
+    still lacking go to it. That needs no global sort: records are counted by band and hash bucket, the counts (at
+    most 64 x buckets rows) are summed up, and each bucket goes on from there. No records give no rows.
     """
     from pyspark.sql import Window
 
     total = sum(n for _, n in shares)
-    # slots of one round, largest share first at even distances
-    slots = sorted(((i + 0.5) / n, -n, name) for name, n in shares for i in range(n))
-    order = [name for _, _, name in slots]
-    size = groups.groupBy("root").agg(F.count("*").alias("size"))
-    size = size.select("root", F.floor(F.log2("size")).cast("int").alias("band"), F.xxhash64("root").alias("hash"))
-    size = size.withColumn("bucket", F.pmod("hash", F.lit(buckets)).cast("int"))
-    size = keep(size, "sizes")
-    counts = size.groupBy("band", "bucket").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("band"), "bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    at = Window.partitionBy("band", "bucket").orderBy("hash", "root")
-    dealt = size.join(before.select("band", "bucket", "before"), ["band", "bucket"]).withColumn("slot", F.pmod(F.col("before") + F.row_number().over(at) - 1, F.lit(total)))
-    names = F.array(*[F.lit(x) for x in order])
-    dealt = dealt.select("root", names[F.col("slot").cast("int")].alias("split"))
-    return groups.join(dealt, "root").select("id", "root", "split")
+    size = keep(groups.groupBy("root").agg(F.count("*").alias("size")).withColumn("hash", F.xxhash64("root")), "sizes")
+    records = size.agg(F.sum("size")).first()[0] or 0
+    lacks = {name: records * n / total for name, n in shares}
+    is_large = F.col("size") * large >= records
+    dealt: list[tuple[str, str]] = []
+    for r in size.filter(is_large).orderBy(F.desc("size"), "hash", "root").limit(large).collect():
+        name = max(lacks, key=lambda x: lacks[x])
+        lacks[name] -= r["size"]
+        dealt.append((r["root"], name))
+    rest = size.filter(~is_large).withColumn("band", F.floor(F.log2("size")).cast("int")).withColumn("bucket", F.pmod("hash", F.lit(buckets)).cast("int"))
+    counts = rest.groupBy("band", "bucket").agg(F.sum("size").alias("n"))
+    band = Window.partitionBy("band")
+    before = counts.withColumn("before", F.sum("n").over(band.orderBy("bucket")) - F.col("n")).withColumn("all", F.sum("n").over(band))
+    own = F.sum("size").over(Window.partitionBy("band", "bucket").orderBy("hash", "root")) - F.col("size") / 2
+    at = rest.join(before.select("band", "bucket", "before", "all"), ["band", "bucket"]).withColumn("at", (F.col("before") + own) / F.col("all"))
+    still = {name: max(0.0, x) for name, x in lacks.items()}
+    whole = sum(still.values()) or 1.0
+    split, upto = F.when(F.lit(False), ""), 0.0
+    for name, _ in shares[:-1]:
+        upto += still[name] / whole
+        split = split.when(F.col("at") < upto, name)
+    small = at.select("root", split.otherwise(shares[-1][0]).alias("split"))
+    first = groups.sparkSession.createDataFrame(dealt, f"root {dict(groups.dtypes)['root']}, split string")
+    # the large groups hold many records each: they meet a side of at most `large` rows
+    out = groups.join(F.broadcast(first), "root").unionByName(groups.join(F.broadcast(first), "root", "left_anti").join(small, "root"))
+    return out.select("id", "root", "split")

@@ -69,6 +69,16 @@ def test_related(spark):
     assert groups.count() == 0 and forest.count() == 0
 
 
+def test_deal_few_uneven_groups(spark):
+    groups = spark.createDataFrame([(i, "big" if i < 98 else f"g{i % 31}") for i in range(613)], "id bigint, root string")
+    got = splits.deal_splits(groups)
+    n = {r.split: r["count"] for r in got.groupBy("split").count().collect()}
+    assert got.count() == 613 and abs(n["train"] / 613 - 0.8) < 0.03 and abs(n["validation"] / 613 - 0.1) < 0.03
+    assert got.groupBy("root").agg(F.countDistinct("split").alias("n")).agg(F.max("n")).first()[0] == 1
+    small = splits.deal_splits(groups, large=5)
+    assert small.count() == 613 and splits.deal_splits(groups.limit(0)).count() == 0
+
+
 def test_deal(spark):
     groups = spark.createDataFrame([(i, f"g{i // 3 if i < 300 else i}") for i in range(1300)], "id bigint, root string")
     got = splits.deal_splits(groups)

@@ -23,6 +23,29 @@ def test_name_parts():
     assert names.jaro_winkler("martha", "marhta") == 0.9611111111111111
 
 
+def test_name_blocks():
+    assert names.phonetic("王") != names.phonetic("伟") and names.phonetic("Петров".lower()) != names.phonetic("павлов")
+    r = __import__("random").Random(3)
+    words = ["tumrarodi", "kerratima", "li", "wang", "овсов"]
+    for _ in range(300):  # whatever differs by one slip shares a key
+        a = r.choice(words)
+        i = r.randrange(len(a))
+        b = r.choice([a[:i] + a[i + 1 :], a[:i] + "x" + a[i:], a[:i] + "x" + a[i + 1 :], a[:i] + a[i : i + 2][::-1] + a[i + 2 :]])
+        if b and names.one_slip(a, b):
+            assert set(names.block_keys(a, ["anna"])) & set(names.block_keys(b, ["anna"])), (a, b)
+            assert set(names.block_keys("bell", [a])) & set(names.block_keys("bell", [b])) or min(len(a), len(b)) < 2, (a, b)
+    assert names.block_keys("wang", []) == []
+
+
+def test_a_family_of_many(spark):
+    """Everybody is called Wang: written-out names don't meet each other, and initials go to the one spelt in most ways."""
+    given = [a + b for a in ("ba", "do", "fe", "gu", "ki") for b in ("lan", "mir", "sol", "tun", "ver", "zad", "bek", "dor")]
+    rows = [(f"{g.title()} Wang",) for g in given] + [(f"Wang, {g.title()}",) for g in given[:20]] + [("Wang, B.",)]
+    got = {r.name: r.entity for r in names.link_names(spark.createDataFrame(rows, "name string")).collect()}
+    assert len({got[f"{g.title()} Wang"] for g in given}) == len(given) and all(got[f"Wang, {g.title()}"] == got[f"{g.title()} Wang"] for g in given[:20])
+    assert got["Wang, B."] in {got[f"{g.title()} Wang"] for g in given if g[0] == "b"}
+
+
 def test_works(spark):
     rows = [
         (1, "Deep {Nets} for Small Data (preprint)", ["Ann Bell", "C. Dorn"], "2001", "x1", "Deep nets for small data", ["Ann Bell", "Carl Dorn"], "2001"),
