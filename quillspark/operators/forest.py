@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.session import keep
 
@@ -19,6 +19,10 @@ ROOT, EXIT, CYCLE = 0, 1, 2
 
 #: Rows of one fragment, at most. It bounds what a task holds of one tree.
 FRAGMENT_ROWS = 50_000
+#: How much wider blocks of row numbers are on each next level.
+WIDER = 16
+#: Entries of the paths that a task holds before it hands them on.
+PATH_ENTRIES = 500_000
 
 
 def _contract(child: np.ndarray, parent: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -43,13 +47,13 @@ def _solver(with_path: bool):
             return
         d = pd.concat(parts, ignore_index=True)
         del parts
-        tree = d["_tree"].to_numpy(object)
-        node, parent = d["_node"].to_numpy(object), d["_parent"].to_numpy(object)
-        code = pd.factorize(tree)[0].astype("U")
-        own = np.char.add(np.char.add(code, "\x1f"), node.astype("U"))
+        tree, node, parent = (d[c].to_numpy(object) for c in ("_tree", "_node", "_parent"))
         has = pd.notna(parent)
-        above = np.char.add(np.char.add(code, "\x1f"), np.where(has, parent, "").astype("U"))
-        above = np.where(has, above, "\x1e")
+        # ids as numbers, so that one long id makes no other longer
+        codes, known = pd.factorize(np.concatenate([node, np.where(has, parent, "")]))
+        base = pd.factorize(tree)[0].astype("int64") * len(known)
+        own = base + codes[: len(d)]
+        above = np.where(has, base + codes[len(d) :], -1)
         w = d["_weight"].to_numpy("int64")
         at, far, endless = _contract(own, above, w)
         end_parent, end_has = parent[at], has[at]
@@ -59,25 +63,26 @@ def _solver(with_path: bool):
         # at an exit the link to it counts too; at a root the chain stops at the node itself
         out["_end"] = np.where(state == EXIT, end_parent, np.where(state == ROOT, node[at], None))
         out["_far"] = np.where(state == EXIT, far + w[at], far)
-        if with_path:
-            up = pd.Index(own).get_indexer(above)
-            made: dict[int, list] = {}
-            steps = d["_path"].tolist()
-            for i in range(len(d)):
-                if endless[i]:
-                    made[i] = []
-                    continue
-                chain = []
-                j = i
-                while j not in made and up[j] >= 0:
-                    chain.append(j)
-                    j = up[j]
-                if j not in made:
-                    made[j] = list(steps[j])
-                for k in reversed(chain):
-                    made[k] = made[up[k]] + list(steps[k])
-            out["_path"] = [made[i] for i in range(len(d))]
-        yield out
+        if not with_path:
+            yield out
+            return
+        up = pd.Index(own).get_indexer(above)
+        steps = d["_path"].tolist()
+        # paths are as long as the trees are deep: they are made and handed on piece by piece
+        made: list[list] = []
+        first = held = 0
+        for i in range(len(d)):
+            chain, j = [], -1 if endless[i] else i
+            while j >= 0:
+                chain.append(steps[j])
+                j = up[j]
+            made.append([x for k in reversed(chain) for x in k])
+            held += len(made[-1]) + 1
+            if held > PATH_ENTRIES or i == len(d) - 1:
+                piece = out.iloc[first : i + 1].copy()
+                piece["_path"] = made
+                yield piece
+                made, first, held = [], i + 1, 0
 
     return solve
 
@@ -137,17 +142,33 @@ def resolve_forest(
     )
     nodes = keep(nodes, "nodes")
     ids = nodes.select("_tree", "_node", *tree)
-    n = nodes.count()
-    cols = ["_tree", "_node", "_parent", "_weight"] + (["_path"] if with_path else [])
-    fragment = F.floor(F.coalesce(F.col("_at"), F.lit(0)) / fragment_rows)
-    local = keep(_local(nodes.select(*cols, fragment.alias("_frag")), ["_tree", "_frag"], with_path, max(_parts(n), links.sparkSession.sparkContext.defaultParallelism)), "local")
+    done = _solve(nodes.drop(*tree), with_path, fragment_rows, 0)
+    out = ids.join(done.select("_tree", "_node", "_state", "_end", "_far", *(["_path"] if with_path else [])), ["_tree", "_node"])
+    good = F.col("_state") == ROOT
+    return out.select(
+        *tree,
+        F.col("_node").alias(child),
+        F.when(good, F.col("_end")).otherwise(F.lit("")).alias("root_id"),
+        F.when(good, F.col("_far")).otherwise(F.lit(-1)).cast("int").alias("depth"),
+        *([F.when(good, F.col("_path")).alias("path")] if with_path else []),
+    )
+
 
+def _solve(rows: DataFrame, with_path: bool, fragment_rows: int, level: int) -> DataFrame:
+    """(tree, node, state, end, far, path) of linked rows (tree, node, parent, weight, at, path): each fragment contracts to its exits, the quotient of the exits is solved in the same way with wider fragments, and its answers are joined back."""
+    session = rows.sparkSession
+    path = ["_path"] if with_path else []
+    cols = ["_tree", "_node", "_parent", "_weight", *path]
+    n = rows.count()
+    # the quotient of a tree holds few rows of each block, so blocks may be wider level by level
+    fragment = F.floor(F.coalesce(F.col("_at"), F.lit(0)) / (fragment_rows * WIDER**level))
+    local = keep(_local(rows.select(*cols, fragment.alias("_frag")), ["_tree", "_frag"], with_path, max(_parts(n), session.sparkContext.defaultParallelism)), "local")
     exits = local.filter(F.col("_state") == EXIT).select("_tree", F.col("_end").alias("_node")).distinct()
     # The quotient: what each exit's own fragment says of it. An exit that no fragment holds is a root itself.
-    known = exits.join(local, ["_tree", "_node"], "left")
+    known = exits.join(local, ["_tree", "_node"], "left").join(rows.select("_tree", "_node", "_at"), ["_tree", "_node"], "left")
     quotient = keep(
         known.select(
-            "_tree", "_node",
+            "_tree", "_node", "_at",
             F.when(F.col("_state") == EXIT, F.col("_end")).alias("_parent"),
             F.col("_far").alias("_weight"),
             F.coalesce("_state", F.lit(ROOT)).alias("_was"),
@@ -157,31 +178,32 @@ def resolve_forest(
         ),
         "quotient",
     )
-    # Terminal quotient nodes keep their own end; the others are contracted, within one task for each tree that fits one.
     inner = quotient.filter(F.col("_was") == EXIT)
-    largest = inner.groupBy("_tree").count().agg(F.max("count")).first()[0] or 0
-    ends = quotient.filter(F.col("_was") != EXIT).select(
-        "_tree", "_node", F.col("_was").alias("_state"), F.col("_root").alias("_end"), F.col("_rest").alias("_far"), *(["_path"] if with_path else [])
-    )
-    if largest == 0:
+    ends = quotient.filter(F.col("_was") != EXIT).select("_tree", "_node", F.col("_was").alias("_state"), F.col("_root").alias("_end"), F.col("_rest").alias("_far"), *path)
+    left = inner.count()
+    largest = inner.groupBy("_tree", F.floor(F.coalesce(F.col("_at"), F.lit(0)) / (fragment_rows * WIDER ** (level + 1)))).count().agg(F.max("count")).first()[0] or 0
+    if not left:
         solved = ends
-    else:
-        if largest <= fragment_rows:
-            up = _local(inner.select(*cols), ["_tree"], with_path, max(1, min(64, _parts(int(inner.count())))))
-            solved = ends.unionByName(_attach(up, ends, with_path))
-        else:
-            up = inner.select("_tree", "_node", F.lit(EXIT).alias("_state"), F.col("_parent").alias("_end"), F.col("_weight").alias("_far"), *(["_path"] if with_path else []))
-            solved = _doubling(keep(up.unionByName(ends), "up"), with_path)
-    done = _attach(local, solved, with_path)
-    out = ids.join(done.select("_tree", "_node", "_state", "_end", "_far", *(["_path"] if with_path else [])), ["_tree", "_node"])
-    good = F.col("_state") == ROOT
-    return out.select(
-        *tree,
-        F.col("_node").alias(child),
-        F.when(good, F.col("_end")).otherwise(F.lit("")).alias("root_id"),
-        F.when(good, F.col("_far")).otherwise(F.lit(-1)).cast("int").alias("depth"),
-        *([F.when(good, F.col("_path")).alias("path")] if with_path else []),
-    )
+    elif (inner.groupBy("_tree").count().agg(F.max("count")).first()[0] or 0) <= fragment_rows:
+        up = _local(inner.select(*cols), ["_tree"], with_path, max(1, min(64, _parts(left))))
+        solved = ends.unionByName(_attach(up, ends, with_path))
+    elif largest <= fragment_rows and 2 * left <= n:
+        # known ends take part as roots of their own, and are put in for them afterwards
+        stops = quotient.filter(F.col("_was") != EXIT).select("_tree", "_node", "_at", F.lit(None).cast("string").alias("_parent"), F.lit(1).cast("bigint").alias("_weight"), *([F.array().cast("array<string>").alias("_path")] if with_path else []))
+        up = _solve(keep(inner.select("_at", *cols).unionByName(stops), "level"), with_path, fragment_rows, level + 1)
+        up = up.join(inner.select("_tree", "_node"), ["_tree", "_node"], "left_semi")
+        # what lies beyond the quotient is a root already; such an end is taken off the path, for _attach puts it on
+        beyond = F.col("_state") == ROOT
+        up = up.select("_tree", "_node", F.when(beyond, EXIT).otherwise(F.col("_state")).alias("_state"), "_end", "_far", *([_without_end(beyond).alias("_path")] if with_path else []))
+        solved = ends.unionByName(_attach(up, ends, with_path))
+    else:  # rows in no order at all: a block's quotient doesn't fit a task
+        up = inner.select("_tree", "_node", F.lit(EXIT).alias("_state"), F.col("_parent").alias("_end"), F.col("_weight").alias("_far"), *path)
+        solved = _doubling(keep(up.unionByName(ends), "up"), with_path)
+    return _attach(local, solved, with_path)
+
+
+def _without_end(beyond: Column) -> Column:
+    return F.when(beyond & (F.try_element_at("_path", F.lit(1)) == F.col("_end")), F.slice("_path", F.lit(2), F.size("_path"))).otherwise(F.col("_path"))
 
 
 def _attach(rows: DataFrame, ends: DataFrame, with_path: bool) -> DataFrame:

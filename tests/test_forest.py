@@ -46,6 +46,26 @@ def test_against_walks(spark, size):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("near", [True, False])
+def test_levels(spark, monkeypatch, near):
+    """Long chains over many fragments: solved level by level where parents are near in the order of rows, by doubling where they are anywhere."""
+    used = []
+    for name in ("_solve", "_doubling"):
+        monkeypatch.setattr(forest, name, lambda *a, f=getattr(forest, name), n=name: used.append(n) or f(*a))
+    monkeypatch.setattr(forest, "WIDER", 4)
+    monkeypatch.setattr(forest, "PATH_ENTRIES", 50)
+    r = random.Random(5)
+    rows = [("a", f"n{i}", "" if not i else f"n{i - 1 if r.random() < 0.9 else max(0, i - r.randint(1, 3))}", i) for i in range(150)]
+    rows += [("a", f"c{i}", f"c{(i + 1) % 9}", 150 + i) for i in range(9)] + [("a", "below", "c3", 159), ("b", "n1", "n0", 160), ("b", "x" * 5000, "n1", 161)]
+    if not near:
+        order = list(range(len(rows)))
+        r.shuffle(order)
+        rows = [(t, c, p, o) for (t, c, p, _), o in zip(rows, order)]
+    got = {(x.t, x.c, x.root_id, x.depth, tuple(x.path) if x.path is not None else None) for x in forest.resolve_forest(spark.createDataFrame(rows, SCHEMA), ["t"], "c", "p", "o", True, 6).collect()}
+    assert got == brute(rows)
+    assert used.count("_solve") > 1 if near else "_doubling" in used, used
+
+
 def test_empty_and_descendants(spark):
     assert forest.resolve_forest(spark.createDataFrame([], SCHEMA), ["t"], "c", "p", "o").count() == 0
     df = spark.createDataFrame([("a", "x", "r", 1), ("a", "y", "x", 2), ("a", "z", "z", 3)], SCHEMA)
