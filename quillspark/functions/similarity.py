@@ -22,7 +22,9 @@ def edit_ratio(a: Column, b: Column) -> Column:
 
 def ratio(a: str, b: str) -> float:
     """Share of matching blocks: twice the matched length by both lengths."""
-    return SequenceMatcher(None, a, b, autojunk=False).ratio() if a and b else 0.0
+    if not a or not b:
+        return 0.0
+    return 1.0 if a == b else SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
 def partial(a: str, b: str) -> float:
@@ -31,17 +33,24 @@ def partial(a: str, b: str) -> float:
         a, b = b, a
     if not a:
         return 0.0
+    if a in b:
+        return 1.0
     best = 0.0
-    for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks():
-        s = max(0, m.b - m.a)
-        best = max(best, ratio(a, b[s : s + len(a)]))
+    for s in sorted({max(0, m.b - m.a) for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()}):
+        part = SequenceMatcher(None, a, b[s : s + len(a)], autojunk=False)
+        if part.quick_ratio() > best:  # a bound: what the letters alone allow
+            best = max(best, part.ratio())
     return best
 
 
 def _lift(f):
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([f(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
+        known: dict[tuple[str, str], float] = {}
+        for x, y in zip(a, b):
+            if (x, y) not in known:
+                known[x, y] = f(x or "", y or "")
+        return pd.Series([known[x, y] for x, y in zip(a, b)], dtype="float64")
 
     return run
 

@@ -63,11 +63,13 @@ def _latex(kind: str, title: str, level: int, text: str, inner: str) -> str:
     return f"\\{kind}{{{title}}}\n{text + chr(10) if text else ''}{inner}"
 
 
+#: What shows formulas in an HTML page.
+MATH = "https://cdn.jsdelivr.net/npm/mathjax@3/es5/tex-mml-chtml.js"
 _WRITERS = {"markdown": _markdown, "html": _html, "latex": _latex}
 
 
 def export(nodes: DataFrame, form: str) -> DataFrame:
-    """(paper_id, version_num, text): one document per version, nodes in the order of their rows. A version is one group; a document's nodes fit one task."""
+    """(paper_id, version_num, text): one document per version, nodes in the order of their rows. A version is one group; a document's nodes fit one task. A cycle, which no root leads to, is cut at its first row and follows the rest."""
     write = _WRITERS[form]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -79,8 +81,14 @@ def export(nodes: DataFrame, form: str) -> DataFrame:
             below.setdefault((r.parent_id or "").strip(), []).append(r.child_id)
         roots = [p for p in below if p not in rows]
         made: dict[str, str] = {}
-        for top in roots:
-            stack = [(c, False) for c in reversed(below[top])]
+        tops = [c for top in roots for c in below[top]]
+        first = set(tops)
+        for top in (*tops, *rows):
+            if top in made:
+                continue
+            if top not in first:
+                tops.append(top)
+            stack = [(top, False)]
             while stack:
                 c, done = stack.pop()
                 if done:
@@ -91,9 +99,9 @@ def export(nodes: DataFrame, form: str) -> DataFrame:
                     made[c] = ""
                     stack.append((c, True))
                     stack.extend((k, False) for k in reversed(below.get(c, ())))
-        body = "".join(made.get(c, "") for top in roots for c in below[top])
+        body = "".join(made.get(c, "") for c in tops)
         if form == "html":
-            body = f"<!DOCTYPE html>\n<html><head><meta charset=\"utf-8\"><title>{html.escape(str(pdf['paper_id'].iloc[0]))}</title></head><body>\n{body}</body></html>\n"
+            body = f"<!DOCTYPE html>\n<html><head><meta charset=\"utf-8\"><title>{html.escape(str(pdf['paper_id'].iloc[0]))}</title><script async src=\"{MATH}\"></script></head><body>\n{body}</body></html>\n"
         return pd.DataFrame({"paper_id": [pdf["paper_id"].iloc[0]], "version_num": [pdf["version_num"].iloc[0]], "text": [body]})
 
     return nodes.groupBy("paper_id", "version_num").applyInPandas(run, "paper_id string, version_num string, text string")

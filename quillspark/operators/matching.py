@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quillspark.functions import similarity as S, text as T
-from quillspark.session import keep
+from quillspark.session import keep, spread
 
 #: English function words left out of the terms (a fixed list of our own).
 STOP = "a about after all also an and any are as at be been between both but by can could do does each for from had has have how if in into is it its may more most no nor not of on or other our over such than that the their these this those to under via was we were what when where which while who will with would".split()
@@ -113,7 +113,7 @@ def candidate_pool(p: DataFrame) -> DataFrame:
 def fuzzy_features(p: DataFrame) -> DataFrame:
     """The features that need block matching: title ratio, ratio of sorted words, best partial ratio, and sorted authors."""
     join = lambda c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), " ")
-    return p.withColumns({
+    return spread(p, "pair_id").withColumns({
         "feat_title_fuzzy": S.fuzzy(T.normalize_basic(F.col("bib_title")), T.normalize_basic(F.col("cand_title"))),
         "feat_title_sort": S.fuzzy_sorted(F.col("bib_title"), F.col("cand_title")),
         "feat_title_partial": S.fuzzy_partial(T.normalize_basic(F.col("bib_title")), T.normalize_basic(F.col("cand_title"))),

@@ -55,5 +55,16 @@ def drop_kept(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes a core: a table smaller than this times the cores comes in too few partitions to keep them busy.
+SMALL = 4 * 1024 * 1024
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over all cores, by a hash of `keys`, where it is small by the planner's estimate; larger tables come in enough partitions and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores, *keys) if size < SMALL * cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
