@@ -62,7 +62,7 @@ SMALL = 4 * 1024 * 1024
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """df over all cores, by a hash of `keys`, where it is small by the planner's estimate; larger tables come in enough partitions and stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores, *keys) if size < SMALL * cores else df
 
 
