@@ -18,6 +18,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from quillspark.session import spread
+
 HTML, MARKDOWN, WIKI, LATEX = "html", "markdown", "wiki", "latex"
 FAMILIES = (HTML, LATEX, MARKDOWN, WIKI)
 
@@ -685,8 +687,8 @@ def _head_argument(head: str, command: str) -> str:
 
 
 def clean_texts(df: DataFrame, row_id: str, text: str, whole: bool = False) -> DataFrame:
-    """(row_id, clean, families) of every row; null texts stay null and have no family. Row by row: no shuffle."""
-    rows = df.select(F.col(row_id).alias("id"), F.col(text).alias("text"))
+    """(row_id, clean, families) of every row; null texts stay null and have no family. Row by row; only a small table is spread over the cores first."""
+    rows = spread(df.select(F.col(row_id).alias("id"), F.col(text).alias("text")), "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.session import keep
+from quillspark.session import keep, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How byte-level BPE cuts a text before merging (a fixed value).
@@ -37,7 +37,7 @@ def count_tokens(docs: DataFrame, doc_id: str, text: str, tokenizer: str = TOKEN
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "tokens": [len(enc.encode_ordinary(t)) for t in b["t"]]})
 
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).filter("t <> ''")
+    rows = spread(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).filter("t <> ''"), "id")
     return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, tokens bigint").filter("tokens > 0")
 
 

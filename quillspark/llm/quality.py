@@ -14,6 +14,8 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from quillspark.session import spread
+
 #: Labelled documents to learn from, at most; they are made by a rule, see labelled_documents().
 LABELLED = 3600
 
@@ -52,8 +54,8 @@ def statistics(df: DataFrame, row_id: str, text: str, common: DataFrame | None =
     cost nothing.
     """
     words = sorted({r["word"].lower() for r in common.select("word").distinct().collect() if r["word"]}) if common is not None else []
-    clean = F.trim(F.replace(F.replace(F.replace(F.col(text), F.lit("\r"), F.lit("\n")), F.lit("\n\n"), F.lit("\n")), F.lit("\n\n"), F.lit("\n")), F.lit(" \n\t"))
-    d = df.filter(F.col(text).rlike(r"\S")).select(F.col(row_id).alias("id"), clean.alias("t"))
+    clean = F.trim(F.replace(F.replace(F.replace(F.col("_text"), F.lit("\r"), F.lit("\n")), F.lit("\n\n"), F.lit("\n")), F.lit("\n\n"), F.lit("\n")), F.lit(" \n\t"))
+    d = spread(df.select(F.col(row_id).alias("id"), F.col(text).alias("_text")), "id").filter(F.col("_text").rlike(r"\S")).select("id", clean.alias("t"))
     d = d.withColumns({"chars": F.length("t").cast("double"), "bytes": F.octet_length("t").cast("double"), "w": F.split("t", r"\s+"), "l": F.split("t", "\n")})
     n_words = _count(WORD)
     by_bytes = F.size("w").cast("double") + (F.col("bytes") - F.col("chars")) / 8

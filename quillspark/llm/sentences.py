@@ -15,6 +15,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from quillspark.session import spread
+
 # Abbreviations. `title` stands before a name, `number` before a number or a letter, `never` ends no
 # sentence, `maybe` ends one when a capital follows.
 ABBREVIATIONS: dict[str, dict[str, str]] = {
@@ -266,6 +268,7 @@ def split_sentences(df: DataFrame, row_id: str, text: str, lang: str | None = No
     Rows do not depend on each other: no shuffle. `lang` may be null or wrong; it only adds abbreviations.
     """
     rows = df.select(F.col(row_id).alias("id"), F.col(text).alias("text"), (F.col(lang) if lang else F.lit(None).cast("string")).alias("lang")).filter(F.col("text").isNotNull())
+    rows = spread(rows, "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
