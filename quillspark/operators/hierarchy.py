@@ -82,3 +82,14 @@ def hierarchy(nodes: DataFrame, paper: str = "paper_id", version: str = "version
     text = F.coalesce(F.when(F.trim("content") != "", F.col("content")), F.col("title"))
     kept = u.filter((F.col("unified_id") == F.col("node_id")) & (F.coalesce(text, F.lit("")) != ""))
     return edges, kept.select(F.col(paper).alias("paper_id"), F.col("node_id").alias("element_id"), "node_type", "title", "level", text.alias("content"))
+
+
+def preview(nodes: DataFrame, n: int = 200, width: int = 80) -> list[str]:
+    """The first n nodes of an assembled document as lines, indented by their depth, to look at."""
+    depth: dict[str, int] = {}
+    lines = []
+    for r in nodes.orderBy("ord").select("node_id", "parent_id", "node_type", "title", "content").limit(n).collect():
+        depth[r.node_id] = depth.get(r.parent_id, -1) + 1
+        text = " ".join((r.content or r.title or "").split())
+        lines.append("  " * depth[r.node_id] + f"[{r.node_type}] " + (text if len(text) <= width else text[:width] + "..."))
+    return lines

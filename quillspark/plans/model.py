@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
@@ -30,19 +32,32 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 def cross_validate(df: DataFrame, features: list[str], names: tuple[str, ...] = ("boosted_trees", "decision_tree", "logistic_regression"), k: int = 5) -> DataFrame:
     """(model, accuracy, f1, auc): means over the folds in column `fold`. The loop goes over models and folds, not over rows."""
-    rows = []
-    df = df.withColumn("label", F.col("label").cast("double")).cache()
-    for name in names:
-        got = []
-        for i in range(k):
-            p = train(df.filter(F.col("fold") != i), features, name).transform(df.filter(F.col("fold") == i))
-            m = MulticlassClassificationEvaluator(labelCol="label")
-            got.append((m.evaluate(p, {m.metricName: "accuracy"}), m.evaluate(p, {m.metricName: "f1"}), BinaryClassificationEvaluator(labelCol="label").evaluate(p)))
-        rows.append((name, *(round(sum(x) / k, 6) for x in zip(*got))))
+    df = df.select("fold", *features, F.col("label").cast("double").alias("label")).cache()
+    auc = BinaryClassificationEvaluator(labelCol="label")
+
+    def one(job: tuple[str, int]) -> tuple[float, float, float]:
+        name, i = job
+        p = train(df.filter(F.col("fold") != i), features, name).transform(df.filter(F.col("fold") == i)).cache()
+        m = MulticlassClassificationEvaluator(labelCol="label")
+        got = m.evaluate(p, {m.metricName: "accuracy"}), m.evaluate(p, {m.metricName: "f1"}), auc.evaluate(p)
+        p.unpersist()
+        return got
+
+    # fits are independent of each other: some are trained at the same time, so that small ones fill the cluster
+    with ThreadPoolExecutor(k) as pool:
+        got = list(pool.map(one, [(name, i) for name in names for i in range(k)]))
     df.unpersist()
+    rows = [(name, *(round(sum(x) / k, 6) for x in zip(*got[n * k : (n + 1) * k]))) for n, name in enumerate(names)]
     return df.sparkSession.createDataFrame(rows, "model string, accuracy double, f1 double, auc double")
 
 
+def best_model(metrics: DataFrame, df: DataFrame, features: list[str], name: str | None = None) -> tuple[str, PipelineModel]:
+    """The model of the best F1 (of `metrics`, as cross_validate() gives them), or the one named, trained on all rows."""
+    if name is None:
+        name = metrics.orderBy(F.desc("f1"), "model").first()["model"]
+    return name, train(df, features, name)
+
+
 def coefficients(model: PipelineModel, features: list[str]) -> list[tuple[str, float]]:
     """Features by the size of their coefficient in a logistic regression."""
     return sorted(zip(features, map(float, model.stages[-1].coefficients)), key=lambda x: -abs(x[1]))

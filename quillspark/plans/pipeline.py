@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quillspark import sources
 from quillspark.functions import text as T
 from quillspark.operators import dataset as D, hierarchy as H, latex as L, matching as M, references as R
+from quillspark.plans.timing import Phases
 from quillspark.session import get_spark, keep
 from quillspark.sources import sinks
 
@@ -96,17 +97,22 @@ def run_matching(spark: SparkSession, config: Config, canonical: DataFrame | Non
 
 def run(spark: SparkSession, config: Config, matching: bool = True, papers: DataFrame | None = None) -> dict[str, int]:
     """Runs all steps, writes their results and returns how many papers were processed and matched."""
-    t = process(spark, config, papers)
-    sinks.refs_bib(t["canonical"], f"{config.output}/refs_bib")
-    sinks.hierarchy_json(t["edges"], t["elements"], f"{config.output}/hierarchy")
-    t["headers"].write.mode("overwrite").parquet(f"{config.output}/headers")
-    t["blocks"].write.mode("overwrite").parquet(f"{config.output}/blocks")
-    sinks.metadata(sources.metadata(spark, config.raw), f"{config.output}/metadata")
-    stats = {"processed": t["flat"].select("paper_id").distinct().count(), "matched": 0}
-    logging.info("%s papers processed", stats["processed"])
+    time = Phases()
+    with time.phase("process"):
+        t = process(spark, config, papers)
+        stats = {"processed": t["flat"].select("paper_id").distinct().count(), "matched": 0}
+    with time.phase("write"):
+        sinks.refs_bib(t["canonical"], f"{config.output}/refs_bib")
+        sinks.hierarchy_json(t["edges"], t["elements"], f"{config.output}/hierarchy")
+        t["headers"].write.mode("overwrite").parquet(f"{config.output}/headers")
+        t["blocks"].write.mode("overwrite").parquet(f"{config.output}/blocks")
+        sinks.metadata(sources.metadata(spark, config.raw), f"{config.output}/metadata")
     if matching:
-        stats["matched"] = run_matching(spark, config, t["canonical"])
-        logging.info("%s papers matched", stats["matched"])
+        with time.phase("match"):
+            stats["matched"] = run_matching(spark, config, t["canonical"])
+    logging.info("%s", stats)
+    for phase, seconds, share, _ in time.report():
+        logging.info("%s: %s s, %s %%", phase, seconds, share)
     return stats
 
 

@@ -357,7 +357,15 @@ def _labels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "labels").select(F.col("label_id").alias("query"), F.coalesce(F.trim("source_paper_id"), F.lit("")).alias("paper"), F.col("ground_truth.id").alias("true_id"))
 
 
-@query()
+@query(f"""WITH x AS (SELECT label_id AS query, coalesce(trim(source_paper_id, ' '), '') AS paper, ground_truth.id AS true_id FROM labels),
+hp AS (SELECT paper, true_id, row_number() OVER (PARTITION BY paper ORDER BY {_KEY.format(42, 'true_id')}, true_id) - 1 AS r, count(*) OVER (PARTITION BY paper) AS n FROM (SELECT DISTINCT paper, true_id FROM x WHERE true_id IS NOT NULL)),
+hd AS (SELECT query, paper, true_id, s, ({_KEY.format(42, 'query')} % n + s) % n AS r FROM x JOIN (SELECT DISTINCT paper, n FROM hp) USING (paper), (SELECT unnest(range(3)) AS s) WHERE true_id IS NOT NULL AND s < n),
+h AS (SELECT * FROM (SELECT query, hp.true_id AS cand_id, row_number() OVER (PARTITION BY query ORDER BY s) AS k FROM hd JOIN hp ON hp.paper = hd.paper AND hp.r = hd.r WHERE hp.true_id <> hd.true_id) WHERE k <= 2),
+pool AS (SELECT row_number() OVER (ORDER BY {_KEY.format(43, 'query')}, query) - 1 AS place, true_id AS cand_id, paper AS other, count(*) OVER () AS n FROM x WHERE true_id IS NOT NULL),
+need AS (SELECT x.*, 4 - coalesce(c, 0) AS need FROM x LEFT JOIN (SELECT query, count(*) AS c FROM h GROUP BY 1) USING (query)),
+dr AS (SELECT query, paper, true_id, need, a, {_KEY.format(42, "query || '-' || a")} % (SELECT max(n) FROM pool) AS place FROM need, (SELECT unnest(range(50)) AS a)),
+e AS (SELECT query, cand_id, need, row_number() OVER (PARTITION BY query ORDER BY a) AS k FROM dr JOIN pool USING (place) WHERE other <> paper AND cand_id <> true_id)
+SELECT query AS label_id, true_id AS cand_id, 1 AS label FROM x UNION ALL SELECT query, cand_id, 0 FROM h UNION ALL SELECT query, cand_id, 0 FROM e WHERE k <= need""")
 def augmented_pairs(spark: SparkSession, d: str) -> DataFrame:
     x = _labels(spark, d)
     hard = D.hard_negatives(x)

@@ -6,6 +6,7 @@ from quillspark import sources
 from quillspark.operators import export as X, hierarchy as H, latex as L
 from quillspark.operators.ordering import row_numbers
 from quillspark.plans import pipeline
+from quillspark.plans.timing import Phases
 from quillspark.sources import sinks
 
 MAIN = r"""\documentclass{article}
@@ -64,6 +65,15 @@ def test_equal_content_has_one_id(spark):
     assert ("1", "p-v1-h1-b0", "p-v1-h2") in e and ("2", "p-v1-h1-b0", "p-v2-h1") in e and not any("h2-b0" in c for _, c, _ in e)
     assert {r.content for r in elements.collect()} == {"Root", "One", "Two", "Same sentence here.", "New one.", "Other."}
     assert H.assemble(docs.limit(0), ["paper_id", "version"]).count() == 0
+    assert H.preview(H.assemble(docs.filter("version = 'v1'"), ["paper_id", "version"]), 3) == ["[document] Root", "  [section] One", "    [sentence] Same sentence here."]
+
+
+def test_phases():
+    t = Phases()
+    for name in ("a", "b", "a"):
+        with t.phase(name):
+            pass
+    assert [x[0] for x in t.report(4)] == ["a", "b", "total"] and Phases().report() == [("total", 0, 0.0, 0.0)]
 
 
 def test_row_numbers_of_a_hot_key(spark):

@@ -62,6 +62,8 @@ def test_model(spark, tmp_path):
     df = spark.createDataFrame([(float(i % 2), 1.0, i % 2, i % 5) for i in range(60)], "f double, g double, label int, fold int")
     m = model.cross_validate(df, ["f", "g"], ("decision_tree",)).first()
     assert m.accuracy == m.f1 == m.auc == 1.0
+    name, chosen = model.best_model(model.cross_validate(df, ["f", "g"], ("decision_tree", "logistic_regression"), k=2), df, ["f", "g"])
+    assert name in ("decision_tree", "logistic_regression") and chosen.transform(df).count() == df.count()
     t = model.train(df, ["f", "g"])
     t.write().overwrite().save(f"{tmp_path}/m")
     assert model.coefficients(t, ["f", "g"])[0][0] == "f"
