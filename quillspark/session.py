@@ -60,9 +60,10 @@ SMALL = 4 * 1024 * 1024
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df over all cores, by a hash of `keys`, where it is small by the planner's estimate; larger tables come in enough partitions and stay as they are."""
+    """df over all cores, by a hash of `keys`, where the tables it reads are small by the planner's estimate; larger ones come in enough partitions and stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return df.repartition(cores, *keys) if size < SMALL * cores else df
 
 
