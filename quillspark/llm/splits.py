@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillspark.session import keep
+from quillspark.session import drop_kept, keep
 
 
 def paper_form(c: Column) -> Column:
@@ -44,10 +44,12 @@ def boruvka(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     comp, forest = None, None
     vertices = first.select(F.col("u").alias("vertex")).union(first.select(F.col("v"))).distinct()
     comp = vertices.select("vertex", F.col("vertex").alias("root"))
+    chosen_from: list[DataFrame] = []
     while not live.isEmpty():
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b"), "e"))
         best = both.groupBy("a").agg(F.min(F.struct("e", "b")).alias("m")).select("a", F.col("m.b").alias("b"), F.col("m.e").alias("e"))
         best = keep(best, "best")
+        chosen_from.append(best)
         chosen = best.select("e.*").distinct().select("u", "v", "w")
         forest = chosen if forest is None else forest.unionByName(chosen)
         # hooks: a -> b; of two that chose the same edge the smaller is the root
@@ -59,11 +61,13 @@ def boruvka(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         while True:  # pointer doubling, to the root of each tree of hooks
             top = hook.select(F.col("a").alias("up"), F.col("up").alias("top"))
             step = keep(hook.join(top, "up").select("a", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), "hook")
+            drop_kept(hook)
             hook = step.select("a", "up")
             if step.filter("moved").isEmpty():
                 break
         ra = hook.select(F.col("a"), F.col("up").alias("ra"))
         rb = hook.select(F.col("a").alias("b"), F.col("up").alias("rb"))
+        old = (live, comp) if len(chosen_from) > 1 else ()
         live = live.join(ra, "a", "left").join(rb, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"), "e")
         live = keep(
             live.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "e").groupBy("a", "b").agg(F.min("e").alias("e")),
@@ -72,10 +76,14 @@ def boruvka(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         comp = keep(
             comp.join(hook.select(F.col("a").alias("root"), F.col("up").alias("new")), "root", "left").select("vertex", F.coalesce("new", "root").alias("root")), "comp"
         )
+        for d in (hook, *old):
+            drop_kept(d)
     if forest is None:
         forest = first.select("u", "v", "w").limit(0)
     small = comp.groupBy("root").agg(F.min("vertex").alias("least"))
     forest = keep(forest, "forest")
+    for d in chosen_from:
+        drop_kept(d)
     return forest, comp.join(small, "root").select("vertex", F.col("least").alias("root"))
 
 
