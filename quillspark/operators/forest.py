@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillspark.session import keep
+from quillspark.session import drop_kept, keep
 
 ROOT, EXIT, CYCLE = 0, 1, 2
 
@@ -110,7 +110,9 @@ def _doubling(q: DataFrame, with_path: bool) -> DataFrame:
             (F.col("_far") + F.coalesce("_f2", F.lit(0))).alias("_far"),
             *([F.when(F.col("_s2").isNull(), F.concat(F.array("_end"), "_path")).otherwise(F.concat("_p2", "_path")).alias("_path")] if with_path else []),
         )
-        q = keep(q.filter(F.col("_state") != EXIT).unionByName(moved), "doubling")
+        done = keep(q.filter(F.col("_state") != EXIT).unionByName(moved), "doubling")
+        drop_kept(q)
+        q = done
         rounds += 1
         left = q.filter(F.col("_state") == EXIT).count()
         if not left:

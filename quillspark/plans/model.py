@@ -32,7 +32,9 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 def cross_validate(df: DataFrame, features: list[str], names: tuple[str, ...] = ("boosted_trees", "decision_tree", "logistic_regression"), k: int = 5) -> DataFrame:
     """(model, accuracy, f1, auc): means over the folds in column `fold`. The loop goes over models and folds, not over rows."""
-    df = df.select("fold", *features, F.col("label").cast("double").alias("label")).cache()
+    df = df.select("fold", *features, F.col("label").cast("double").alias("label"))
+    # a round of boosting is many small jobs: no more tasks each than the rows ask for
+    df = df.coalesce(1 + df.count() // 50_000).cache()
     auc = BinaryClassificationEvaluator(labelCol="label")
 
     def one(job: tuple[str, int]) -> tuple[float, float, float]:
