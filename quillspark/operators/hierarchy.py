@@ -55,6 +55,17 @@ def assemble(docs: DataFrame, keys: list[str], content: str = "content") -> Data
     return a.unionByName(b).unionByName(hung(said, 2, F.concat(at, F.lit("-abstract")))).unionByName(hung(blocks, 3, head_id(F.col("pos"))))
 
 
+def last_edges(rows: DataFrame, keys: list[str], child: str = "child_id", parent: str = "parent_id", order: str = "edge_no") -> DataFrame:
+    """(keys, child, parent): of several rows of a child the last counts; rows without a parent are no edges."""
+    return rows.filter(F.trim(parent) != "").groupBy(*keys, child).agg(F.max_by(parent, order).alias(parent))
+
+
+def roots(edges: DataFrame, keys: list[str], child: str = "child_id", parent: str = "parent_id") -> DataFrame:
+    """(keys, root_id): parents that are nobody's child."""
+    up = edges.select(*keys, F.col(parent).alias("root_id")).distinct()
+    return up.join(edges.select(*keys, F.col(child).alias("root_id")), [*keys, "root_id"], "left_anti")
+
+
 def unified_ids(nodes: DataFrame, paper: str, node: str, kind: str, content: str, order: list[str]) -> DataFrame:
     """nodes with `content_hash` and `unified_id`: of a paper's nodes of one kind with one content the id of the first in `order`. Nodes without content keep their ids and have no hash."""
     n = nodes.withColumn("content_hash", F.when(F.trim(F.coalesce(content, F.lit(""))) != "", T.content_hash(F.col(kind), F.col(content))))

@@ -103,9 +103,14 @@ def pair_features(p: DataFrame) -> DataFrame:
     })
 
 
+def first_candidates(p: DataFrame, columns: list[str], on: tuple[str, ...] = ("paper_id", "cand_id"), order: str = "pair_id") -> DataFrame:
+    """One row per candidate of a paper, with `columns` as its first row has them."""
+    return p.groupBy(*on).agg(F.min_by(F.struct(*columns), order).alias("m")).select(*on, "m.*")
+
+
 def candidate_pool(p: DataFrame) -> DataFrame:
     """Every bibliography record with every candidate of its paper; of a record's or candidate's rows the first counts."""
-    first = lambda key, side: p.groupBy("paper_id", key).agg(F.min_by(F.struct(*side), "pair_id").alias("m")).select("paper_id", key, "m.*")
+    first = lambda key, side: first_candidates(p, side, ("paper_id", key))
     q = first("bib_no", ["bib_title", "bib_authors", "bib_id", "bib_year"])
     return q.join(first("cand_id", ["cand_title", "cand_authors", "cand_year"]), "paper_id")
 

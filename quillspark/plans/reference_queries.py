@@ -77,17 +77,14 @@ def unified_edges(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH r AS (SELECT paper_id, version_num, child_id, parent_id, row_number() OVER (PARTITION BY paper_id, version_num, child_id ORDER BY edge_no DESC) AS n FROM hierarchy WHERE trim(parent_id) <> '')
 SELECT paper_id, version_num, child_id, parent_id FROM r WHERE n = 1""")
 def hierarchy_edges(spark: SparkSession, d: str) -> DataFrame:
-    h = table(spark, d, "hierarchy").filter("trim(parent_id) <> ''")
-    return h.groupBy("paper_id", "version_num", "child_id").agg(F.max_by("parent_id", "edge_no").alias("parent_id"))
+    return H.last_edges(table(spark, d, "hierarchy"), ["paper_id", "version_num"])
 
 
 @query("""WITH e AS (SELECT paper_id, version_num, child_id, arg_max(parent_id, edge_no) AS parent_id FROM hierarchy WHERE trim(parent_id) <> '' GROUP BY ALL)
 SELECT DISTINCT paper_id, version_num, parent_id AS root_id FROM e WHERE NOT EXISTS (SELECT 1 FROM e x WHERE x.paper_id = e.paper_id AND x.version_num = e.version_num AND x.child_id = e.parent_id)""")
 def tree_roots(spark: SparkSession, d: str) -> DataFrame:
     """Nodes that are nobody's child."""
-    e = hierarchy_edges(spark, d)
-    up = e.select("paper_id", "version_num", F.col("parent_id").alias("root_id")).distinct()
-    return up.join(e.select("paper_id", "version_num", F.col("child_id").alias("root_id")), ["paper_id", "version_num", "root_id"], "left_anti")
+    return H.roots(hierarchy_edges(spark, d), ["paper_id", "version_num"])
 
 
 @query("SELECT paper_id, version_num, count(*) AS total_edges, count(DISTINCT child_id) AS total_children, count(DISTINCT parent_id) AS total_parents FROM hierarchy GROUP BY ALL")
@@ -432,8 +429,7 @@ def ground_truth(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH x AS (SELECT *, row_number() OVER (PARTITION BY paper_id, cand_id ORDER BY pair_id) AS n FROM pairs) SELECT paper_id, cand_id, cand_title, cand_year FROM x WHERE n = 1""")
 def first_candidates(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "pairs").groupBy("paper_id", "cand_id").agg(F.min_by(F.struct("cand_title", "cand_year"), "pair_id").alias("m"))
-    return p.select("paper_id", "cand_id", "m.*")
+    return M.first_candidates(table(spark, d, "pairs"), ["cand_title", "cand_year"])
 
 
 @query(f"WITH {_FEATURES}, l AS (SELECT * FROM features WHERE label IS NOT NULL) " + " UNION ALL ".join(f"SELECT '{x}' AS feature, CASE WHEN isfinite(corr({x}, label)) THEN round(corr({x}, label), 6) END AS corr FROM l" for x in _NAMES))
