@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from quillspark.functions import similarity as S, text as T
 from quillspark.operators import dataset as D, export as X, hierarchy as H, latex as L, matching as M, quality as Q, ranking as K, references as R
-from quillspark.session import table
+from quillspark import sources
+from quillspark.session import shared_dir, table
+from quillspark.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -649,6 +653,53 @@ def light_clean(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "elements").filter("content is not null").select("element_no", L.light_clean(F.col("content")).alias("light"))
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder that all executors share."""
+    return os.path.join(shared_dir(spark), f"written-{uuid.uuid4().hex}")
+
+
+_PAPER = r"paper(?:_id)?=([^/]+)/"
+
+
+@query("SELECT label_id, key, content, ground_truth.id AS true_id, round(ground_truth.match_score, 4) AS match_score, source_paper_id FROM labels WHERE key IS NOT NULL")
+def labels_written_and_read(spark: SparkSession, d: str) -> DataFrame:
+    at = _folder(spark)
+    sinks.labels_json(table(spark, d, "labels").select("label_id", "key", "content", "ground_truth", "source_paper_id"), at)
+    back = spark.read.schema(f"label_id bigint, {sources.LABELS}").json(at, multiLine=True, recursiveFileLookup=True)
+    return back.filter("key is not null").select("label_id", "key", "content", F.col("ground_truth.id").alias("true_id"), F.col("ground_truth.match_score").alias("match_score"), "source_paper_id")
+
+
+@query("""WITH x AS (SELECT *, row_number() OVER (PARTITION BY paper_id, cand_id ORDER BY pair_id) AS n FROM pairs)
+SELECT paper_id, cand_id, lower(trim(coalesce(cand_title, ''), ' ')) AS title, list_transform(coalesce(cand_authors, []), lambda a: lower(trim(a, ' '))) AS authors, substr(coalesce(cand_year, ''), 1, 4) AS year FROM x WHERE n = 1""")
+def candidates_written_and_read(spark: SparkSession, d: str) -> DataFrame:
+    at = _folder(spark)
+    c = M.first_candidates(table(spark, d, "pairs"), ["cand_title", "cand_authors", "cand_year"]).withColumnsRenamed({"cand_title": "title", "cand_authors": "authors", "cand_year": "year"})
+    sinks.references_json(c, at)
+    return sources.candidates(spark, [f"{at}/*/*"], _PAPER)
+
+
+@query("""WITH r AS (SELECT paper_id, version_num, child_id, parent_id, row_number() OVER (PARTITION BY paper_id, version_num, child_id ORDER BY edge_no DESC) AS n FROM hierarchy WHERE trim(parent_id) <> '')
+SELECT paper_id, version_num, child_id, parent_id FROM r WHERE n = 1""")
+def hierarchy_written_and_read(spark: SparkSession, d: str) -> DataFrame:
+    at = _folder(spark)
+    e = table(spark, d, "elements").groupBy("paper_id", "element_id").agg(F.min_by("content", "element_no").alias("content"))
+    sinks.hierarchy_json(hierarchy_edges(spark, d), e, at)
+    return sources.hierarchies(spark, [f"{at}/*/*"], _PAPER)
+
+
+@query("""WITH x AS (SELECT DISTINCT paper_id, bib_no, cand_id FROM pairs), r AS (SELECT *, row_number() OVER (PARTITION BY paper_id, bib_no ORDER BY cand_id) AS n FROM x)
+SELECT paper_id, 'test' AS partition, CAST(bib_no AS VARCHAR) AS key, CAST(n AS INTEGER) AS rank, cand_id FROM r WHERE n <= 5""")
+def predictions_written_and_read(spark: SparkSession, d: str) -> DataFrame:
+    at = _folder(spark)
+    p = table(spark, d, "pairs")
+    one = p.select("paper_id", F.col("bib_no").cast("string").alias("key"), "cand_id").distinct().withColumn("score", F.lit(1.0))
+    ranked = K.top_k(one, ["paper_id", "key"], "score", "cand_id").withColumn("partition", F.lit("test"))
+    truth = p.filter("label = 1").groupBy("paper_id", F.col("bib_no").cast("string").alias("key")).agg(F.min("cand_id").alias("true_id"))
+    sinks.predictions_json(ranked, truth, at)
+    back = sources.predictions(spark, [f"{at}/*/*"], _PAPER)
+    return back.select("paper_id", "partition", F.explode("prediction").alias("key", "ids")).select("paper_id", "partition", "key", F.posexplode("ids").alias("rank", "cand_id")).withColumn("rank", F.col("rank") + 1)
+
+
 @query()
 def hierarchy_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Trees assembled from the flattened sources: the edges between unified nodes and the texts of the nodes."""

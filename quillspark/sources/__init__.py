@@ -96,6 +96,13 @@ def refs_bib(spark: SparkSession, paths: list[str], paper_pattern: str = r"/([^/
     return e.select("paper_id", "key", text.alias("raw_text"))
 
 
+def hierarchies(spark: SparkSession, paths: list[str], paper_pattern: str = r"/([^/]+)/hierarchy\.json$") -> DataFrame:
+    """(paper_id, version_num, child_id, parent_id) of exported hierarchies."""
+    d = spark.read.text(paths, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), paper_pattern, 1).alias("paper_id"), F.from_json("value", "hierarchy map<string,map<string,string>>").alias("h"))
+    d = d.select("paper_id", F.explode("h.hierarchy").alias("version_num", "m"))
+    return d.select("paper_id", "version_num", F.explode("m").alias("child_id", "parent_id"))
+
+
 def dataset(spark: SparkSession, folder: str, partitions: tuple[str, ...] = ("train", "validation", "test"), files: tuple[str, ...] = ("manual.json", "auto.json")) -> DataFrame:
     """Labelled records of a data set folder with partition and source file; records without truth or authors left out, one of each key, authors cleaned, year from the date."""
     from quillspark.functions.text import clean_list

@@ -36,9 +36,16 @@ def cleaned_samples(rows: DataFrame, folder: str) -> None:
 
 
 def labels_json(labels: DataFrame, folder: str) -> None:
-    """Label records, scores with four digits, partitioned by paper; papers without a match have no file."""
+    """Label records of each paper as one JSON array, scores with four digits, partitioned by paper; papers without a match have no file."""
     s = F.col("ground_truth").withField("match_score", F.round("ground_truth.match_score", 4))
-    labels.withColumn("ground_truth", s).withColumn("paper", F.col("source_paper_id")).write.mode("overwrite").partitionBy("paper").json(folder)
+    j = labels.withColumn("ground_truth", s).groupBy(F.col("source_paper_id").alias("paper")).agg(F.to_json(F.collect_list(F.struct(*labels.columns))).alias("value"))
+    j.write.mode("overwrite").partitionBy("paper").text(folder)
+
+
+def references_json(candidates: DataFrame, folder: str) -> None:
+    """{cand_id: {title, authors, year}} of each paper's candidates, partitioned by paper."""
+    m = F.map_from_entries(F.collect_list(F.struct("cand_id", F.struct("title", "authors", "year"))))
+    candidates.groupBy("paper_id").agg(F.to_json(m).alias("value")).write.mode("overwrite").partitionBy("paper_id").text(folder)
 
 
 def splits(rows: DataFrame, folder: str) -> None:
