@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
 from difflib import SequenceMatcher
+from functools import lru_cache
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -69,3 +74,34 @@ def sorted_words(c: Column) -> Column:
 
 def fuzzy_sorted(a: Column, b: Column) -> Column:
     return _lift(ratio)(sorted_words(a), sorted_words(b))
+
+
+def _pieces(word: str) -> tuple[str, ...]:
+    w = f" {word} "
+    return tuple(w[i : i + n] for n in (2, 3, 4) for i in range(max(len(w) - n + 1, 1)))
+
+
+_known_pieces = lru_cache(20_000)(_pieces)
+_SPACE = re.compile(r"[ \t\n\x0b\f\r]+")  # what \s is to Spark
+
+
+def pieces(text: str) -> Counter[str]:
+    """How often each piece of 2 to 4 characters stands in the words of a text; as matching.char_terms cuts them."""
+    return Counter(chain.from_iterable([_known_pieces(w) if len(w) < 30 else _pieces(w) for w in _SPACE.split(text) if w]))
+
+
+def cosines(pairs: list[tuple[str, str]], min_df: int = 1) -> list[float]:
+    """Cosine of each two texts by the TF-IDF of their pieces, fitted on the distinct texts of all pairs; 0 where one is empty or nothing is shared."""
+    counts = {t: pieces(t) for t in {t for pair in pairs for t in pair} if t}
+    shared = {x: k for x, k in Counter(chain.from_iterable(counts.values())).items() if k > 1}
+    square = {k: (math.log((1 + len(counts)) / (1 + k)) + 1) ** 2 if k >= min_df else 0.0 for k in {1, *shared.values()}}  # of the idf
+    own = square[1]
+    norms = {t: math.sqrt(own * sum([n * n for n in tf.values()]) + math.fsum([tf[x] ** 2 * (square[shared[x]] - own) for x in tf.keys() & shared.keys()])) for t, tf in counts.items()}
+    known: dict[tuple[str, str], float] = {}
+    for a, b in pairs:
+        if (a, b) not in known:
+            known[a, b] = 0.0
+            if a and b and norms[a] and norms[b]:
+                x, y = counts[a], counts[b]
+                known[a, b] = 1.0 if a == b else math.fsum([x[k] * y[k] * square[shared[k]] for k in x.keys() & y.keys()]) / (norms[a] * norms[b])
+    return [known[pair] for pair in pairs]

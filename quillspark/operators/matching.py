@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quillspark.functions import similarity as S, text as T
-from quillspark.session import keep, spread
+from quillspark.session import deal, keep, spread
 
 #: English function words left out of the terms (a fixed list of our own).
 STOP = "a about after all also an and any are as at be been between both but by can could do does each for from had has have how if in into is it its may more most no nor not of on or other our over such than that the their these this those to under via was we were what when where which while who will with would".split()
@@ -131,14 +134,68 @@ def all_features(p: DataFrame, scope: list[str] | None = None, min_df: int = 2)
     return fuzzy_features(pair_features(p)).join(title_cosine(p, scope, min_df), "pair_id")
 
 
+#: Characters of titles, A_PAIR more a pair, up to which the titles of a scope are held at once.
+HELD, A_PAIR = 500_000, 20
+
+
 def title_cosine(p: DataFrame, scope: list[str] | None = None, min_df: int = 2) -> DataFrame:
     """(pair_id, feat_title_tfidf_cosine): cosine of character pieces, fitted on the distinct titles of the batch, or of each scope; 0 where nothing is shared."""
     scope = scope or []
-    a = p.select(*scope, F.lower(F.trim(F.coalesce("bib_title", F.lit("")))).alias("t"))
-    titles = a.unionByName(p.select(*scope, F.lower(F.trim(F.coalesce("cand_title", F.lit("")))).alias("t"))).filter("t <> ''").distinct()
+    title = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    pairs = p.select(*dict.fromkeys([*scope, "pair_id"]), title("bib_title").alias("a"), title("cand_title").alias("b"))
+    if not scope:
+        dots = _dots_joined(pairs, scope, min_df)
+    else:
+        size = F.sum(F.length("a") + F.length("b") + A_PAIR)
+        large = pairs.dropna(subset=scope).groupBy(*scope).agg(size.alias("size")).filter(F.col("size") > HELD).select(*scope)
+        if large.isEmpty():
+            dots = _dots_held(pairs, scope, min_df)
+        else:
+            large = keep(large, "large")
+            dots = _dots_held(pairs.join(large, scope, "left_anti"), scope, min_df).unionByName(_dots_joined(pairs.join(large, scope, "left_semi"), scope, min_df))
+    return dots.select("pair_id", F.round(F.coalesce("dot", F.lit(0.0)), 6).alias("feat_title_tfidf_cosine"))
+
+
+def _dots_joined(pairs: DataFrame, scope: list[str], min_df: int) -> DataFrame:
+    """(pair_id, dot), titles and their pieces joined as tables: for scopes of any size."""
+    titles = pairs.select(*scope, F.col("a").alias("t")).unionByName(pairs.select(*scope, F.col("b").alias("t"))).filter("t <> ''").distinct()
     w = tfidf(titles, scope, "t", char_terms(F.col("t")), min_df=min_df)
-    pairs = p.select(*scope, "pair_id", F.lower(F.trim(F.coalesce("bib_title", F.lit("")))).alias("a"), F.lower(F.trim(F.coalesce("cand_title", F.lit("")))).alias("b"))
     distinct = pairs.select(*scope, "a", "b").distinct()
     wa = distinct.join(w.withColumnsRenamed({"t": "a", "weight": "x"}), [*scope, "a"])
     dot = wa.join(w.withColumnsRenamed({"t": "b", "weight": "y"}), [*scope, "b", "term"]).groupBy(*scope, "a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    return pairs.join(dot, [*scope, "a", "b"], "left").select("pair_id", F.round(F.coalesce("dot", F.lit(0.0)), 6).alias("feat_title_tfidf_cosine"))
+    return pairs.join(dot, [*scope, "a", "b"], "left").select("pair_id", "dot")
+
+
+def _dots_held(pairs: DataFrame, scope: list[str], min_df: int) -> DataFrame:
+    """(pair_id, dot), a scope at a time, whose titles are held at once: nothing but the pairs is shuffled. A pair with no scope has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, group, ids, dots, kind = None, [], [], [], None
+
+        def end() -> None:
+            dots.extend([None] * len(group) if now is None or None in now else S.cosines(group, min_df))
+            group.clear()
+
+        def batch() -> pa.RecordBatch:
+            n = len(dots)
+            out = pa.RecordBatch.from_arrays([pa.array(ids[:n], kind), pa.array(dots, pa.float64())], ["pair_id", "dot"])
+            del ids[:n]
+            dots.clear()
+            return out
+
+        for b in batches:
+            kind = b.schema.field("pair_id").type
+            for key, pair_id, x, y in zip(zip(*(b.column(c).to_pylist() for c in scope)), *(b.column(c).to_pylist() for c in ("pair_id", "a", "b"))):
+                if key != now or None in key:
+                    end()
+                    now = key
+                group.append((x, y))
+                ids.append(pair_id)
+            if dots:
+                yield batch()
+        end()
+        if dots:
+            yield batch()
+
+    no_scope = F.when(F.greatest(*[F.col(c).isNull() for c in scope], F.lit(False)), F.hash("pair_id"))  # else they all meet in one task
+    return deal(pairs, *scope, no_scope).sortWithinPartitions(*scope).mapInArrow(run, f"pair_id {dict(pairs.dtypes)['pair_id']}, dot double")

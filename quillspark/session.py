@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def get_spark(app: str = "quillspark", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -59,12 +59,26 @@ def drop_kept(df: DataFrame) -> None:
 SMALL = 4 * 1024 * 1024
 
 
+#: Bytes of the tables read for each task where rows are dealt out by a key.
+PART = 16 * 1024 * 1024
+
+
+def _read_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that df reads, by the planner's estimate."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """df over all cores, by a hash of `keys`, where the tables it reads are small by the planner's estimate; larger ones come in enough partitions and stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return df.repartition(cores, *keys) if size < SMALL * cores else df
+    return df.repartition(cores, *keys) if _read_bytes(df) < SMALL * cores else df
+
+
+def deal(df: DataFrame, *keys: str | Column) -> DataFrame:
+    """df dealt out by a hash of `keys`, to each core as often; in the session's number of partitions where the planner has no estimate."""
+    size, cores = _read_bytes(df), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores * (1 + size // (PART * cores)), *keys) if size < 2**50 else df.repartition(*keys)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,3 +1,6 @@
+import math
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from quillspark.operators import dataset as D, matching as M, ranking as K
@@ -89,3 +92,37 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("seen").count() == 2
+
+
+def scoped_cosine(rows, min_df):
+    """By the definition: rows of scope, pair_id and two titles that are clean."""
+    cut = lambda t: Counter(w[i : i + n] for w in (f" {x} " for x in t.split()) for n in (2, 3, 4) for i in range(max(len(w) - n + 1, 1)))
+    out = []
+    for scope, pair_id, a, b in rows:
+        titles = {t: cut(t) for r in rows if r[0] == scope for t in r[2:] if t}
+        df = Counter(x for t in titles.values() for x in t)
+        w = {t: {x: k * (math.log((1 + len(titles)) / (1 + df[x])) + 1) for x, k in c.items() if df[x] >= min_df} for t, c in titles.items()}
+        dot = sum(v * w[b].get(x, 0) for x, v in w[a].items()) if a and b and scope is not None else 0
+        out.append((pair_id, round(dot and dot / math.sqrt(sum(v * v for v in w[a].values()) * sum(v * v for v in w[b].values())), 6)))
+    return sorted(out, key=str)
+
+
+def titled_pairs(spark):
+    rows = [(f"p{i % 4}" if i % 11 else None, i if i != 39 else None, f"a {'wave' if i % 3 else 'waves é'} no {i % 7}", f"the waves of {i % 5} é {'x' * (i % 2 * 40)}".strip()) for i in range(40)]
+    rows += [("p1", 40, "", "late waves"), ("p1", 41, "", ""), ("p2", 42, "same waves", "same waves"), ("p3", 42, "again 42", "twice 42"), ("lone", 43, "one of its own", "another")]
+    return rows, spark.createDataFrame([(s, i, f"  {a.upper()}" if a else None, b) for s, i, a, b in rows], "paper_id string, pair_id bigint, bib_title string, cand_title string").repartition(3)
+
+
+def test_titles_of_a_paper_are_held_and_large_papers_joined(spark, monkeypatch):
+    rows, p = titled_pairs(spark)
+    for min_df in (1, 2):
+        want = scoped_cosine(rows, min_df)
+        held = M.title_cosine(p, ["paper_id"], min_df)
+        assert sorted(map(tuple, held.collect()), key=str) == want
+        plan = held._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "Join" not in plan  # no row for each piece of each title
+        with monkeypatch.context() as m:
+            m.setattr(M, "HELD", 300)
+            both = M.title_cosine(p, ["paper_id"], min_df)
+            assert "Generate" in both._jdf.queryExecution().optimizedPlan().toString()
+            assert sorted(map(tuple, both.collect()), key=str) == want
