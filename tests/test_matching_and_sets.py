@@ -126,3 +126,16 @@ def test_titles_of_a_paper_are_held_and_large_papers_joined(spark, monkeypatch):
             both = M.title_cosine(p, ["paper_id"], min_df)
             assert "Generate" in both._jdf.queryExecution().optimizedPlan().toString()
             assert sorted(map(tuple, both.collect()), key=str) == want
+
+
+def test_titles_of_a_single_pair(spark, monkeypatch):
+    rows, p = titled_pairs(spark)
+    own = [(i, *r[1:]) for r in rows for i in [r[1]]]
+    for min_df in (1, 2, 3):
+        want = scoped_cosine(own, min_df)  # the two pairs 42 are one scope
+        got = M.title_cosine(p, ["pair_id"], min_df)
+        assert sorted(map(tuple, got.collect()), key=str) == want
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "Join" not in plan
+    monkeypatch.setattr(M, "HELD", 90)
+    assert sorted(map(tuple, M.title_cosine(p, ["pair_id"], 1).collect()), key=str) == scoped_cosine(own, 1)
