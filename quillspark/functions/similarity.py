@@ -90,15 +90,21 @@ def pieces(text: str) -> Counter[str]:
     return Counter(chain.from_iterable([_known_pieces(w) if len(w) < 30 else _pieces(w) for w in _SPACE.split(text) if w]))
 
 
-def cosines(pairs: list[tuple[str, str]], min_df: int = 1) -> list[float]:
-    """Cosine of each two texts by the TF-IDF of their pieces, fitted on the distinct texts of all pairs; 0 where one is empty or nothing is shared."""
+def cosines(pairs: list[tuple[str, str]], min_df: int = 1, fitted: tuple[int, dict[str, int]] | None = None) -> list[float]:
+    """Cosine of each two texts by the TF-IDF of their pieces, fitted on the distinct texts of all pairs; 0 where one is empty or nothing is shared.
+
+    `fitted`: the number of texts and in how many each piece stands (1 is left out), if they are more than those of the pairs.
+    """
     counts = {t: pieces(t) for t in {t for pair in pairs for t in pair} if t}
-    if len(counts) == 2:  # as where a pair is its own scope
+    total = len(counts) if fitted is None else fitted[0]
+    if fitted is not None:
+        shared = fitted[1]
+    elif total == 2:  # as where a pair is its own scope
         x, y = counts.values()
         shared = dict.fromkeys(x.keys() & y.keys(), 2)
     else:
         shared = {x: k for x, k in Counter(chain.from_iterable(counts.values())).items() if k > 1}
-    square = {k: (math.log((1 + len(counts)) / (1 + k)) + 1) ** 2 if k >= min_df else 0.0 for k in {1, *shared.values()}}  # of the idf
+    square = {k: (math.log((1 + total) / (1 + k)) + 1) ** 2 if k >= min_df else 0.0 for k in {1, *shared.values()}}  # of the idf
     own = square[1]
     norms = {t: math.sqrt(own * sum([n * n for n in tf.values()]) + math.fsum([tf[x] ** 2 * (square[shared[x]] - own) for x in tf.keys() & shared.keys()])) for t, tf in counts.items()}
     known: dict[tuple[str, str], float] = {}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -147,12 +149,12 @@ def title_cosine(p: DataFrame, scope: list[str] | None = None, min_df: int = 2)
         dots = _dots_joined(pairs, scope, min_df)
     else:
         size = F.sum(F.length("a") + F.length("b") + A_PAIR)
-        large = pairs.dropna(subset=scope).groupBy(*scope).agg(size.alias("size")).filter(F.col("size") > HELD).select(*scope)
+        large = pairs.dropna(subset=scope).groupBy(*scope).agg(size.alias("size")).filter(F.col("size") > HELD).select(*scope, F.ceil(F.col("size") / HELD).alias("parts"))
         if large.isEmpty():
             dots = _dots_held(pairs, scope, min_df)
         else:
             large = keep(large, "large")
-            dots = _dots_held(pairs.join(large, scope, "left_anti"), scope, min_df).unionByName(_dots_joined(pairs.join(large, scope, "left_semi"), scope, min_df))
+            dots = _dots_held(pairs.join(large, scope, "left_anti"), scope, min_df).unionByName(_dots_in_parts(pairs.join(large, scope), scope, min_df))
     return dots.select("pair_id", F.round(F.coalesce("dot", F.lit(0.0)), 6).alias("feat_title_tfidf_cosine"))
 
 
@@ -199,3 +201,31 @@ def _dots_held(pairs: DataFrame, scope: list[str], min_df: int) -> DataFrame:
 
     no_scope = F.when(F.greatest(*[F.col(c).isNull() for c in scope], F.lit(False)), F.hash("pair_id"))  # else they all meet in one task
     return deal(pairs, *scope, no_scope).sortWithinPartitions(*scope).mapInArrow(run, f"pair_id {dict(pairs.dtypes)['pair_id']}, dot double")
+
+
+def _dots_in_parts(pairs: DataFrame, scope: list[str], min_df: int) -> DataFrame:
+    """(pair_id, dot) of scopes too large to be held: distinct pairs in `parts` parts, to each of which go the counts of its own pieces."""
+    pairs = keep(pairs, "pairs")
+    part = lambda *c: F.pmod(F.xxhash64(*c), F.col("parts")).alias("part")
+    key = [*scope, "part"]
+    types = ", ".join(f"{c} {t}" for c, t in pairs.select(*scope).dtypes)
+
+    def counts(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        c = Counter(x for t in pdf["t"] for x in S.pieces(t))
+        return pd.DataFrame({**{name: [v] * len(c) for name, v in zip(scope, k)}, "term": list(c), "n": list(c.values())})
+
+    def own(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        c = list({x for t in {*pdf["a"], *pdf["b"]} for x in S.pieces(t)})
+        return pd.DataFrame({**{name: [v] * len(c) for name, v in zip(key, k)}, "term": c})
+
+    def dots(k: tuple, pdf: pd.DataFrame, df: pd.DataFrame) -> pd.DataFrame:
+        fitted = (int(df["total"].iloc[0]) if len(df) else 1, dict(zip(df["term"], df["df"].tolist())))
+        return pdf[[*scope, "a", "b"]].assign(dot=S.cosines(list(zip(pdf["a"], pdf["b"])), min_df, fitted))
+
+    titles = pairs.select(*scope, "parts", F.col("a").alias("t")).unionByName(pairs.select(*scope, "parts", F.col("b").alias("t"))).filter("t <> ''").distinct()
+    df = titles.select(*scope, part("t"), "t").groupBy(*key).applyInPandas(counts, f"{types}, term string, n bigint").groupBy(*scope, "term").agg(F.sum("n").alias("df")).filter("df > 1")
+    fit = df.join(titles.groupBy(*scope).agg(F.count("*").alias("total")), scope)
+    two = keep(pairs.filter("a <> '' and b <> ''").select(*scope, part("a", "b"), "a", "b").distinct(), "two")
+    needed = two.groupBy(*key).applyInPandas(own, f"{types}, part bigint, term string").join(fit, [*scope, "term"])
+    dot = two.groupBy(*key).cogroup(needed.groupBy(*key)).applyInPandas(dots, f"{types}, a string, b string, dot double")
+    return pairs.join(dot, [*scope, "a", "b"], "left").select("pair_id", "dot")
